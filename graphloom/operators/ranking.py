@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from graphloom.session import cut_lineage
 
 
-def running_index(df: DataFrame, groups: list[str], order: str, out: str, width: int = 65_536) -> DataFrame:
+SLICE = 65_536
+
+
+def running_index(df: DataFrame, groups: list[str], order: str, out: str, width: int = SLICE) -> DataFrame:
     """0-based position of every row in its group, ordered by an integer column.
 
     The integer range is cut into slices of ``width`` values. A slice is numbered
@@ -27,6 +30,20 @@ def running_index(df: DataFrame, groups: list[str], order: str, out: str, width:
     )
 
 
+def previous_value(df: DataFrame, groups: list[str], order: str, out: str, width: int = SLICE) -> DataFrame:
+    """The next smaller value of an integer column in the group, null for the first; sliced as above."""
+    sliced = df.withColumn("_slice", F.floor(F.col(order) / width))
+    tops = sliced.groupBy(*groups, "_slice").agg(F.max(order).alias("_top"))
+    earlier = Window.partitionBy(*groups).orderBy("_slice")
+    links = tops.select(*groups, "_slice", F.lag("_top").over(earlier).alias("_last"))
+    inside = Window.partitionBy(*groups, "_slice").orderBy(order)
+    return (
+        sliced.join(links, [*groups, "_slice"])
+        .withColumn(out, F.coalesce(F.lag(order).over(inside), F.col("_last")))
+        .drop("_slice", "_last")
+    )
+
+
 def sorted_index(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
     """0-based position in a global sort by any columns.
 
