@@ -8,7 +8,7 @@ from graphloom import rules as R
 from graphloom.functions import scores, text as tx
 from graphloom.operators.facts import verify_fact
 from graphloom.rules import RulePack
-from graphloom.session import small_side
+from graphloom.session import compute_once, small_side
 
 # A rule table up to this size becomes a literal, which keeps completion map-only.
 LITERAL_RULES = 512
@@ -123,8 +123,8 @@ def complete_knowledge(
 
     t = F.col("_fixed")
     reformat = tx.any_issue_with(issues, R.FORMAT_WORD)
-    shaped = fixed.select(
-        "*",
+    shaped = compute_once(
+        fixed,
         F.when(reformat, tx.normalise_format(t, pack)).otherwise(t).alias("enhanced_data"),
         F.concat(
             F.col("_fix_notes"), tx.keep_present(F.when(reformat & tx.needs_period(t, pack), F.lit(R.PERIOD_ADDED)))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from graphloom import rules as R
 from graphloom.functions import scores, text as tx
 from graphloom.rules import RulePack
+from graphloom.session import compute_once
 
 QUALITY_COLUMNS = (
     "quality_score", "is_high_quality", "completeness", "consistency", "relevance", "issues", "recommendation",
@@ -24,8 +25,8 @@ def assess_quality(docs: DataFrame, pack: RulePack = R.ZH, threshold: float = 0.
     own, so no score repeats a regular expression.
     """
     t = F.col(text)
-    scanned = docs.select(
-        "*",
+    scanned = compute_once(
+        docs,
         tx.stripped_length(t).alias("_length"),
         F.size(tx.mentions(t, pack.mention_patterns)).alias("_n_mentions"),
         F.size(tx.present_cues(t, pack)).alias("_n_cues"),

@@ -7,7 +7,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from graphloom.session import cut_lineage
 
 
-SLICE = 65_536
+# rows one task numbers at a time, at most
+SLICE = 1 << 21
+
+
+def _before(rows: DataFrame, groups: list[str], order: str, value: str, agg, out: str, width: int) -> DataFrame:
+    """``agg`` of ``value`` over the earlier rows of the group, null for the first.
+
+    Earlier blocks of ``width`` order values are combined first, then the rows of
+    the own block, so a task sees one block or one row per block.
+    """
+    blocked = rows.withColumn("_block", F.floor(F.col(order) / width))
+    totals = blocked.groupBy(*groups, "_block").agg(agg(value).alias("_total"))
+    earlier = Window.partitionBy(*groups).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*groups, "_block", agg("_total").over(earlier).alias("_carried"))
+    inside = Window.partitionBy(*groups, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    both = F.array_compact(F.array("_carried", "_own"))
+    combined = F.when(F.size(both) == 2, F.col("_carried") + F.col("_own")) if agg is F.sum else F.array_max(both)
+    return (
+        blocked.join(carried, [*groups, "_block"])
+        .withColumn("_own", agg(value).over(inside))
+        .withColumn(out, F.coalesce(combined, F.get(both, F.lit(0))))
+        .drop("_block", "_carried", "_own")
+    )
 
 
 def running_index(df: DataFrame, groups: list[str], order: str, out: str, width: int = SLICE) -> DataFrame:
@@ -20,12 +42,11 @@ def running_index(df: DataFrame, groups: list[str], order: str, out: str, width:
     """
     sliced = df.withColumn("_slice", F.floor(F.col(order) / width))
     sizes = sliced.groupBy(*groups, "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*groups, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = _before(sizes, groups, "_slice", "_n", F.sum, "_offset", width).drop("_n")
     inside = Window.partitionBy(*groups, "_slice").orderBy(order)
     return (
         sliced.join(offsets, [*groups, "_slice"])
-        .withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1)
+        .withColumn(out, F.coalesce("_offset", F.lit(0)) + F.row_number().over(inside) - 1)
         .drop("_slice", "_offset")
     )
 
@@ -34,8 +55,7 @@ def previous_value(df: DataFrame, groups: list[str], order: str, out: str, width
     """The next smaller value of an integer column in the group, null for the first; sliced as above."""
     sliced = df.withColumn("_slice", F.floor(F.col(order) / width))
     tops = sliced.groupBy(*groups, "_slice").agg(F.max(order).alias("_top"))
-    earlier = Window.partitionBy(*groups).orderBy("_slice")
-    links = tops.select(*groups, "_slice", F.lag("_top").over(earlier).alias("_last"))
+    links = _before(tops, groups, "_slice", "_top", F.max, "_last", width).drop("_top")
     inside = Window.partitionBy(*groups, "_slice").orderBy(order)
     return (
         sliced.join(links, [*groups, "_slice"])

@@ -36,7 +36,7 @@ def rule_triples(docs: DataFrame, pack: RulePack = R.ZH, text: str = "text", typ
     Both ends stand in the text by construction, so the text is read once, by
     the regular expression, and never searched again per triple.
     """
-    found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pack.triple_pattern), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pack.triple_guard + pack.triple_pattern), F.lit(0)))
     keys = [c for c in docs.columns if c != text]
     hits = docs.select(*keys, F.posexplode(found).alias("seq", "_hit"))
     group = lambda i: F.regexp_extract("_hit", pack.triple_pattern, i)

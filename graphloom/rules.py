@@ -195,9 +195,14 @@ class RulePack:
     conflicts: tuple[ConflictRule, ...] = ()
     sentence_marks: str = SENTENCE_MARKS
     noise: str = NOISE_PATTERN
+    # the same as literal words and as runs tried at their first character only
+    noise_words: tuple[str, ...] = ("啊啊啊", "哈哈哈", "呵呵呵")
+    noise_runs: tuple[str, ...] = ("(?<![a-zA-Z])[a-zA-Z]{20}", r"(?<!\p{Nd})\p{Nd}{10}")
     implicit_notes: tuple[tuple[str, str], ...] = IMPLICIT_NOTES
     # head, cue and tail of a rule triple; three groups
     triple_pattern: str = ""
+    # what must hold in front of a match; saves trying every letter of a word
+    triple_guard: str = ""
     completion_mentions: tuple[str, ...] = field(default=())
 
 
@@ -222,5 +227,6 @@ LATIN = RulePack(
     sentence_marks="[.!?]",
     implicit_notes=(),
     triple_pattern=f"([A-Za-zÀ-ÿ]{{3,}}) ({'|'.join(LATIN_CUES)}) ([A-Za-zÀ-ÿ]{{3,}})",
+    triple_guard="(?<![A-Za-zÀ-ÿ])",
     completion_mentions=("[A-ZÀ-Þ][a-zß-ÿ]{2,}",),
 )

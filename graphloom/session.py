@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Settings a cluster session should carry; none is forced by the library.
 RECOMMENDED_CONF = {
@@ -19,6 +19,17 @@ RECOMMENDED_CONF = {
 BROADCAST_ROWS = 100_000
 
 
+def compute_once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add aliased columns whose expressions must not be copied into later steps.
+
+    Catalyst moves filters below projections by copying the expressions they
+    read, again and again along a chain. A one-row ``inline`` stops that: costly
+    columns such as regular expressions are evaluated once per row. It stays
+    map-only.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
@@ -56,3 +67,14 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a table for broadcast when its row count is proven small, else leave the choice to AQE."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core; any other scan stays as it is.
+
+    Text rules cost far more than reading, so a small file in one row group would
+    keep one core busy. An input of many splits is never shuffled. For plans
+    without an exchange only.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
