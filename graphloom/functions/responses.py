@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from graphloom.functions import scores, text as tx
-from graphloom.functions.classify import good_type_pair
+from graphloom.functions import text as tx
+from graphloom.session import compute_once
 
 # fixed value: the (head, relation, tail) line format
 TRIPLE_LINE = r"\(([^,]+),\s*([^,]+),\s*([^)]+)\)"
@@ -31,11 +31,8 @@ def with_entities(df: DataFrame, response: str, out: str = "entities") -> DataFr
     one pass finds the first and one the last of each, also for long responses.
     """
     arr, n = F.col("_lines"), F.size("_lines")
-    lines = df.withColumn("_lines", entity_lines(F.col(response)))
-    ordered = lines.withColumn(
-        "_lines",
-        F.array_sort(F.transform("_lines", lambda r: F.struct(r["name"], r["pos"], r["type"]))),
-    )
+    by_name = F.transform(entity_lines(F.col(response)), lambda r: F.struct(r["name"], r["pos"], r["type"]))
+    ordered = compute_once(df, F.array_sort(by_name).alias("_lines"))
     first = F.filter(arr, lambda r, i: (i == 0) | (F.get(arr, i - 1)["name"] != r["name"]))
     last = F.filter(arr, lambda r, i: (i == n - 1) | (F.get(arr, i + 1)["name"] != r["name"]))
     ends = ordered.withColumn("_first", first).withColumn("_last", last)
@@ -47,12 +44,6 @@ def with_entities(df: DataFrame, response: str, out: str = "entities") -> DataFr
     return ends.withColumn(out, F.array_sort(merged)).drop("_lines", "_first", "_last")
 
 
-def triple_lines(response: Column) -> Column:
-    """The response's lines that hold a triple, as array<struct<pos, line>>."""
-    lines = F.transform(F.split(response, "\n"), lambda line, i: F.struct(i.cast("bigint").alias("pos"), line.alias("line")))
-    return F.filter(lines, lambda r: r["line"].rlike(TRIPLE_LINE))
-
-
 def explode_triples(df: DataFrame, response: str, mode: str = "strict") -> DataFrame:
     """One row per parsed triple: ``seq``, ``head``, ``relation``, ``tail`` next to the input columns.
 
@@ -74,7 +65,3 @@ def explode_triples(df: DataFrame, response: str, mode: str = "strict") -> DataF
     if mode == "lenient":
         return parsed
     return parsed.filter((F.col("head") != "") & (F.col("relation") != "") & (F.col("tail") != ""))
-
-
-def confidence_in_text(text: Column, head: Column, tail: Column, head_type: Column, tail_type: Column) -> Column:
-    return scores.triple_confidence(text.contains(head), text.contains(tail), good_type_pair(head_type, tail_type))

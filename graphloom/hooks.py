@@ -19,7 +19,7 @@ def run_extractor(docs: DataFrame, extract: Extractor, text: str = "text", batch
     A failing batch is tried again text by text, so one bad text costs only its
     own row: the row stays, with the failure in ``error``.
     """
-    schema = T.StructType(docs.schema.fields).add("entity_response", "string").add("triple_response", "string").add("error", "string")
+    schema = T.StructType(list(docs.schema.fields)).add("entity_response", "string").add("triple_response", "string").add("error", "string")
 
     def one(t: str):
         try:

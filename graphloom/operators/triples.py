@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphloom import rules as R
 from graphloom.functions import scores, text as tx
 from graphloom.functions.classify import entity_class, good_type_pair
-from graphloom.functions.responses import explode_triples, with_entities
+from graphloom.functions.responses import TRIPLE_LINE, explode_triples, with_entities
 from graphloom.rules import RulePack
+from graphloom.session import compute_once
 
 
 # --- sources --------------------------------------------------------------
@@ -114,8 +115,8 @@ def build_graph(
     part = "\u0001"
     lines = F.array_distinct(
         F.transform(
-            F.filter(F.split(triple_response, "\n"), lambda x: x.rlike(_line())),
-            lambda x: F.concat_ws(part, *[tx.strip(F.regexp_extract(x, _line(), g)) for g in (1, 2, 3)]),
+            F.filter(F.split(triple_response, "\n"), lambda x: x.rlike(TRIPLE_LINE)),
+            lambda x: F.concat_ws(part, *[tx.strip(F.regexp_extract(x, TRIPLE_LINE, g)) for g in (1, 2, 3)]),
         )
     )
     split = F.transform(
@@ -123,9 +124,8 @@ def build_graph(
         lambda x: F.struct(*[F.get(F.split(x, part), F.lit(i)).alias(n) for i, n in enumerate(("head", "relation", "tail"))]),
     )
     full = F.filter(split, lambda r: (r["head"] != "") & (r["relation"] != "") & (r["tail"] != ""))
-    step = parsed.withColumn("_found", full).withColumn(
-        "_types", F.map_from_entries(F.transform("_given", lambda e: F.struct(e["name"], e["type"])))
-    )
+    types = F.map_from_entries(F.transform("_given", lambda e: F.struct(e["name"], e["type"])))
+    step = compute_once(parsed, full.alias("_found"), types.alias("_types"))
     type_of = lambda name: F.coalesce(F.try_element_at("_types", name), F.lit("Other"))
     given_names = F.transform("_given", lambda e: e["name"])
     ends = F.flatten(F.transform("_found", lambda r: F.array(r["head"], r["tail"])))
@@ -149,12 +149,6 @@ def build_graph(
     )
 
 
-def _line() -> str:
-    from graphloom.functions.responses import TRIPLE_LINE
-
-    return TRIPLE_LINE
-
-
 def graph_triples(graphs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Long form of the ``triples`` column of ``build_graph``."""
     return graphs.select(key, F.posexplode("triples").alias("seq", "_t")).select(
@@ -238,8 +232,6 @@ def first_entities(entities: DataFrame, k: int = 20, order: str = "seq") -> Data
 
 def cap_entities(entities: DataFrame, triples: DataFrame, n: int = 50, keys=("doc_id",)) -> DataFrame:
     """At most ``n`` entities per graph, the best connected first, then by name."""
-    from pyspark.sql import Window
-
     degree = triples.select(*keys, F.explode(F.array("head", "tail")).alias("name")).groupBy(*keys, "name").agg(
         F.count("*").alias("degree")
     )
