@@ -15,27 +15,28 @@ def _pairs(edges: DataFrame) -> DataFrame:
 
 
 def _trim(edges: DataFrame) -> DataFrame:
-    """Drop edges whose source nothing points to or whose target points nowhere."""
-    heads = edges.select(F.col("target").alias("source")).distinct()
-    tails = edges.select(F.col("source").alias("target")).distinct()
-    return edges.join(heads, "source", "left_semi").join(tails, "target", "left_semi")
+    """Drop edges at nodes that nothing points to or that point nowhere."""
+    ends = F.array(
+        F.struct(F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+        F.struct(F.col("target").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")),
+    )
+    inner = edges.select(F.inline(ends)).groupBy("node").agg(F.max("o").alias("o"), F.max("i").alias("i")).filter("o = 1 and i = 1")
+    kept = edges.join(inner.select(F.col("node").alias("source")), "source", "left_semi")
+    return kept.join(inner.select(F.col("node").alias("target")), "target", "left_semi")
 
 
-def _trim_all(edges: DataFrame, passes_per_cut: int = 3):
-    """Trim to the fixpoint; an acyclic graph ends empty."""
+def _trim_while_useful(edges: DataFrame, passes_per_cut: int = 2, least_gain: float = 0.2) -> tuple[DataFrame, int]:
+    """Trim as long as it pays; what it leaves of acyclic tails, the label rounds remove."""
     size = edges.count()
-    for _ in range(MAX_ROUNDS):
-        if size == 0:
-            return edges, 0
+    while size:
         trimmed = edges
         for _ in range(passes_per_cut):
             trimmed = _trim(trimmed)
-        trimmed = cut_lineage(trimmed)
-        left = trimmed.count()
-        if left == size:
-            return trimmed, left
-        edges, size = trimmed, left
-    raise RuntimeError("trimming did not end")
+        edges = cut_lineage(trimmed)
+        before, size = size, edges.count()
+        if size > before * (1 - least_gain):
+            break
+    return edges, size
 
 
 def strongly_connected_components(edges: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
     rest = cut_lineage(_pairs(edges).filter("source != target"))
     parts: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
-        rest, size = _trim_all(rest)
+        rest, size = _trim_while_useful(rest)
         if size == 0:
             break
         colours = _spread_min(rest)

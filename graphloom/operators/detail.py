@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom import rules as R
-from graphloom.functions import text as tx
 from graphloom.functions.classify import attribute_class, gap_sources
 
 ON = ["doc_id", "entity"]
@@ -33,17 +32,14 @@ def relation_attributes(edges: DataFrame) -> DataFrame:
     return rows.groupBy(*ON, "attribute").agg(F.max_by("value", "rid").alias("value"))
 
 
-def pattern_attributes(entities: DataFrame, docs: DataFrame, window: int = 50, patterns=R.ATTRIBUTE_PATTERNS) -> DataFrame:
+def pattern_attributes(mentions: DataFrame, patterns=R.ATTRIBUTE_PATTERNS) -> DataFrame:
     """(doc_id, entity, attribute, value): first match of the type's patterns near the entity's first mention."""
-    near = entities.select("doc_id", F.col("name").alias("entity"), "type").join(docs.select("doc_id", "text"), "doc_id")
-    near = near.select(
-        "doc_id", "entity", "type", tx.context_window(F.col("text"), F.col("entity"), window).alias("_near")
-    ).filter("_near != ''")
+    near = mentions.filter("near != ''").select("doc_id", F.col("name").alias("entity"), "type", "near")
     found = [
         F.struct(
             F.lit(attribute).alias("attribute"),
             F.when(
-                (F.col("type") == etype) & F.col("_near").rlike(pattern), F.regexp_extract("_near", pattern, group)
+                (F.col("type") == etype) & F.col("near").rlike(pattern), F.regexp_extract("near", pattern, group)
             ).alias("value"),
         )
         for etype, attribute, pattern, group in patterns
@@ -51,14 +47,12 @@ def pattern_attributes(entities: DataFrame, docs: DataFrame, window: int = 50, p
     return near.select(*ON, F.inline(F.array(*found))).filter(F.col("value").isNotNull())
 
 
-def entity_attributes(entities: DataFrame, edges: DataFrame, docs: DataFrame, window: int = 50) -> DataFrame:
+def entity_attributes(mentions: DataFrame, edges: DataFrame) -> DataFrame:
     """Attributes of the entities from edges and text; a pattern match overrides an edge."""
     from_edges = relation_attributes(edges).join(
-        entities.select("doc_id", F.col("name").alias("entity")).distinct(), ON, "left_semi"
-    )
-    ranked = from_edges.withColumn("_p", F.lit(0)).unionByName(
-        pattern_attributes(entities, docs, window).withColumn("_p", F.lit(1))
+        mentions.select("doc_id", F.col("name").alias("entity")).distinct(), ON, "left_semi"
     )
+    ranked = from_edges.withColumn("_p", F.lit(0)).unionByName(pattern_attributes(mentions).withColumn("_p", F.lit(1)))
     return ranked.groupBy(*ON, "attribute").agg(F.max_by("value", "_p").alias("value"))
 
 

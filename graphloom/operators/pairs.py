@@ -29,14 +29,6 @@ def direct_evidence(entities: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def entity_positions(entities: DataFrame, docs: DataFrame) -> DataFrame:
-    """First position (1-based, 0 when absent) of every entity and the length of its text."""
-    t = F.col("text")
-    return entities.join(docs.select("doc_id", "text"), "doc_id").select(
-        "doc_id", "seq", "name", "type", F.instr(t, F.col("name")).alias("pos"), F.length(t).alias("len")
-    )
-
-
 def near_pairs(positions: DataFrame, threshold: float = 0.3, compat: bool = False) -> DataFrame:
     """Entity pairs of a document that can pass ``threshold`` without a direct relation.
 
@@ -76,33 +68,31 @@ def near_pairs(positions: DataFrame, threshold: float = 0.3, compat: bool = Fals
     pairs = left.join(right, ["doc_id", "level", "_cell"]).filter((F.col("seq1") < F.col("seq2")) & (F.col("level") == own_level))
     cooc = scores.cooccurrence(F.col("pos1"), F.col("pos2"), F.col("len"))
     strength = scores.pair_strength(F.lit(False), cooc, type_similarity(F.col("type1"), F.col("type2"), compat))
-    return pairs.filter(strength > threshold).select("doc_id", F.col("name1").alias("entity1"), F.col("name2").alias("entity2"))
+    return pairs.filter(strength > threshold).select(
+        "doc_id", F.col("name1").alias("entity1"), F.col("name2").alias("entity2"), "type1", "type2", "pos1", "pos2", "len"
+    )
 
 
 def pair_associations(
-    entities: DataFrame, edges: DataFrame, docs: DataFrame, threshold: float = 0.3, compat: bool = False
+    mentions: DataFrame, edges: DataFrame, threshold: float = 0.3, compat: bool = False
 ) -> DataFrame:
     """Entity pairs above ``threshold`` with strength, labels and the number of direct relations.
 
-    The evidence texts, of which a pair can have any number, are the rows of
+    ``mentions`` comes from ``entity_mentions``; no text is read here. The
+    evidence texts, of which a pair can have any number, are the rows of
     ``direct_evidence``.
     """
-    positions = entity_positions(entities, docs)
-    direct = direct_evidence(entities, edges).groupBy("doc_id", "entity1", "entity2").agg(F.count("*").alias("n_evidence"))
-    candidates = (
-        near_pairs(positions, threshold, compat)
-        .withColumn("n_evidence", F.lit(0).cast("bigint"))
-        .unionByName(direct)
-        .groupBy("doc_id", "entity1", "entity2")
-        .agg(F.max("n_evidence").alias("n_evidence"))
+    on = ["doc_id", "entity1", "entity2"]
+    direct = direct_evidence(mentions, edges).groupBy(*on).agg(F.count("*").alias("n_evidence"))
+    side = lambda i: mentions.select(
+        "doc_id", *[F.col(c).alias(f"{n}{i}") for c, n in (("name", "entity"), ("type", "type"), ("pos", "pos"))],
+        *(["len"] if i == 1 else []),
     )
-    side = lambda i: positions.select(
-        "doc_id", F.col("name").alias(f"entity{i}"), F.col("type").alias(f"_t{i}"), F.col("pos").alias(f"_p{i}"),
-        *([F.col("len").alias("_len")] if i == 1 else []),
-    )
-    typed = candidates.join(side(1), ["doc_id", "entity1"]).join(side(2), ["doc_id", "entity2"])
-    cooc = scores.cooccurrence(F.col("_p1"), F.col("_p2"), F.col("_len"))
-    sim = type_similarity(F.col("_t1"), F.col("_t2"), compat)
+    linked = direct.join(side(1), ["doc_id", "entity1"]).join(side(2), ["doc_id", "entity2"])
+    close = near_pairs(mentions, threshold, compat).join(direct.select(*on), on, "left_anti")
+    both = linked.unionByName(close.withColumn("n_evidence", F.lit(0).cast("bigint")))
+    cooc = scores.cooccurrence(F.col("pos1"), F.col("pos2"), F.col("len"))
+    sim = type_similarity(F.col("type1"), F.col("type2"), compat)
     has_direct = F.col("n_evidence") > 0
     labels = F.array_compact(
         F.array(
@@ -111,10 +101,8 @@ def pair_associations(
             F.when(sim > 0.7, F.lit(R.LABEL_TYPE)),
         )
     )
-    return typed.select(
-        "doc_id",
-        "entity1",
-        "entity2",
+    return both.select(
+        *on,
         cooc.alias("cooccurrence"),
         sim.alias("type_similarity"),
         scores.pair_strength(has_direct, cooc, sim).alias("strength"),

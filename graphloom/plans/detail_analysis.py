@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from graphloom.operators.detail import Templates, attribute_gaps, entity_attributes, rule_errors, suggestions
+from graphloom.operators.mentions import stored_mentions
 from graphloom.operators.pairs import pair_associations, triangles
+from graphloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -30,8 +32,9 @@ def analyze_details(
     **rules,
 ) -> DetailAnalysis:
     """All detail tables for entities(doc_id, seq, name, type), edges(doc_id, rid, source, relation, target) and documents."""
-    attributes = entity_attributes(entities, edges, docs)
+    mentions = stored_mentions(entities, docs)
+    attributes = cut_lineage(entity_attributes(mentions, edges))
     gaps = attribute_gaps(entities, attributes, templates)
     errors = rule_errors(entities, attributes, **rules)
-    pairs = pair_associations(entities, edges, docs, threshold, compat)
+    pairs = pair_associations(mentions, edges, threshold, compat)
     return DetailAnalysis(attributes, gaps, errors, pairs, triangles(edges), suggestions(gaps, errors, pairs))

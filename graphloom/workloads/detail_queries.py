@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom import rules as R
-from graphloom.functions import text as tx
-from graphloom.functions.classify import attribute_class, gap_sources, type_similarity
+from graphloom.functions.classify import attribute_class, entity_class, gap_sources, type_similarity
 from graphloom.operators import detail, pairs
+from graphloom.operators.mentions import entity_mentions, stored_mentions
 from graphloom.plans.detail_analysis import analyze_details
 from graphloom.workloads import sql_text as q
 from graphloom.workloads.registry import query
@@ -29,13 +29,21 @@ def edges(spark, d):
     return spark_rows(spark, d, DOC_EDGES)
 
 
+def mentions(spark, d):
+    return entity_mentions(entities(spark, d), docs(spark, d))
+
+
+def _gaps(spark, d, templates=detail.Templates()):
+    attributes = detail.entity_attributes(mentions(spark, d), edges(spark, d))
+    return detail.attribute_gaps(entities(spark, d), attributes, templates)
+
+
 _WINDOW = """CASE WHEN strpos(text, name) > 0 THEN substr(text, greatest(1, strpos(text, name) - 50), strpos(text, name) + length(name) + 50 - greatest(1, strpos(text, name) - 50)) ELSE '' END"""
 
 
 @query("txt_16_context_window", f"{BASE} SELECT doc_id, name, {_WINDOW} AS near FROM ent JOIN docs USING (doc_id)")
 def txt_16(spark, d):
-    joined = entities(spark, d).join(docs(spark, d), "doc_id")
-    return joined.select("doc_id", "name", tx.context_window(F.col("text"), F.col("name")).alias("near"))
+    return mentions(spark, d).select("doc_id", "name", "near")
 
 
 def _pattern_sql():
@@ -61,7 +69,7 @@ attrs AS (SELECT doc_id, entity, attribute, arg_max(value, p) AS value FROM (SEL
 
 @query("txt_17_pattern_attributes", f"{_ATTRS} SELECT doc_id, entity, attribute, value FROM pat")
 def txt_17(spark, d):
-    return detail.pattern_attributes(entities(spark, d), docs(spark, d))
+    return detail.pattern_attributes(mentions(spark, d))
 
 
 @query("jn_6_relation_attributes", f"{_ATTRS} SELECT doc_id, entity, attribute, value FROM rel")
@@ -95,8 +103,7 @@ def _gap_columns(gaps):
 
 @query("jn_7_attribute_gaps", f"{_GAPS} SELECT * FROM gaps")
 def jn_7(spark, d):
-    e = entities(spark, d)
-    return _gap_columns(detail.attribute_gaps(e, detail.entity_attributes(e, edges(spark, d), docs(spark, d))))
+    return _gap_columns(_gaps(spark, d))
 
 
 @query(
@@ -104,23 +111,20 @@ def jn_7(spark, d):
     f"{_GAPS} SELECT missing_attribute, count(*) AS n FROM gaps WHERE confidence = 0.9::DOUBLE OR missing_attribute IN ('职业', '成立时间') GROUP BY ALL",
 )
 def ext_3(spark, d):
-    e = entities(spark, d)
     few = detail.Templates(important=frozenset(["职业", "成立时间"]))
-    gaps = detail.attribute_gaps(e, detail.entity_attributes(e, edges(spark, d), docs(spark, d)), few)
+    gaps = _gaps(spark, d, few)
     return gaps.groupBy("missing_attribute").agg(F.count("*").alias("n"))
 
 
 @query("txt_23_attribute_class", f"{_GAPS} SELECT attribute_type, count(*) AS n FROM gaps GROUP BY ALL")
 def txt_23(spark, d):
-    e = entities(spark, d)
-    gaps = detail.attribute_gaps(e, detail.entity_attributes(e, edges(spark, d), docs(spark, d)))
+    gaps = _gaps(spark, d)
     return gaps.groupBy(attribute_class(F.col("missing_attribute")).alias("attribute_type")).agg(F.count("*").alias("n"))
 
 
 @query("txt_24_gap_sources", f"{_GAPS} SELECT entity_type, missing_attribute, suggested_sources, count(*) AS n FROM gaps GROUP BY ALL")
 def txt_24(spark, d):
-    e = entities(spark, d)
-    gaps = detail.attribute_gaps(e, detail.entity_attributes(e, edges(spark, d), docs(spark, d))).drop("suggested_sources")
+    gaps = _gaps(spark, d).drop("suggested_sources")
     listed = gaps.withColumn("suggested_sources", F.concat_ws(", ", gap_sources(F.col("entity_type"), F.col("missing_attribute"))))
     return listed.groupBy("entity_type", "missing_attribute", "suggested_sources").agg(F.count("*").alias("n"))
 
@@ -138,9 +142,8 @@ def _jobs(spark):
 
 @query("ext_1_rule_errors", f"{_ATTRS}, {_ERRORS} SELECT * FROM errors")
 def ext_1(spark, d):
-    e = entities(spark, d)
-    attributes = detail.entity_attributes(e, edges(spark, d), docs(spark, d))
-    return detail.rule_errors(e, attributes, _jobs(spark), 1900, 2000)
+    found = detail.entity_attributes(mentions(spark, d), edges(spark, d))
+    return detail.rule_errors(entities(spark, d), found, _jobs(spark), 1900, 2000)
 
 
 @query(
@@ -148,8 +151,6 @@ def ext_1(spark, d):
     f"{BASE} SELECT type, count(*) AS n FROM (SELECT CASE WHEN type <> 'Other' THEN type ELSE {q.entity_class('name')} END AS type FROM ent) x GROUP BY ALL",
 )
 def ext_4(spark, d):
-    from graphloom.functions.classify import entity_class
-
     given = F.when(F.col("type") != "Other", F.col("type"))
     return entities(spark, d).groupBy(entity_class(F.col("name"), given).alias("type")).agg(F.count("*").alias("n"))
 
@@ -172,7 +173,7 @@ _ASSOC = f"{BASE}, {_pairs_sql()} SELECT doc_id, entity1, entity2, round(strengt
 
 
 def _associations(spark, d, **kw):
-    return pairs.pair_associations(entities(spark, d), edges(spark, d), docs(spark, d), **kw)
+    return pairs.pair_associations(stored_mentions(entities(spark, d), docs(spark, d)), edges(spark, d), **kw)
 
 
 def _shown(df):
@@ -197,7 +198,7 @@ def mth_9_compat(spark, d):
     f"{BASE}, {_pairs_sql()} SELECT doc_id, entity1, entity2 FROM str WHERE cooc * 0.3::DOUBLE + sim * 0.2::DOUBLE > 0.3::DOUBLE",
 )
 def jn_8(spark, d):
-    return pairs.near_pairs(pairs.entity_positions(entities(spark, d), docs(spark, d))).select("doc_id", "entity1", "entity2")
+    return pairs.near_pairs(stored_mentions(entities(spark, d), docs(spark, d))).select("doc_id", "entity1", "entity2")
 
 
 @query(

@@ -42,6 +42,12 @@ def pages(spark, d):
     return rows.select(F.col("page_id").alias("eid"), F.col("url").alias("name"), F.lit(None).cast("map<string,string>").alias("attributes"))
 
 
+def parts(spark, d):
+    rows = table(spark, d, "part")
+    attributes = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"))
+    return rows.select(F.col("p_partkey").alias("eid"), F.col("p_name").alias("name"), attributes.alias("attributes"))
+
+
 def document_entities(spark, d):
     docs = read_documents(spark, f"{d}/documents.parquet")
     return docs.select(F.col("doc_id").alias("eid"), F.col("text").alias("name"), F.lit(None).cast("map<string,string>").alias("attributes"))
@@ -89,16 +95,13 @@ def top_1(spark, d):
     return keywords.top_keywords(keywords.keyword_counts(keywords.entity_tokens(document_entities(spark, d))))
 
 
-@query("udf_3_custom_tokenizer", "SELECT token, count(*) AS n FROM (SELECT unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS token FROM part) t GROUP BY ALL")
+@query("udf_3_custom_tokenizer", "SELECT token, count(*) AS n FROM (SELECT unnest(string_split(lower(p_name || ' ' || p_brand || ' ' || p_type), ' ')) AS token FROM part) t GROUP BY ALL")
 def udf_3(spark, d):
     @F.pandas_udf("array<string>")
     def lower_words(texts: pd.Series) -> pd.Series:
         return texts.str.lower().str.split(" ")
 
-    entities = table(spark, d, "part").select(
-        F.col("p_partkey").alias("eid"), F.col("p_name").alias("name"), F.create_map(F.lit("type"), F.col("p_type")).alias("attributes")
-    )
-    return keywords.keyword_counts(keywords.entity_tokens(entities, lower_words))
+    return keywords.keyword_counts(keywords.entity_tokens(parts(spark, d), lower_words))
 
 
 def _similar_ctes(source, latin=True):
@@ -120,7 +123,7 @@ SELECT profile1, profile2, round(score, 6) AS score, pairs, {q.joined('list_sort
 
 
 _PAGES = "SELECT page_id AS eid, url AS txt FROM pages"
-_DOCS = "SELECT doc_id AS eid, text AS txt FROM documents"
+_PARTS = "SELECT p_partkey AS eid, p_name || ' ' || p_brand || ' ' || p_type AS txt FROM part"
 
 
 def _shown(df):
@@ -132,9 +135,9 @@ def jn_10(spark, d):
     return _shown(keywords.similar_entities(pages(spark, d)))
 
 
-@query("mth_12_cosine_similarity", _similar_sql(_DOCS, 0.9))
+@query("mth_12_cosine_similarity", _similar_sql(_PARTS, 0.9))
 def mth_12(spark, d):
-    return _shown(keywords.similar_entities(document_entities(spark, d), 0.9))
+    return _shown(keywords.similar_entities(parts(spark, d), 0.9))
 
 
 @query(
