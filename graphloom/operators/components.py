@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.operators.ranking import sorted_index
-from graphloom.session import cut_lineage
+from graphloom.session import counted_side, cut_lineage
 
 MAX_ROUNDS = 10_000
 
@@ -25,51 +25,35 @@ def _trim(edges: DataFrame) -> DataFrame:
     return kept.join(inner.select(F.col("node").alias("target")), "target", "left_semi")
 
 
-def _trim_while_useful(edges: DataFrame, passes_per_cut: int = 2, least_gain: float = 0.2) -> tuple[DataFrame, int]:
-    """Trim as long as it pays; what it leaves of acyclic tails, the label rounds remove."""
-    size = edges.count()
-    while size:
-        trimmed = edges
-        for _ in range(passes_per_cut):
-            trimmed = _trim(trimmed)
-        edges = cut_lineage(trimmed)
-        before, size = size, edges.count()
-        if size > before * (1 - least_gain):
-            break
-    return edges, size
-
-
 def strongly_connected_components(edges: DataFrame) -> DataFrame:
     """(component, node, size) rows of the components with more than one node.
 
-    ``component`` is the smallest node name. Each round trims the graph, spreads
-    the smallest reachable-from label along the edges until it stops changing,
-    and takes from every label's region the nodes that reach the label's own node
-    back: one component each. Those nodes leave the graph. Messages are combined
-    with ``min`` before they are shuffled, so a hub costs one row per task, and
-    every round starts from a checkpoint.
+    ``component`` is the smallest node name. Every node gets a random-like label.
+    A round spreads the smallest label forward and backward along the edges to
+    the fixpoint. Nodes that received the same label both ways reach its owner
+    and are reached from it: they are its component and leave the graph. Edges
+    between nodes with different labels lie on no cycle and leave as well. Labels
+    are hashes, so a round splits the rest like a random pivot does and the
+    number of rounds grows with the logarithm of the graph.
+
+    Messages are combined with ``min`` before they are shuffled, so a hub costs
+    one row per task; every step starts from a checkpoint.
     """
-    rest = cut_lineage(_pairs(edges).filter("source != target"))
+    rest = cut_lineage(_trim(_pairs(edges).filter("source != target")))
     parts: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
-        rest, size = _trim_while_useful(rest)
-        if size == 0:
+        if rest.isEmpty():
             break
-        colours = _spread_min(rest)
-        inside = cut_lineage(
-            rest.join(colours.withColumnsRenamed({"node": "source", "colour": "_a"}), "source")
-            .join(colours.withColumnsRenamed({"node": "target", "colour": "_b"}), "target")
+        labels = _spread_labels(rest)
+        parts.append(labels.filter("f = b").select(F.col("f.node").alias("pivot"), "node"))
+        open_ = labels.filter("f != b").select("node", F.struct("f", "b").alias("l"))
+        same = (
+            rest.join(open_.withColumnsRenamed({"node": "source", "l": "_a"}), "source")
+            .join(open_.withColumnsRenamed({"node": "target", "l": "_b"}), "target")
             .filter("_a = _b")
-            .select("source", "target", F.col("_a").alias("colour"))
-        )
-        members = _reach_back(inside)
-        parts.append(members)
-        # edges between regions cannot lie on a cycle; edges of found nodes are done
-        rest = cut_lineage(
-            inside.join(members.select(F.col("node").alias("source")), "source", "left_anti")
-            .join(members.select(F.col("node").alias("target")), "target", "left_anti")
             .select("source", "target")
         )
+        rest = cut_lineage(_trim(same))
     else:
         raise RuntimeError("components did not end")
     if not parts:
@@ -77,53 +61,44 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    sizes = found.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1")
-    return found.join(sizes, "component").select("component", "node", "size")
+    sizes = found.groupBy("pivot").agg(F.min("node").alias("component"), F.count("*").alias("size")).filter("size > 1")
+    return found.join(sizes, "pivot").select("component", "node", "size")
 
 
-def _spread_min(edges: DataFrame) -> DataFrame:
-    """(node, colour): the smallest name among a node and all nodes that reach it."""
+def _spread_labels(edges: DataFrame) -> DataFrame:
+    """(node, f, b): the smallest label among the nodes that reach a node, and among those it reaches."""
     nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    state = cut_lineage(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("fresh")))
+    own = F.struct(F.xxhash64("node").alias("h"), F.col("node"))
+    start = nodes.select("node", own.alias("f"), own.alias("b"), F.lit(True).alias("new_f"), F.lit(True).alias("new_b"))
+    state = cut_lineage(start)
     for _ in range(MAX_ROUNDS):
+        changed = state.filter("new_f or new_b")
+        n = changed.count()
+        if n == 0:
+            return state.select("node", "f", "b")
+        ahead = counted_side(changed.filter("new_f").select(F.col("node").alias("source"), "f"), n)
+        back = counted_side(changed.filter("new_b").select(F.col("node").alias("target"), "b"), n)
+        none = F.lit(None).cast(state.schema["f"].dataType)
         news = (
-            edges.join(state.filter("fresh").select(F.col("node").alias("source"), "colour"), "source")
-            .groupBy("target")
-            .agg(F.min("colour").alias("_new"))
-            .withColumnRenamed("target", "node")
+            edges.join(ahead, "source").select(F.col("target").alias("node"), F.col("f").alias("_f"), none.alias("_b"))
+            .union(edges.join(back, "target").select(F.col("source").alias("node"), none, F.col("b")))
+            .groupBy("node")
+            .agg(F.min("_f").alias("_f"), F.min("_b").alias("_b"))
         )
-        better = F.col("_new").isNotNull() & (F.col("_new") < F.col("colour"))
+        new_f = F.coalesce(F.col("_f") < F.col("f"), F.lit(False))
+        new_b = F.coalesce(F.col("_b") < F.col("b"), F.lit(False))
         state = cut_lineage(
             state.join(news, "node", "left").select(
-                "node", F.when(better, F.col("_new")).otherwise(F.col("colour")).alias("colour"), better.alias("fresh")
+                "node",
+                F.when(new_f, F.col("_f")).otherwise(F.col("f")).alias("f"),
+                F.when(new_b, F.col("_b")).otherwise(F.col("b")).alias("b"),
+                new_f.alias("new_f"),
+                new_b.alias("new_b"),
             )
         )
-        if state.filter("fresh").isEmpty():
-            return state.select("node", "colour")
     raise RuntimeError("labels did not settle")
 
 
-def _reach_back(inside: DataFrame) -> DataFrame:
-    """(component, node): per colour, the nodes from which its own node can be reached."""
-    own = inside.select("colour").distinct().select(F.col("colour").alias("component"), F.col("colour").alias("node"))
-    seen = cut_lineage(own.withColumn("fresh", F.lit(True)))
-    for _ in range(MAX_ROUNDS):
-        steps = (
-            inside.join(seen.filter("fresh").select(F.col("node").alias("target")), "target", "left_semi")
-            .select(F.col("colour").alias("component"), F.col("source").alias("node"))
-            .distinct()
-            .join(seen.select("node"), "node", "left_anti")
-        )
-        seen = cut_lineage(
-            seen.select("component", "node", F.lit(False).alias("fresh")).unionByName(
-                steps.select("component", "node", F.lit(True).alias("fresh"))
-            )
-        )
-        if seen.filter("fresh").isEmpty():
-            return seen.select("component", "node")
-    raise RuntimeError("backward search did not end")
-
-
 def dependency_levels(edges: DataFrame, entities: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """(node, level) by peeling, and whether every node got a level (False: there is a cycle).
 
@@ -144,9 +119,10 @@ def dependency_levels(edges: DataFrame, entities: DataFrame | None = None) -> tu
         ready = F.col("level").isNull() & (F.col("open") == 0)
         state = state.withColumn("level", F.when(ready, F.lit(level)).otherwise(F.col("level")))
         gone = state.filter(F.col("level") == level).select(F.col("node").alias("source"))
-        if gone.isEmpty():
+        n = gone.count()
+        if n == 0:
             break
-        lowered = all_pairs.join(gone, "source", "left_semi").groupBy(F.col("target").alias("node")).agg(F.count("*").alias("_n"))
+        lowered = all_pairs.join(counted_side(gone, n), "source", "left_semi").groupBy(F.col("target").alias("node")).agg(F.count("*").alias("_n"))
         state = cut_lineage(
             state.join(lowered, "node", "left").select(
                 "node", (F.col("open") - F.coalesce("_n", F.lit(0))).alias("open"), "level"
@@ -215,19 +191,22 @@ def _search(starts: DataFrame, links: DataFrame) -> DataFrame:
             F.lit(None).cast("string").alias("parent"),
         )
     )
+    steps = seen
     for dist in range(1, MAX_ROUNDS):
-        front = seen.filter(F.col("dist") == dist - 1).select("eid1", "start", F.col("node").alias("source"))
-        steps = (
-            links.join(front, "source")
+        n = steps.count()
+        if n == 0:
+            return seen
+        front = steps.select("eid1", "start", F.col("node").alias("source"))
+        found = (
+            links.join(counted_side(front, n), "source")
             .groupBy("eid1", "start", F.col("target").alias("node"))
             .agg(F.min("source").alias("parent"))
             .join(seen.select("eid1", "node"), ["eid1", "node"], "left_anti")
             .select("eid1", "start", "node", F.lit(dist).alias("dist"), "parent")
         )
-        steps = cut_lineage(steps)
-        if steps.isEmpty():
-            return seen
-        seen = cut_lineage(seen.unionByName(steps))
+        steps = cut_lineage(found)
+        # the parts are checkpoints: the union only grows by one scan per step
+        seen = seen.unionByName(steps)
     raise RuntimeError("search did not end")
 
 

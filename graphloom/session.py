@@ -69,6 +69,11 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def counted_side(df: DataFrame, rows: int) -> DataFrame:
+    """The same for a table whose row count is already known, as in the rounds of a loop."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give a scan with fewer splits than cores one partition per core; any other scan stays as it is.
 
