@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.operators.ranking import sorted_index
-from graphloom.session import counted_side, cut_lineage
+from graphloom.session import counted_side_of, cut_lineage, in_one_task
 
 MAX_ROUNDS = 10_000
 
@@ -42,9 +42,11 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
     rest = cut_lineage(_trim(_pairs(edges).filter("source != target")))
     parts: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
-        if rest.isEmpty():
+        size = rest.count()
+        if size == 0:
             break
-        labels = _spread_labels(rest)
+        rest = in_one_task(rest, size)
+        labels = _spread_labels(rest, size)
         parts.append(labels.filter("f = b").select(F.col("f.node").alias("pivot"), "node"))
         open_ = labels.filter("f != b").select("node", F.struct("f", "b").alias("l"))
         same = (
@@ -65,29 +67,28 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
     return found.join(sizes, "pivot").select("component", "node", "size")
 
 
-def _spread_labels(edges: DataFrame) -> DataFrame:
+def _spread_labels(edges: DataFrame, size: int) -> DataFrame:
     """(node, f, b): the smallest label among the nodes that reach a node, and among those it reaches."""
     nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
     own = F.struct(F.xxhash64("node").alias("h"), F.col("node"))
     start = nodes.select("node", own.alias("f"), own.alias("b"), F.lit(True).alias("new_f"), F.lit(True).alias("new_b"))
-    state = cut_lineage(start)
+    state = in_one_task(cut_lineage(start), size)
     for _ in range(MAX_ROUNDS):
         changed = state.filter("new_f or new_b")
         n = changed.count()
         if n == 0:
             return state.select("node", "f", "b")
-        ahead = counted_side(changed.filter("new_f").select(F.col("node").alias("source"), "f"), n)
-        back = counted_side(changed.filter("new_b").select(F.col("node").alias("target"), "b"), n)
+        ahead = counted_side_of(changed.filter("new_f").select(F.col("node").alias("source"), "f"), n, size)
+        back = counted_side_of(changed.filter("new_b").select(F.col("node").alias("target"), "b"), n, size)
         none = F.lit(None).cast(state.schema["f"].dataType)
         news = (
             edges.join(ahead, "source").select(F.col("target").alias("node"), F.col("f").alias("_f"), none.alias("_b"))
             .union(edges.join(back, "target").select(F.col("source").alias("node"), none, F.col("b")))
-            .groupBy("node")
-            .agg(F.min("_f").alias("_f"), F.min("_b").alias("_b"))
         )
+        news = in_one_task(news, size).groupBy("node").agg(F.min("_f").alias("_f"), F.min("_b").alias("_b"))
         new_f = F.coalesce(F.col("_f") < F.col("f"), F.lit(False))
         new_b = F.coalesce(F.col("_b") < F.col("b"), F.lit(False))
-        state = cut_lineage(
+        moved = cut_lineage(
             state.join(news, "node", "left").select(
                 "node",
                 F.when(new_f, F.col("_f")).otherwise(F.col("f")).alias("f"),
@@ -96,6 +97,7 @@ def _spread_labels(edges: DataFrame) -> DataFrame:
                 new_b.alias("new_b"),
             )
         )
+        state = in_one_task(moved, size)
     raise RuntimeError("labels did not settle")
 
 
@@ -106,6 +108,8 @@ def dependency_levels(edges: DataFrame, entities: DataFrame | None = None) -> tu
     is a cycle. In-degrees are counted once and lowered by the peeled nodes only.
     """
     all_pairs = cut_lineage(_pairs(edges))
+    size = all_pairs.count()
+    all_pairs = in_one_task(all_pairs, size)
     nodes = all_pairs.select(F.explode(F.array("source", "target")).alias("node"))
     if entities is not None:
         nodes = nodes.union(entities.select(F.col("name").alias("node")))
@@ -115,6 +119,7 @@ def dependency_levels(edges: DataFrame, entities: DataFrame | None = None) -> tu
         .join(incoming, "node", "left")
         .select("node", F.coalesce("open", F.lit(0)).alias("open"), F.lit(None).cast("int").alias("level"))
     )
+    state = in_one_task(state, max(size, state.count()))
     for level in range(MAX_ROUNDS):
         ready = F.col("level").isNull() & (F.col("open") == 0)
         state = state.withColumn("level", F.when(ready, F.lit(level)).otherwise(F.col("level")))
@@ -122,7 +127,7 @@ def dependency_levels(edges: DataFrame, entities: DataFrame | None = None) -> tu
         n = gone.count()
         if n == 0:
             break
-        lowered = all_pairs.join(counted_side(gone, n), "source", "left_semi").groupBy(F.col("target").alias("node")).agg(F.count("*").alias("_n"))
+        lowered = all_pairs.join(counted_side_of(gone, n, size), "source", "left_semi").groupBy(F.col("target").alias("node")).agg(F.count("*").alias("_n"))
         state = cut_lineage(
             state.join(lowered, "node", "left").select(
                 "node", (F.col("open") - F.coalesce("_n", F.lit(0))).alias("open"), "level"
@@ -156,6 +161,8 @@ def transitive_gaps(entities: DataFrame, edges: DataFrame, limit: int = 5, first
     target it takes the smallest predecessor at every step.
     """
     links = cut_lineage(_pairs(edges).filter("source != target"))
+    size = links.count()
+    links = in_one_task(links, size)
     names = entities.select("eid", "name")
     second = links.select(F.col("source").alias("target")).distinct()
     starts = cut_lineage(
@@ -169,7 +176,7 @@ def transitive_gaps(entities: DataFrame, edges: DataFrame, limit: int = 5, first
         top = pool.orderBy("eid").limit(chunk).agg(F.max("eid")).first()[0]
         if top is None:
             break
-        seen = _search(pool.filter(F.col("eid") <= top), links)
+        seen = _search(pool.filter(F.col("eid") <= top), links, size)
         hits = (
             seen.filter("dist >= 2")
             .join(names.select(F.col("eid").alias("eid2"), F.col("name").alias("node")), "node")
@@ -183,7 +190,7 @@ def transitive_gaps(entities: DataFrame, edges: DataFrame, limit: int = 5, first
     return edges.sparkSession.createDataFrame(rows, schema)
 
 
-def _search(starts: DataFrame, links: DataFrame) -> DataFrame:
+def _search(starts: DataFrame, links: DataFrame, size: int) -> DataFrame:
     """(eid1, start, node, dist, parent) for every node reached from the starts."""
     seen = cut_lineage(
         starts.select(
@@ -198,7 +205,7 @@ def _search(starts: DataFrame, links: DataFrame) -> DataFrame:
             return seen
         front = steps.select("eid1", "start", F.col("node").alias("source"))
         found = (
-            links.join(counted_side(front, n), "source")
+            links.join(counted_side_of(front, n, size), "source")
             .groupBy("eid1", "start", F.col("target").alias("node"))
             .agg(F.min("source").alias("parent"))
             .join(seen.select("eid1", "node"), ["eid1", "node"], "left_anti")

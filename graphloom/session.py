@@ -74,6 +74,24 @@ def counted_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+# a table of a loop with at most this many rows is handled by one task
+ONE_TASK_ROWS = 50_000
+
+
+def in_one_task(df: DataFrame, rows: int) -> DataFrame:
+    """Put a table of few, counted rows into one partition: its joins and groupings then need no shuffle.
+
+    The last rounds of a loop work on a small rest, where scheduling would cost
+    more than the work. Larger tables stay partitioned as they are.
+    """
+    return df.coalesce(1) if rows <= ONE_TASK_ROWS else df
+
+
+def counted_side_of(df: DataFrame, rows: int, other_rows: int) -> DataFrame:
+    """``counted_side``, but no broadcast where the other side is in one task as well."""
+    return df if other_rows <= ONE_TASK_ROWS else counted_side(df, rows)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give a scan with fewer splits than cores one partition per core; any other scan stays as it is.
 
