@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from graphloom.operators.ranking import SLICE, previous_value, running_index
+from graphloom.session import small_side
 
 
 def collapse_directed(edges: DataFrame, order: str = "rid") -> DataFrame:
@@ -53,24 +54,22 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def neighbour_preview(collapsed: DataFrame, k: int = 3) -> DataFrame:
     """Per node its first ``k`` neighbours by name, its degree and how many neighbours are not shown."""
     n1, n2 = F.col("node1"), F.col("node2")
+    # a self-loop shows the node once and counts twice in the degree
     sides = F.array(
-        F.struct(n1.alias("node"), n2.alias("neighbour")),
-        F.when(n1 != n2, F.struct(n2.alias("node"), n1.alias("neighbour"))),
+        F.struct(n1.alias("node"), n2.alias("neighbour"), F.when(n1 == n2, 2).otherwise(1).alias("ends")),
+        F.when(n1 != n2, F.struct(n2.alias("node"), n1.alias("neighbour"), F.lit(1).alias("ends"))),
     )
     rows = collapsed.select(F.inline(F.array_compact(sides)))
     w = Window.partitionBy("node").orderBy("neighbour")
     # the row_number() <= k limit is applied inside every task before the shuffle
     first = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-    shown = first.groupBy("node").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "neighbour"))), lambda s: s["neighbour"]), ", ").alias(
-            "preview"
-        )
-    )
-    totals = rows.groupBy("node").agg(F.count("*").alias("_n"))
-    return (
-        shown.join(totals, "node")
-        .join(undirected_degrees(collapsed), "node")
-        .select("node", "degree", "preview", F.greatest(F.col("_n") - k, F.lit(0)).alias("more"))
+    shown = first.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("_r", "neighbour"))).alias("_s"))
+    totals = rows.groupBy("node").agg(F.sum("ends").alias("degree"), F.count("*").alias("_n"))
+    return shown.join(totals, "node").select(
+        "node",
+        "degree",
+        F.array_join(F.transform("_s", lambda s: s["neighbour"]), ", ").alias("preview"),
+        F.greatest(F.col("_n") - k, F.lit(0)).alias("more"),
     )
 
 
@@ -98,7 +97,7 @@ def category_groups(entities: DataFrame) -> DataFrame:
 
 def category_members(entities: DataFrame) -> DataFrame:
     """(type, name) rows of the category groups."""
-    return entities.select("type", "name").join(category_groups(entities), "type")
+    return entities.select("type", "name").join(small_side(category_groups(entities)), "type")
 
 
 def category_gaps(entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +111,7 @@ def category_gaps(entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, Dat
     for chosen members lists their pairs.
     """
     ranked = running_index(entities.select("eid", "name", "type"), ["type"], "eid", "rank").join(
-        category_groups(entities), "type"
+        small_side(category_groups(entities)), "type"
     )
     members = ranked.select("type", "rank", "eid", "name", "members")
     pos = members.select("name", "type", "rank")

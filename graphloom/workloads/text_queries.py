@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from graphloom import rules as R
 from graphloom.functions import text as tx
 from graphloom.operators import completion, facts as fc
-from graphloom.operators.quality import assess_quality, drop_blank, quality_gate
-from graphloom.plans.documents_to_graph import documents_to_graph, document_reports, processed_documents, refine
-from graphloom.sources.documents import read_documents, reject_reason, split_rejects
+from graphloom.operators.quality import assess_quality, drop_blank
+from graphloom.plans.documents_to_graph import document_reports, documents_to_graph, refine
+from graphloom.sources.documents import read_documents, split_rejects
 from graphloom.sources.facts import conflict_rules, default_facts
 from graphloom.workloads import sql_text as q
 from graphloom.workloads.registry import query
@@ -45,9 +45,8 @@ def flt_1(spark, d):
     f"WITH {q.assessed(q.DOCS, R.LATIN)} SELECT is_high_quality AS passed, count(*) AS n FROM assessed GROUP BY ALL",
 )
 def flt_2(spark, d):
-    good, bad = quality_gate(assess_quality(documents(spark, d), R.LATIN))
-    both = good.select(F.lit(True).alias("passed")).unionByName(bad.select(F.lit(False).alias("passed")))
-    return both.groupBy("passed").agg(F.count("*").alias("n"))
+    assessed = assess_quality(documents(spark, d), R.LATIN)
+    return assessed.groupBy(F.col("is_high_quality").alias("passed")).agg(F.count("*").alias("n"))
 
 
 @query("txt_1_stripped_length", f"SELECT doc_id, length({q.strip('text')}) AS n FROM ({q.ZH}) z")

@@ -485,3 +485,20 @@ def str_1(spark, d):
     found = incremental.stream_triples(docs, R.LATIN)
     incremental.append_stream(found, f"{path}/graph", f"{path}/progress", availableNow=True).awaitTermination()
     return incremental.current_graph(spark, f"{path}/graph").select("head", "relation", "tail", _r())
+
+
+@query(
+    "str_1_running_relation_counts",
+    f"SELECT relation, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM ({q.rule_triples(q.DOCS, R.LATIN)}) t GROUP BY ALL",
+)
+def str_1_counts(spark, d):
+    path = run_dir(spark, "counts")
+    docs = spark.readStream.schema(schemas.DOCUMENTS).option("pathGlobFilter", "documents.parquet").parquet(d)
+    counts = incremental.stream_relation_counts(incremental.stream_triples(docs, R.LATIN))
+
+    def publish(table, _):
+        table.write.mode("overwrite").parquet(f"{path}/table")
+
+    writer = counts.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", f"{path}/progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/table").withColumn("avg_confidence", F.round("avg_confidence", 6))

@@ -7,9 +7,9 @@ from graphloom import rules as R
 from graphloom.functions import text as tx
 from graphloom.operators import completion
 from graphloom.operators import facts as fc
-from graphloom.operators.quality import assess_quality, drop_blank
-from graphloom.plans.documents_to_graph import document_reports, documents_to_graph, processed_documents
-from graphloom.sources.documents import split_rejects
+from graphloom.operators.quality import assess_quality, drop_blank, quality_gate
+from graphloom.plans.documents_to_graph import document_reports, documents_to_graph, processed_documents, write_reports
+from graphloom.sources.documents import read_documents, split_rejects
 from graphloom.sources.facts import conflict_rules, default_facts
 
 TEXTS = {
@@ -47,6 +47,8 @@ def test_scores_and_gate(docs):
         got = (r.completeness, round(r.consistency, 6), r.relevance, r.quality_score)
         assert got == (complete, consistent, relevant, quality), i
         assert r.is_high_quality == (i not in (11, 12, 15))
+    good, bad = quality_gate(assess_quality(drop_blank(docs)))
+    assert good.count() == 12 and {r.doc_id for r in bad.collect()} == {11, 12, 15}
     assert rows[11].issues == ["实体信息不足", "缺少关系信息", "地理冲突：巴黎不在德国", "缺少标点符号"]
     assert rows[15].issues == ["数据过短", "实体信息不足", "缺少关系信息", "缺少标点符号"]
     assert rows[7].issues == ["全大写格式"]
@@ -117,6 +119,20 @@ def test_failing_text_is_repaired(docs):
     assert out[1].processed_text == TEXTS[1][0] and out[1].corrections is None
 
 
+def test_sources_and_report_sink(spark, docs, tmp_path):
+    kept = docs.filter("doc_id < 15")
+    kept.write.json(f"{tmp_path}/j")
+    kept.write.option("header", True).csv(f"{tmp_path}/c")
+    kept.write.orc(f"{tmp_path}/o")
+    kept.select("text").write.text(f"{tmp_path}/t")
+    want = sorted(tuple(r) for r in kept.collect())
+    for fmt, place in (("json", "j"), ("csv", "c"), ("orc", "o")):
+        assert sorted(tuple(r) for r in read_documents(spark, f"{tmp_path}/{place}", fmt).collect()) == want
+    assert sorted(r.text for r in read_documents(spark, f"{tmp_path}/t", "text").collect()) == sorted(t for _, t in want)
+    write_reports(document_reports(documents_to_graph(docs)), f"{tmp_path}/r")
+    assert spark.read.json(f"{tmp_path}/r").count() == 16
+
+
 def test_strip_matches_python(spark):
     texts = ["a b", " \t a　", "\x1ca\x1f", " a ", "", "　"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
