@@ -14,6 +14,21 @@ def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").distinct()
 
 
+def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, name) and the pairs as node numbers.
+
+    Rounds join and group on 8-byte numbers in place of names. A number is the
+    64-bit hash of a running id; that hash maps different 64-bit values to
+    different ones, so numbers are unique and in random order.
+    """
+    names = pairs.select(F.explode(F.array("source", "target")).alias("name")).distinct()
+    nodes = cut_lineage(names.select(F.xxhash64(F.monotonically_increasing_id()).alias("node"), "name"))
+    out = pairs
+    for end in ("source", "target"):
+        out = out.join(nodes.select(F.col("name").alias(end), F.col("node").alias(f"_{end}")), end)
+    return nodes, out.select(F.col("_source").alias("source"), F.col("_target").alias("target"))
+
+
 def _trim(edges: DataFrame) -> DataFrame:
     """Drop edges at nodes that nothing points to or that point nowhere."""
     ends = F.array(
@@ -21,33 +36,49 @@ def _trim(edges: DataFrame) -> DataFrame:
         F.struct(F.col("target").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")),
     )
     inner = edges.select(F.inline(ends)).groupBy("node").agg(F.max("o").alias("o"), F.max("i").alias("i")).filter("o = 1 and i = 1")
-    kept = edges.join(inner.select(F.col("node").alias("source")), "source", "left_semi")
-    return kept.join(inner.select(F.col("node").alias("target")), "target", "left_semi")
+    # one row per node: the joins keep every edge once
+    kept = edges.join(inner.select(F.col("node").alias("source")), "source")
+    return kept.join(inner.select(F.col("node").alias("target")), "target").select("source", "target")
+
+
+def _trim_while_useful(edges: DataFrame, least_gain: float = 0.1) -> tuple[DataFrame, int]:
+    """Trim as long as a step drops a tenth of the edges; returns the rest and its size.
+
+    What is left of acyclic tails, the label rounds remove.
+    """
+    edges = cut_lineage(edges)
+    size = edges.count()
+    while size:
+        edges = in_one_task(edges, size)
+        edges = cut_lineage(_trim(_trim(edges)))
+        before, size = size, edges.count()
+        if size > before * (1 - least_gain):
+            break
+    return in_one_task(edges, size), size
 
 
 def strongly_connected_components(edges: DataFrame) -> DataFrame:
     """(component, node, size) rows of the components with more than one node.
 
-    ``component`` is the smallest node name. Every node gets a random-like label.
-    A round spreads the smallest label forward and backward along the edges to
-    the fixpoint. Nodes that received the same label both ways reach its owner
-    and are reached from it: they are its component and leave the graph. Edges
-    between nodes with different labels lie on no cycle and leave as well. Labels
-    are hashes, so a round splits the rest like a random pivot does and the
-    number of rounds grows with the logarithm of the graph.
+    ``component`` is the smallest node name. Every node gets a random number. A
+    round spreads the smallest number forward and backward along the edges to the
+    fixpoint. Nodes that received the same one both ways reach its owner and are
+    reached from it: they are its component and leave the graph. Edges between
+    nodes with different labels lie on no cycle and leave as well. A round splits
+    the rest like a random pivot does, so the number of rounds grows with the
+    logarithm of the graph.
 
     Messages are combined with ``min`` before they are shuffled, so a hub costs
     one row per task; every step starts from a checkpoint.
     """
-    rest = cut_lineage(_trim(_pairs(edges).filter("source != target")))
+    nodes, numbered = _numbered(_pairs(edges).filter("source != target"))
+    rest, size = _trim_while_useful(numbered)
     parts: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
-        size = rest.count()
         if size == 0:
             break
-        rest = in_one_task(rest, size)
         labels = _spread_labels(rest, size)
-        parts.append(labels.filter("f = b").select(F.col("f.node").alias("pivot"), "node"))
+        parts.append(labels.filter("f = b").select(F.col("f").alias("pivot"), "node"))
         open_ = labels.filter("f != b").select("node", F.struct("f", "b").alias("l"))
         same = (
             rest.join(open_.withColumnsRenamed({"node": "source", "l": "_a"}), "source")
@@ -55,23 +86,24 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
             .filter("_a = _b")
             .select("source", "target")
         )
-        rest = cut_lineage(_trim(same))
+        rest, size = _trim_while_useful(same)
     else:
         raise RuntimeError("components did not end")
     if not parts:
-        return rest.select(F.col("source").alias("component"), F.col("target").alias("node"), F.lit(0).cast("bigint").alias("size"))
+        return nodes.limit(0).select(F.col("name").alias("component"), F.col("name").alias("node"), F.lit(0).cast("bigint").alias("size"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    sizes = found.groupBy("pivot").agg(F.min("node").alias("component"), F.count("*").alias("size")).filter("size > 1")
-    return found.join(sizes, "pivot").select("component", "node", "size")
+    sizes = found.groupBy("pivot").agg(F.count("*").alias("size")).filter("size > 1")
+    members = found.join(sizes, "pivot").join(nodes, "node")
+    first = members.groupBy("pivot").agg(F.min("name").alias("component"))
+    return members.join(first, "pivot").select("component", F.col("name").alias("node"), "size")
 
 
 def _spread_labels(edges: DataFrame, size: int) -> DataFrame:
-    """(node, f, b): the smallest label among the nodes that reach a node, and among those it reaches."""
+    """(node, f, b): the smallest node among those that reach a node, and among those it reaches."""
     nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    own = F.struct(F.xxhash64("node").alias("h"), F.col("node"))
-    start = nodes.select("node", own.alias("f"), own.alias("b"), F.lit(True).alias("new_f"), F.lit(True).alias("new_b"))
+    start = nodes.select("node", F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("new_f"), F.lit(True).alias("new_b"))
     state = in_one_task(cut_lineage(start), size)
     for _ in range(MAX_ROUNDS):
         changed = state.filter("new_f or new_b")
@@ -80,7 +112,7 @@ def _spread_labels(edges: DataFrame, size: int) -> DataFrame:
             return state.select("node", "f", "b")
         ahead = counted_side_of(changed.filter("new_f").select(F.col("node").alias("source"), "f"), n, size)
         back = counted_side_of(changed.filter("new_b").select(F.col("node").alias("target"), "b"), n, size)
-        none = F.lit(None).cast(state.schema["f"].dataType)
+        none = F.lit(None).cast("bigint")
         news = (
             edges.join(ahead, "source").select(F.col("target").alias("node"), F.col("f").alias("_f"), none.alias("_b"))
             .union(edges.join(back, "target").select(F.col("source").alias("node"), none, F.col("b")))
