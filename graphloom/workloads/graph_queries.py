@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom import rules as R
 from graphloom.operators import causal, components, graph, keywords
 from graphloom.operators.ranking import sorted_index
-from graphloom.plans.global_analysis import GlobalAnalysis
+from graphloom.plans.whole_graph import GlobalAnalysis
 from graphloom.sources.documents import read_documents
 from graphloom.workloads import sql_text as q
 from graphloom.workloads.registry import query

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom import rules as R
 from graphloom.operators import causal, components, detail, graph, keywords, pairs, ranking
 from graphloom.operators.mentions import entity_mentions
-from graphloom.plans.global_analysis import GlobalAnalysis
+from graphloom.plans.whole_graph import GlobalAnalysis
 
 
 def edge_table(spark, links):
