@@ -103,24 +103,24 @@ def _quality_query(key, columns, spark_cols, source="zh"):
     @query(key, f"WITH {q.assessed(src, pack)} SELECT doc_id, {columns} FROM assessed")
     def run(spark, d):
         docs = zh(spark, d) if source == "zh" else documents(spark, d)
-        return assess_quality(docs, pack).select("doc_id", *spark_cols)
+        return assess_quality(docs, pack).select("doc_id", *spark_cols())
 
 
 def _r(name, digits=6):
     return F.round(name, digits).alias(name)
 
 
-_quality_query("txt_11_issues", f"{q.joined('issues')} AS issues", [_joined("issues").alias("issues")])
-_quality_query("txt_12_recommendation", "recommendation", ["recommendation"])
-_quality_query("mth_1_completeness", "round(completeness, 6) AS completeness", [_r("completeness")])
-_quality_query("mth_2_consistency", "round(consistency, 6) AS consistency", [_r("consistency")])
-_quality_query("mth_3_relevance", "round(relevance, 6) AS relevance", [_r("relevance")], "documents")
-_quality_query("mth_4_quality", "quality_score", ["quality_score"], "documents")
+_quality_query("txt_11_issues", f"{q.joined('issues')} AS issues", lambda: [_joined("issues").alias("issues")])
+_quality_query("txt_12_recommendation", "recommendation", lambda: ["recommendation"])
+_quality_query("mth_1_completeness", "round(completeness, 6) AS completeness", lambda: [_r("completeness")])
+_quality_query("mth_2_consistency", "round(consistency, 6) AS consistency", lambda: [_r("consistency")])
+_quality_query("mth_3_relevance", "round(relevance, 6) AS relevance", lambda: [_r("relevance")], "documents")
+_quality_query("mth_4_quality", "quality_score", lambda: ["quality_score"], "documents")
 _quality_query(
     "pipe_1_assess_quality",
     f"quality_score, is_high_quality, round(completeness, 6) AS completeness, round(consistency, 6) AS consistency, "
     f"round(relevance, 6) AS relevance, {q.joined('issues')} AS issues, recommendation",
-    ["quality_score", "is_high_quality", _r("completeness"), _r("consistency"), _r("relevance"), _joined("issues").alias("issues"),
+    lambda: ["quality_score", "is_high_quality", _r("completeness"), _r("consistency"), _r("relevance"), _joined("issues").alias("issues"),
      "recommendation"],
 )
 
