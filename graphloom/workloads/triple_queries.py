@@ -53,10 +53,11 @@ def src_2(spark, d):
     return entities.select("graph_id", "eid", "name", "type", F.try_element_at("attributes", F.lit("描述")).alias("descr"))
 
 
-_ENT_LINES = f"""SELECT doc_id, part, arg_max(type, pos) AS type, name FROM (
-SELECT doc_id, part, pos, trim(split_part(line, '|', 1)) AS name, trim(split_part(line, '|', 2)) AS type
-FROM (SELECT doc_id, part, unnest(string_split(entity_response, chr(10))) AS line, generate_subscripts(string_split(entity_response, chr(10)), 1) AS pos FROM ({{src}}) r) l
-WHERE contains(line, '|')) e WHERE name <> '' GROUP BY doc_id, part, name"""
+_ENT_LINES = f"""SELECT doc_id, rid, arg_max(type, pos) AS type, name FROM (
+SELECT doc_id, rid, pos, trim(split_part(line, '|', 1)) AS name, trim(split_part(line, '|', 2)) AS type
+FROM (SELECT doc_id, rid, unnest(string_split(entity_response, chr(10))) AS line, generate_subscripts(string_split(entity_response, chr(10)), 1) AS pos
+  FROM (SELECT *, row_number() OVER () AS rid FROM ({{src}}) s) r) l
+WHERE contains(line, '|')) e WHERE name <> '' GROUP BY doc_id, rid, name"""
 
 
 @query(
