@@ -42,4 +42,5 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    registry = entry._registry()
+    assert set(registry.ORACLES) == set(registry.QUERIES)
