@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.session import run_dir
@@ -53,7 +54,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterato
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.cumsum([len(x) if x is not None else 0 for x in batch.column(column)] if batch.num_rows < 2 else _lengths(batch.column(column)))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             before = sizes[start - 1] if start else 0
@@ -62,12 +63,6 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterato
             start = end
 
 
-def _lengths(values: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    return pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
-
-
 def packed(values: np.ndarray) -> bytes:
     """Sorted 64-bit values byte plane by byte plane: the high planes are runs that compression removes."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
