@@ -14,7 +14,7 @@ from graphloom.session import run_dir
 # words of a batch that a task turns into arrays at a time
 BLOCK_WORDS = 1_000_000
 # buckets for each shuffle partition, so that a task holds a part of its partition at a time
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 2
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,13 +64,32 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterato
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values byte plane by byte plane: the high planes are runs that compression removes."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers byte plane by byte plane: of sorted or small values the high planes are runs that compression removes."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+def unpacked(data: bytes, kind: str = "<u8") -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Sorted signed 64-bit numbers, as planes of their steps."""
+    return packed(np.diff(ids.astype("<i8"), prepend=np.int64(0)))
+
+
+def unpacked_ids(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<i8"))
+
+
+def packed_places(places: np.ndarray) -> bytes:
+    """Places in a short list: a byte that tells their width, then planes."""
+    wide = len(places) and int(places.max()) > 0xFFFF
+    return (b"\4" if wide else b"\2") + packed(places.astype("<u4" if wide else "<u2"))
+
+
+def unpacked_places(data: bytes) -> np.ndarray:
+    return unpacked(data[1:], "<u4" if data[0] == 4 else "<u2").astype(np.int64)
 
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:

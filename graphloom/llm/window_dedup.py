@@ -14,16 +14,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from graphloom.llm.common import BLOCK_WORDS, blocks, buckets_of, covered, packed, row_key, runs, unpacked, utf8
+from graphloom.llm.common import (
+    BLOCK_WORDS, blocks, buckets_of, covered, packed, packed_ids, packed_places, runs, unpacked, unpacked_ids, unpacked_places, utf8,
+)
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_PACKS = "bucket int, sent boolean, hashes binary, places binary, ids binary, row_keys binary"
-_LOST = "bucket int, hashes binary, places binary, row_keys binary"
+_PACKS = "bucket int, sent boolean, hashes binary, places binary, ids binary"
+_LOST = "bucket int, hashes binary, places binary, ids binary"
+# windows that a task packs at a time
+PACK_WINDOWS = 2 * BLOCK_WORDS
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -53,39 +58,37 @@ def bucket_bounds(buckets: int) -> np.ndarray:
     return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 
 
-def _row_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of a document, by its 16-byte keys."""
-    return ((keys.reshape(-1, 16)[:, :4].copy().view("<u4").reshape(-1).astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+def _id_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a document, by its id."""
+    with np.errstate(over="ignore"):
+        spread = (ids.astype("<i8").view(np.uint64) * BASE) >> np.uint64(32)
+    return ((spread * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 def _table(columns: list[list], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def _pack(width: int, buckets: int, own: int):
+def _pack(width: int, buckets: int, most: int):
     """Rows of packed windows by hash range, and rows of windows that lose within the pack."""
     bounds = bucket_bounds(buckets)
-    types = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["bucket", "sent", "hashes", "places", "ids", "row_keys"]
-
-    def pack(rows: list[tuple[int, bytes, np.ndarray]]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[0], r[1]))
-        ids = np.array([r[0] for r in rows], np.int64)
-        keys = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, 16)
-        hashes = np.concatenate([r[2] for r in rows])
-        places = np.repeat(np.arange(len(rows), dtype=np.uint32), [len(r[2]) for r in rows])
-        order = np.argsort(hashes, kind="stable")
+    types = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["bucket", "sent", "hashes", "places", "ids"]
+
+    def pack(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        ids, owner = np.unique(np.array([f[0] for f in found], np.int64), return_inverse=True)
+        hashes = np.concatenate([f[1] for f in found])
+        places = np.repeat(owner, [len(f[1]) for f in found])
+        order = np.lexsort((places, hashes))
         hashes, places = hashes[order], places[order]
         fresh = np.concatenate(([True], hashes[1:] != hashes[:-1]))
         again = ~fresh & np.concatenate(([False], places[1:] == places[:-1]))
-        hashes, places, fresh = hashes[~again], places[~again], fresh[~again]
-        least = ids[places][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        first = ids[places] == least
+        hashes, places, first = hashes[~again], places[~again], fresh[~again]
         out: list[list] = [[] for _ in types]
 
         def add(bucket: int, sent: bool, h: np.ndarray, p: np.ndarray) -> None:
             used, local = np.unique(p, return_inverse=True)
-            for column, value in zip(out, (bucket, sent, packed(h), local.astype("<u4").tobytes(), ids[used].astype("<i8").tobytes(), keys[used].tobytes())):
+            for column, value in zip(out, (bucket, sent, packed(h), packed_places(local), packed_ids(ids[used]))):
                 column.append(value)
 
         h, p = hashes[first], places[first]
@@ -93,20 +96,19 @@ def _pack(width: int, buckets: int, own: int):
         for bucket in np.flatnonzero(np.diff(cuts)):
             add(int(bucket), True, h[cuts[bucket] : cuts[bucket + 1]], p[cuts[bucket] : cuts[bucket + 1]])
         if not first.all():
-            h, p = hashes[~first], places[~first]
-            # rows that only pass through: any bucket will do
-            add(int(keys[0, 0]) * buckets // 256, False, h, p)
+            # these only pass through: any bucket will do
+            add(int(_id_bucket(ids[:1], buckets)[0]), False, hashes[~first], places[~first])
         return _table(out, types, names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in blocks(batches, "text", 8 * BLOCK_WORDS):
-            for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "text"))):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 found = window_hashes(text.split(), width)
                 if len(found):
-                    held.append((doc_id, key, found))
+                    held.append((doc_id, found))
                     n += len(found)
-                if n >= own:
+                if n >= most:
                     yield pack(held)
                     held, n = [], 0
         if held:
@@ -133,39 +135,36 @@ def _decide(buckets: int):
     """Of each hash of a range, the entries of larger ids than its smallest, packed by document."""
     types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
-    def lost(h: np.ndarray, keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    def lost(h: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         out: list[list] = [[] for _ in types]
-        # by the documents' buckets, then by document
-        target = _row_bucket(keys, buckets)[places]
-        order = np.lexsort((places, target))
-        h, places, target = h[order], places[order], target[order]
+        target = _id_bucket(ids, buckets)
+        order = np.lexsort((ids, target))
+        h, ids, target = h[order], ids[order], target[order]
         cuts = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1], [True])))
         for a, b in zip(cuts[:-1], cuts[1:]):
-            used, local = np.unique(places[a:b], return_inverse=True)
-            for column, value in zip(out, (int(target[a]), h[a:b].astype("<u8").tobytes(), local.astype("<u4").tobytes(), keys[used].tobytes())):
+            used, local = np.unique(ids[a:b], return_inverse=True)
+            for column, value in zip(out, (int(target[a]), packed(h[a:b]), packed_places(local), packed_ids(used))):
                 column.append(value)
-        return _table(out, types, ["bucket", "hashes", "places", "row_keys"])
+        return _table(out, types, ["bucket", "hashes", "places", "ids"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _groups(batches, "bucket"):
-            sent = [r for r in group if r["sent"]]
+            sent: list[tuple[np.ndarray, np.ndarray]] = []
             for r in group:
-                if not r["sent"]:
-                    yield lost(unpacked(r["hashes"]), np.frombuffer(r["row_keys"], np.uint8).reshape(-1, 16), np.frombuffer(r["places"], "<u4"))
+                entries = unpacked(r["hashes"]), unpacked_ids(r["ids"])[unpacked_places(r["places"])]
+                if r["sent"]:
+                    sent.append(entries)
+                else:
+                    yield lost(*entries)
             if not sent:
                 continue
-            h = np.concatenate([unpacked(r["hashes"]) for r in sent])
-            base = np.cumsum([0] + [len(r["ids"]) // 8 for r in sent])
-            places = np.concatenate([np.frombuffer(r["places"], "<u4") + b for r, b in zip(sent, base)])
-            ids = np.concatenate([np.frombuffer(r["ids"], "<i8") for r in sent])
-            order = np.lexsort((ids[places], h))
-            h, places = h[order], places[order]
+            h, ids = (np.concatenate(x) for x in zip(*sent))
+            order = np.lexsort((ids, h))
+            h, ids = h[order], ids[order]
             fresh = np.concatenate(([True], h[1:] != h[:-1]))
-            least = ids[places][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-            loses = ids[places] > least
+            loses = ids > ids[fresh][np.cumsum(fresh) - 1]
             if loses.any():
-                keys = np.frombuffer(b"".join(r["row_keys"] for r in sent), np.uint8).reshape(-1, 16)
-                yield lost(h[loses], keys, places[loses].astype(np.int64))
+                yield lost(h[loses], ids[loses])
 
     return rows
 
@@ -178,25 +177,23 @@ def _cut(width: int):
         for batch in batches:
             out: list[list] = [[], [], [], []]
             keep = []
-            columns = [batch.column(c) for c in ("bucket", "hashes", "places", "row_keys", "row_key", "text")]
-            for at, (b, hashes, places, row_keys, key, text) in enumerate(zip(*(c.to_pylist() for c in columns))):
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "hashes", "places", "ids", "doc_id", "text")]
+            for at, (b, hashes, places, ids, doc_id, text) in enumerate(zip(*columns)):
                 if b != bucket:
                     bucket, lost = b, {}
                 if hashes is not None:
-                    h, p = np.frombuffer(hashes, "<u8"), np.frombuffer(places, "<u4")
+                    h, p = unpacked(hashes), unpacked_places(places)
                     cuts = np.concatenate(([0], np.flatnonzero(np.diff(p)) + 1, [len(p)]))
-                    for a, z in zip(cuts[:-1], cuts[1:]):
-                        k = int(p[a])
-                        lost.setdefault(row_keys[16 * k : 16 * k + 16], []).append(h[a:z])
+                    for owner, a, z in zip(unpacked_ids(ids).tolist(), cuts[:-1], cuts[1:]):
+                        lost.setdefault(owner, []).append(h[a:z])
                     continue
                 words = text.split()
                 mask = np.zeros(len(words), bool)
-                if key in lost:
-                    starts = np.flatnonzero(np.isin(window_hashes(words, width), np.concatenate(lost[key])))
+                kept = words
+                if doc_id in lost:
+                    starts = np.flatnonzero(np.isin(window_hashes(words, width), np.concatenate(lost[doc_id])))
                     mask = covered(starts, width, len(words))
                     kept = [w for w, gone in zip(words, mask) if not gone]
-                else:
-                    kept = words
                 keep.append(at)
                 for column, value in zip(out, (len(words), int(mask.sum()), runs(mask).tolist(), b" ".join(kept))):
                     column.append(value)
@@ -215,7 +212,7 @@ def _cut(width: int):
     return rows
 
 
-def remove_repeated_windows(docs: DataFrame, width: int = 50, row: Column | None = None, pack_words: int = BLOCK_WORDS) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, width: int = 50, row: Column | None = None, pack_windows: int = PACK_WINDOWS) -> DataFrame:
     """Rows (row, n_words, n_removed, removed, kept_text), one per document.
 
     Words are runs without ASCII white space. A word goes where a window of
@@ -229,26 +226,19 @@ def remove_repeated_windows(docs: DataFrame, width: int = 50, row: Column | None
     spark = docs.sparkSession
     buckets = buckets_of(spark)
     carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if row is None else row
-    texts = docs.select(carried.alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row_key"), utf8().alias("text"))
-    packs = texts.where("doc_id is not null").select("doc_id", "row_key", "text").mapInArrow(_pack(width, buckets, pack_words), _PACKS)
+    texts = docs.select(carried.alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text"))
+    packs = texts.where("doc_id is not null").select("doc_id", "text").mapInArrow(_pack(width, buckets, pack_windows), _PACKS)
     lost = packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_decide(buckets), _LOST)
-    # the same bucket as _row_bucket
-    documents = texts.withColumn("bucket", F.shiftrightunsigned(_first_bytes() * F.lit(buckets).cast("bigint"), 32).cast("int"))
+    bucket_of = F.pandas_udf(lambda ids: pd.Series(_id_bucket(ids.to_numpy(), buckets)), "int")
+    # rows without an id lose nothing: they may go anywhere
+    anywhere = F.pmod(F.hash("text"), F.lit(buckets))
+    texts = texts.withColumn("bucket", F.when(F.col("doc_id").isNull(), anywhere).otherwise(bucket_of(F.coalesce("doc_id", F.lit(0)))))
     nothing = lambda kind: F.lit(None).cast(kind)
-    kind = documents.schema["row"].dataType
+    kind = texts.schema["row"].dataType
     both = lost.select(
-        "bucket", "hashes", "places", "row_keys", nothing("binary").alias("row_key"), nothing("binary").alias("text"), F.lit(None).cast(kind).alias("row")
-    ).unionByName(
-        documents.select("bucket", *[nothing("binary").alias(c) for c in ("hashes", "places", "row_keys")], "row_key", "text", "row")
-    )
+        "bucket", "hashes", "places", "ids", nothing("bigint").alias("doc_id"), nothing("binary").alias("text"), nothing(kind).alias("row")
+    ).unionByName(texts.select("bucket", *[nothing("binary").alias(c) for c in ("hashes", "places", "ids")], "doc_id", "text", "row"))
     placed = both.repartition("bucket").sortWithinPartitions("bucket", F.col("hashes").isNull())
     return placed.mapInArrow(
         _cut(width), f"row {kind.simpleString()}, n_words bigint, n_removed bigint, removed array<array<bigint>>, kept_text string"
     )
-
-
-def _first_bytes() -> Column:
-    """The first four bytes of ``row_key`` as a little-endian number."""
-    digits = F.hex("row_key")
-    turned = F.concat(*[F.substring(digits, at, 2) for at in (7, 5, 3, 1)])
-    return F.conv(turned, 16, 10).cast("bigint")

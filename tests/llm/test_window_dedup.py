@@ -36,11 +36,11 @@ def test_words_equal_brute_force(spark, tmp_path):
     assert sorted(map(tuple, got), key=repr) == want
 
 
-@pytest.mark.parametrize("width, pack_words", [(3, 50), (7, 1_000), (50, 1)])
-def test_small_packs_and_widths(spark, width, pack_words):
+@pytest.mark.parametrize("width, pack_windows", [(3, 50), (7, 1_000), (50, 1)])
+def test_small_packs_and_widths(spark, width, pack_windows):
     rng = random.Random(width)
     data = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(40))), "en", "s", 0) for i in range(80)] + rows()[-6:]
-    got = window_dedup.remove_repeated_windows(frame(spark, data), width, pack_words=pack_words)
+    got = window_dedup.remove_repeated_windows(frame(spark, data), width, pack_windows=pack_windows)
     got = got.selectExpr("row.doc_id", "n_words", "n_removed", "sha2(kept_text, 256)").collect()
     assert sorted(map(tuple, got), key=repr) == brute(data, width)
 
