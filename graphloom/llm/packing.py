@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,8 +22,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.llm.common import row_key, utf8, written
 
-# entries that a worker's word table holds before it is emptied
-WORD_TABLE = 600_000
+# entries of a worker's word table: half of it is dropped when it is full
+WORD_TABLE = 1_000_000
+PIECE_TABLE = 400_000
 # letters whose case folds one to one, with ASCII marks behind them: their pieces are tokenized apart
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -32,8 +34,8 @@ class WordTokenizer:
     """Ids of a tokenizer whose normalizer and pieces never look across ASCII white space.
 
     Such a tokenizer gives a text the ids of its words in turn, so each word is
-    tokenized once and then looked up; the table is emptied when it is full.
-    Words of Latin letters with marks behind go through the model directly,
+    tokenized once and then looked up. When the table is full its older half
+    goes, and what is used again moves to the newer half. Words of Latin letters with marks behind go through the model directly,
     all others through the whole tokenizer.
     """
 
@@ -50,39 +52,47 @@ class WordTokenizer:
         # the model's spelling of each byte that Latin letters and marks have in UTF-8
         probe = "".join(chr(c) for c in (*range(33, 127), *range(0xC0, 0x100)))
         self.spelling = {c: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in probe}
+        self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= WORD_TABLE // 2:
+            if len(self.pieces) >= PIECE_TABLE:
                 self.pieces.clear()
             spelled = piece if piece.isascii() else "".join([self.spelling[c] for c in piece])
-            found = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u2").tobytes()
+            found = self.pieces[piece] = array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return found
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        plain = PLAIN.fullmatch(text)
-        if plain:
-            letters, marks = plain.groups()
-            found = self._piece(letters.lower())
-            if marks:
-                found += self._piece(marks)
-        else:
-            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        if len(self.words) >= WORD_TABLE:
-            self.words.clear()
+        found = self.older.get(word)
+        if found is None:
+            text = word.decode("utf-8", "replace")
+            if word.isalpha():  # ASCII letters only
+                found = self._piece(text.lower())
+            elif plain := PLAIN.fullmatch(text):
+                letters, marks = plain.groups()
+                found = self._piece(letters.lower())
+                if marks:
+                    found += self._piece(marks)
+            else:
+                found = array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self.words) >= WORD_TABLE // 2:
+            self.older, self.words = self.words, {}
         if len(word) < 64:
             self.words[word] = found
         return found
 
     def ids(self, text: bytes) -> bytes:
-        """Token ids as little-endian 16-bit numbers."""
+        """Token ids as 16-bit numbers."""
         words = (text.lower() if text.isascii() else text).split()
-        known, word = self.words.get, self._word
-        return b"".join([known(w) or word(w) for w in words])
+        found = list(map(self.words.get, words))
+        if None in found:
+            word = self._word
+            found = [ids if ids is not None else word(w) for ids, w in zip(found, words)]
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
@@ -140,17 +150,17 @@ def _tokenized(path: str, end_id: int, dims: int, bits: int, size: int, seed: in
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
         places, signs = hashed_projection(dims, size, seed)
-        last = np.array([end_id], "<u2").tobytes()
+        last = np.array([end_id], np.uint16).tobytes()
         top = (1 << bits) - 1
         for batch in batches:
             keys, tokens = [], []
             for text in batch.column("text").to_pylist():
                 ids = tokenizer.ids(text)
-                vector = np.bincount(places[np.frombuffer(ids, "<u2")], minlength=size).astype(np.float64)
+                vector = np.bincount(places[np.frombuffer(ids, np.uint16)], minlength=size).astype(np.float64)
                 norm = float(np.sqrt(vector @ vector)) or 1.0
                 # coordinates of a unit vector's projection lie about 0 with spread 1
-                point = np.clip((np.rint(vector @ signs / norm * (top / 8.0)) + top // 2), 0, top).astype(np.int64)
-                keys.append(hilbert_key(point.tolist(), bits))
+                point = [min(max(round(x), 0), top) for x in (vector @ signs * (top / 8.0 / norm) + top / 2).tolist()]
+                keys.append(hilbert_key(point, bits))
                 tokens.append(ids + last)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row_key"), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary())],
@@ -196,7 +206,7 @@ def _packed(length: int):
 
         for batch in batches:
             for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist()):
-                ids = np.frombuffer(tokens, "<u2").astype("<u4")
+                ids = np.frombuffer(tokens, np.uint16).astype("<u4")
                 start = 0
                 while start < len(ids):
                     take = min(len(ids) - start, length - filled)
