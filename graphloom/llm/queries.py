@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import line_dedup, mixing, packing, quality, simhash, window_dedup
+from graphloom.llm import embedding_dedup, line_dedup, mixing, packing, quality, simhash, surrogates, window_dedup
 from graphloom.llm.common import documents
 from graphloom.llm.registry import query
 
@@ -19,12 +19,23 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query("op2_surrogates")
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = surrogates.with_surrogates(documents(spark, sf_dir), key="corpus", row=F.struct("doc_id"))
+    return replaced.select("row.doc_id", "n_entities", F.array_join("kinds", ",").alias("kinds"), F.col("clean_text").alias("text"))
+
+
 @query("op3_repeated_windows")
 def op3_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = window_dedup.remove_repeated_windows(documents(spark, sf_dir), width=50, row=F.struct("doc_id"))
     return kept.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op4_vector_dedup")
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
+
+
 @query(
     "op6_line_dedup",
     f"""
