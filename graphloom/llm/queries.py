@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import embedding_dedup, line_dedup, mixing, packing, quality, simhash, surrogates, window_dedup
+from graphloom.llm import embedding_dedup, line_dedup, mixing, ngram_lm, packing, quality, simhash, surrogates, window_dedup
 from graphloom.llm.common import documents
 from graphloom.llm.registry import query
 
@@ -58,6 +58,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op7_bigram_scores")
+def op7_bigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.scored(documents(spark, sf_dir), backoff=0.4, row=F.struct("doc_id")).select("row.doc_id", "n_words", "log_score", "mean_score")
+
+
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(documents(spark, sf_dir), max_bits=3, width=3)

@@ -23,23 +23,25 @@ _NAME = r"\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}"
 
 
 def _titled(gender: str) -> str:
-    titles = sorted(_TITLES[gender], key=len, reverse=True)
-    return "|".join(rf"(?<=(?<![\p{{L}}])\Q{t}\E )" for t in titles)
+    return "(?:" + "|".join(rf"\Q{t}\E" for t in sorted(_TITLES[gender], key=len, reverse=True)) + ") "
 
 
+# what stands before a secret and stays
+_SECRET_LEAD = r"""(?:[Pp]assword[=:]|(?:[Tt]oken|[Ss]ecret|[Kk]ey)\s{0,2}[=:]\s{0,2}["'])"""
 # type and pattern; a mention is of the first type that matches it whole
 PATTERNS = (
-    ("email", r"(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("access_key", r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])"),
-    ("secret", r"""(?<=[Pp]assword[=:])[^\s"']{6,}|(?<=(?:[Tt]oken|[Ss]ecret|[Kk]ey)\s{0,2}[=:]\s{0,2}["'])[^\s"']{8,}"""),
-    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
-    ("card", r"(?<![\d-])(?:\d{4}[ -]?){3}\d{4}(?!\d)"),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{4}(?!\d)|\+\d{8,14}(?!\d)"),
-    ("name_female", rf"(?:{_titled('female')}){_NAME}"),
-    ("name_male", rf"(?:{_titled('male')}){_NAME}"),
+    ("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("access_key", r"AKIA[0-9A-Z]{16}(?![A-Z0-9])"),
+    ("secret", _SECRET_LEAD + r"""[^\s"']{6,}"""),
+    ("ssn", r"\d{3}-\d{2}-\d{4}(?![\d-])"),
+    ("ip", r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
+    ("card", r"(?:\d{4}[ -]?){3}\d{4}(?!\d)"),
+    ("phone", r"(?:(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{4}(?!\d)|\+\d{8,14}(?!\d))"),
+    ("name_female", _titled("female") + _NAME),
+    ("name_male", _titled("male") + _NAME),
 )
-ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+# mentions start where a word starts: most positions of a text fail at once
+ANY = r"(?<![\p{L}\d_.+%@(-])(?:" + "|".join(p for _, p in PATTERNS) + ")"
 # parts of invented names by script: a name is two or three of them
 _PARTS = {
     "male": (("Al", "Ber", "Dor", "Ed", "Hen", "Jor", "Mar", "Ro", "The", "Vic"), ("an", "bert", "en", "ik", "mund", "on", "or", "rick", "ton", "us")),
@@ -52,22 +54,24 @@ _PARTS_CYRILLIC = {
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def kind_of(mention: Column, context: Column | None = None) -> Column:
-    """Type of a mention by its own form; titles stand before a name and come as ``context``."""
-    plain = {
-        "email": r"^[^@\s]+@[^@\s]+$", "access_key": r"^AKIA[0-9A-Z]{16}$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "ip": r"^\d{1,3}(\.\d{1,3}){3}$",
-        "card": r"^(\d{4}[ -]?){3}\d{4}$", "phone": r"^[+(\d][\d ().-]+$",
-    }
-    out = F.lit("secret")
-    if context is not None:
-        for gender, titles in _TITLES.items():
-            ends = "|".join(rf"\Q{t}\E" for t in titles)
-            out = F.when(context.rlike(rf"(^|[^\p{{L}}])({ends}) $") & mention.rlike(rf"^{_NAME}$"), f"name_{gender}").otherwise(out)
-    for kind, pattern in reversed(plain.items()):
-        out = F.when(mention.rlike(pattern), kind).otherwise(out)
+def kind_of(mention: Column) -> Column:
+    """The first type whose pattern matches the whole mention."""
+    out = F.lit("other")
+    for kind, pattern in reversed(PATTERNS):
+        out = F.when(mention.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
     return out
 
 
+def lead_of(kind: Column, mention: Column) -> Column:
+    """What stays of a mention: the title of a name, the word before a secret."""
+    return (
+        F.when(kind == "secret", F.regexp_extract(mention, f"^{_SECRET_LEAD}", 0))
+        .when(kind == "name_female", F.regexp_extract(mention, f"^{_titled('female')}", 0))
+        .when(kind == "name_male", F.regexp_extract(mention, f"^{_titled('male')}", 0))
+        .otherwise("")
+    )
+
+
 def canonical(kind: Column, mention: Column) -> Column:
     """One form for all mentions of an entity."""
     return (
@@ -189,14 +193,15 @@ def with_surrogates(docs: DataFrame, key: str, row: Column | None = None) -> Dat
     base = docs.select(carried.alias("row"), row_key().alias("row_key"), F.col("text").alias("raw_text"))
     between = F.split("raw_text", ANY, -1)
     mentions = F.regexp_extract_all("raw_text", F.lit(ANY), 0)
-    # what stands before a mention tells a title; the end of it is enough
-    found = base.where(F.col("raw_text").rlike(ANY)).select("row_key", F.posexplode(F.arrays_zip(between.alias("before"), mentions.alias("mention"))).alias("place", "part"))
-    found = found.where("part.mention is not null").select("row_key", "place", F.col("part.mention").alias("mention"), F.expr("right(part.before, 12)").alias("before"))
-    kind = kind_of(F.col("mention"), F.col("before"))
-    found = found.withColumn("kind", kind).withColumn("value", canonical(F.col("kind"), F.col("mention")))
-    found = written(found.dropDuplicates(["row_key", "place"]).select("row_key", "place", "kind", "value", "mention"), "mentions")
+    found = base.where(F.col("raw_text").rlike(ANY)).select("row_key", F.posexplode(mentions).alias("place", "whole"))
+    found = found.withColumn("kind", kind_of(F.col("whole"))).withColumn("lead", lead_of(F.col("kind"), F.col("whole")))
+    found = found.withColumn("mention", F.expr("substring(whole, length(lead) + 1)"))
+    found = found.withColumn("value", canonical(F.col("kind"), F.col("mention")))
+    found = written(found.dropDuplicates(["row_key", "place"]).select("row_key", "place", "kind", "value", "lead", "mention"), "mentions")
     replaced = distinct_surrogates(found.select("kind", "value").distinct(), key)
-    named = found.join(replaced, ["kind", "value"]).withColumn("written_as", in_format(F.col("kind"), F.col("mention"), F.col("replacement")))
+    named = found.join(replaced, ["kind", "value"]).withColumn(
+        "written_as", F.concat("lead", in_format(F.col("kind"), F.col("mention"), F.col("replacement")))
+    )
     per_row = named.groupBy("row_key").agg(
         F.array_sort(F.collect_list(F.struct("place", "written_as"))).alias("places"), F.array_sort(F.collect_set("kind")).alias("kinds")
     )
