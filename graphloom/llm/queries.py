@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import embedding_dedup, line_dedup, mixing, ngram_lm, packing, quality, simhash, surrogates, window_dedup
+from graphloom.llm import embedding_dedup, line_dedup, mixing, ngram_lm, packing, quality, simhash, suffix_dedup, surrogates, window_dedup
 from graphloom.llm.common import documents
 from graphloom.llm.registry import query
 
@@ -36,6 +36,12 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
 
 
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeated_bytes(documents(spark, sf_dir), length=400, row=F.struct("doc_id"))
+    return kept.select("row.doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 @query(
     "op6_line_dedup",
     f"""
