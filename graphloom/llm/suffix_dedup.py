@@ -216,30 +216,34 @@ def decoded(known: np.ndarray, lengths: np.ndarray, rest: bytes) -> list[bytes]:
     return out
 
 
-_RUN = ["part", "known", "lengths", "rest", "forward", "places", "docs"]
+_RUN = ["part", "known", "lengths", "rest", "forward", "counts", "places", "docs"]
 
 
 def _suffix_runs(length: int, buckets: int):
-    """Sorted front-coded runs of the suffixes whose first half is repeated, by the hash of that half."""
+    """Sorted front-coded runs of the suffixes whose first half is repeated, by the hash of that half.
 
-    def dealt(held: list[tuple[int, bytes, int, int, int]]) -> pa.RecordBatch:
-        held.sort(key=lambda h: (h[0], h[1], h[2]))
+    Equal suffixes of a run are one key with several members, as in texts that
+    repeat themselves.
+    """
+
+    def dealt(held: dict[tuple[int, int, bytes], list[tuple[int, int]]]) -> pa.RecordBatch:
         out: list[list] = [[] for _ in _RUN]
-        start = 0
-        for end in range(1, len(held) + 1):
-            if end < len(held) and held[end][0] == held[start][0]:
-                continue
-            own = held[start:end]
-            known, lengths, rest = front_coded([h[1] for h in own])
-            forward, places, docs = (np.array([h[i] for h in own], np.int64) for i in (2, 3, 4))
-            for column, value in zip(out, (own[0][0], packed(known), packed(lengths), rest, packed(forward.astype("<u2")), packed(places), packed(docs))):
+        by_part: dict[int, list] = {}
+        for (part, forward, key), members in held.items():
+            by_part.setdefault(part, []).append((key, forward, members))
+        for part, own in by_part.items():
+            own.sort(key=lambda h: h[:2])
+            known, lengths, rest = front_coded([h[0] for h in own])
+            forward, counts = np.array([h[1] for h in own], "<u2"), np.array([len(h[2]) for h in own], "<u4")
+            places, docs = np.array([m for h in own for m in h[2]], "<i8").T
+            for column, value in zip(out, (part, packed(known), packed(lengths), rest, packed(forward), packed(counts), packed(places), packed(docs))):
                 column.append(value)
-            start = end
-        return _table(out, [pa.int32()] + [pa.binary()] * 6, _RUN)
+        return _table(out, [pa.int32()] + [pa.binary()] * 7, _RUN)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, wanted = None, {}
-        held, n = [], 0
+        held: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
+        n = 0
         for batch in batches:
             for b, hashes, places, ids, doc, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "hashes", "places", "ids", "doc", "text"))):
                 if b != bucket:
@@ -258,11 +262,12 @@ def _suffix_runs(length: int, buckets: int):
                 for s, p0, p1, part in zip(place[on].tolist(), first[on].tolist(), last[on].tolist(), parts[on].tolist()):
                     # forward to the last window's end, then backward to the first window's start
                     key = text[s : p1 + length] + text[p0:s][::-1]
-                    held.append((part, key, p1 + length - s, s, doc))
-                    n += len(key) + 100
+                    members = held.setdefault((part, p1 + length - s, key), [])
+                    n += 16 if members else len(key) + 200
+                    members.append((s, doc))
                     if n >= RUN_BYTES:
                         yield dealt(held)
-                        held, n = [], 0
+                        held, n = {}, 0
         if held:
             yield dealt(held)
 
@@ -297,48 +302,88 @@ def _repeated_starts(length: int, keys: list[bytes], known: np.ndarray, forward:
     return out
 
 
+class _Suffixes:
+    """Distinct suffixes in order, with their members."""
+
+    def __init__(self):
+        self.keys: list[bytes] = []
+        self.known: list[int] = []
+        self.forward: list[int] = []
+        self.members: list[list[np.ndarray]] = []
+        self.counts: list[int] = []
+
+    def add(self, key: bytes, known: int, forward: int, members: np.ndarray) -> None:
+        self.keys.append(key)
+        self.known.append(known)
+        self.forward.append(forward)
+        self.members.append([members])
+        self.counts.append(members.shape[1])
+
+    def again(self, members: np.ndarray) -> None:
+        self.members[-1].append(members)
+        self.counts[-1] += members.shape[1]
+
+    def extend(self, other: _Suffixes) -> None:
+        for name in ("keys", "known", "forward", "members", "counts"):
+            getattr(self, name).extend(getattr(other, name))
+
+
 def _resolved(length: int, buckets: int):
     """Merge the runs of a part and tell the repeated windows, packed by document."""
     names, types = ["bucket", "starts", "ends", "docs"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    half = length // 2
+
+    def spans(members: list[np.ndarray], low: int, high: int) -> np.ndarray:
+        """Windows with low to high - 1 bytes before the owner: first and last start, document."""
+        place, doc = np.concatenate(members, 1)
+        return np.stack((place - high + 1, place - low, doc))
 
-    def told(keys: list[bytes], known: list[int], forward: list[int], members: list[list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
-        counts = np.array([len(m) for m in members])
-        found = _repeated_starts(length, keys, np.array(known), np.array(forward), counts)
-        out = []
-        for on, own in zip(found, members):
-            if on.any():
-                for low, high in runs(on).tolist():
-                    # bytes before the owner, low to high - 1: starts in falling order
-                    out.extend((doc, s - high + 1, s - low) for s, doc in own)
-        return out
+    def told(found: _Suffixes) -> Iterator[np.ndarray]:
+        if found.keys:
+            columns = np.array(found.known), np.array(found.forward), np.array(found.counts)
+            for on, members in zip(_repeated_starts(length, found.keys, *columns), found.members):
+                if on.any():
+                    for low, high in runs(on).tolist():
+                        yield spans(members, low, high)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = length // 2
         for _, group in _groups(batches, "part"):
             lists, extra = [], []
             for r in group:
                 known = unpacked(r["known"], "<u2")
                 lists.append((decoded(known, unpacked(r["lengths"], "<u2"), r["rest"]), known.tolist()))
-                extra.append((unpacked(r["forward"], "<u2").tolist(), unpacked(r["places"], "<i8").tolist(), unpacked(r["docs"], "<i8").tolist()))
-            keys, known, forward, members = [], [], [], []
-            out: list[tuple[int, int, int]] = []
+                ends = np.cumsum(unpacked(r["counts"], "<u4"), dtype=np.int64)
+                both = np.stack((unpacked(r["places"], "<i8"), unpacked(r["docs"], "<i8")))
+                extra.append((unpacked(r["forward"], "<u2").tolist(), [0, *ends.tolist()], both))
+            # one block has one half-length string; blocks of several suffixes are resolved many at a time
+            several, block = _Suffixes(), _Suffixes()
+            out: list[np.ndarray] = []
+
+            def close() -> None:
+                if len(block.keys) == 1:
+                    if block.counts[0] > 1:
+                        ahead = block.forward[0]
+                        out.append(spans(block.members[0], length - ahead, len(block.keys[0]) - ahead + 1))
+                else:
+                    several.extend(block)
+
             for run, at, prefix in merged(lists):
-                key, ahead = lists[run][0][at], extra[run][0][at]
-                member = (extra[run][1][at], extra[run][2][at])
-                if keys and prefix == len(key) == len(keys[-1]) and ahead == forward[-1]:
-                    members[-1].append(member)
+                key, (forward, ends, both) = lists[run][0][at], extra[run]
+                members = both[:, ends[at] : ends[at + 1]]
+                if block.keys and prefix == len(key) == len(block.keys[-1]) and forward[at] == block.forward[-1]:
+                    block.again(members)
                     continue
-                if keys and prefix < half:
-                    out.extend(told(keys, known, forward, members))
-                    keys, known, forward, members = [], [], [], []
-                keys.append(key)
-                known.append(prefix if len(keys) > 1 else 0)
-                forward.append(ahead)
-                members.append([member])
-            if keys:
-                out.extend(told(keys, known, forward, members))
+                if block.keys and prefix < half:
+                    close()
+                    block = _Suffixes()
+                    if len(several.keys) >= 20_000:
+                        out.extend(told(several))
+                        several = _Suffixes()
+                block.add(key, prefix if block.keys else 0, forward[at], members)
+            close()
+            out.extend(told(several))
             if out:
-                docs, starts, ends = (np.array(c, np.int64) for c in zip(*out))
+                starts, ends, docs = np.concatenate(out, 1)
                 target = _id_bucket(docs, buckets)
                 order = np.lexsort((starts, docs, target))
                 docs, starts, ends, target = docs[order], starts[order], ends[order], target[order]
@@ -410,7 +455,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, row: Column | None
         placed.where(F.length("text") >= length).select("bucket", *[nothing("binary", c) for c in ("hashes", "places", "ids")], "doc", "text")
     )
     suffixes = both.repartition("bucket").sortWithinPartitions("bucket", F.col("hashes").isNull()).mapInArrow(
-        _suffix_runs(length, buckets), "part int, known binary, lengths binary, rest binary, forward binary, places binary, docs binary"
+        _suffix_runs(length, buckets), "part int, known binary, lengths binary, rest binary, forward binary, counts binary, places binary, docs binary"
     )
     spans = suffixes.repartition("part").sortWithinPartitions("part").mapInArrow(_resolved(length, buckets), "bucket int, starts binary, ends binary, docs binary")
     kind = texts.schema["row"].dataType
