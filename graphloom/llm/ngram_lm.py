@@ -23,15 +23,17 @@ from graphloom.llm.common import (
 from graphloom.llm.window_dedup import _groups, _table, bucket_bounds
 
 BACKOFF = 0.4
+# bits of a word's hash: words that share one count as the same word
+WORD_BITS = 48
 # bigrams that a task packs at a time
-PACK_WORDS = 2 * BLOCK_WORDS
+PACK_WORDS = BLOCK_WORDS // 2
 _PACKS = "bucket int, contexts binary, seconds binary, counts binary, places binary, docs binary"
 _STEP = "kind int, bucket int, words binary, counts binary, places binary, docs binary, doc bigint, score double"
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(w) for w in words], np.uint64)
+    return np.array([digest(w) for w in words], np.uint64) >> np.uint64(64 - WORD_BITS)
 
 
 def _runs_of(*columns: np.ndarray) -> np.ndarray:
@@ -49,7 +51,7 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _pack(buckets: int, most: int):
     """Counted bigrams of a document, by the range of the first word's hash."""
-    bounds = bucket_bounds(buckets)
+    bounds = bucket_bounds(buckets) >> np.uint64(64 - WORD_BITS)
     types = [pa.int32()] + [pa.binary()] * 5
     names = ["bucket", "contexts", "seconds", "counts", "places", "docs"]
 
@@ -109,7 +111,7 @@ def _per_doc(docs: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
 
 def _bigrams(buckets: int, backoff: float):
     """Of a range: word counts (kind 0), words to back off to (kind 1), partial scores (kind 2) and rows of a document (kind 3)."""
-    bounds = bucket_bounds(buckets)
+    bounds = bucket_bounds(buckets) >> np.uint64(64 - WORD_BITS)
     names = ["kind", "bucket", "words", "counts", "places", "docs", "doc", "score"]
     types = [pa.int32(), pa.int32()] + [pa.binary()] * 4 + [pa.int64(), pa.float64()]
 
@@ -134,18 +136,18 @@ def _bigrams(buckets: int, backoff: float):
                 # one for each row: those with equal id and text share a number
                 yield _score_rows(docs[start], counts[start].astype(np.float64), 3)
             met = inside & (others > 0) & (first != 0)
-            if met.any():
-                total = totals[np.cumsum(context) - 1]
-                yield _per_doc(docs[met], counts[met] * np.log(others[met] / total[met]))
+            # a step down has its factor, and the share of the word from the next step
+            partial = counts * np.log(backoff)
+            total = totals[np.cumsum(context) - 1]
+            partial[met] = counts[met] * np.log(others[met] / total[met])
+            scored_here = inside & ~start
+            if scored_here.any():
+                yield _per_doc(docs[scored_here], partial[scored_here])
             known = first[context] != 0
             yield _table([[0], [int(bucket)], [packed(first[context][known])], [packed(totals[known])], [None], [None], [None], [None]], types, names)
             open_ = inside & ~met
             if open_.any():
                 word, n, doc = second[open_], counts[open_], docs[open_]
-                down = first[open_] != 0
-                # the factor of each step down
-                if down.any():
-                    yield _per_doc(doc[down], n[down] * np.log(backoff))
                 order = np.lexsort((doc, word))
                 word, n, doc = word[order], n[order], doc[order]
                 starts = np.flatnonzero(_runs_of(word, doc))
