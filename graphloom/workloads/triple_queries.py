@@ -404,7 +404,8 @@ UNION ALL SELECT 'relation_means', relation, round(avg(confidence), 6) FROM {_UN
 UNION ALL SELECT 'relation_distribution', relation, count(*)::DOUBLE FROM ({TRIP}) t GROUP BY ALL
 UNION ALL SELECT 'histogram', label, coalesce(n, 0)::DOUBLE FROM {_LABELS} LEFT JOIN (SELECT {_BIN} AS bin, count(*) AS n FROM ({TRIP}) t GROUP BY 1) c ON c.bin = l.bin
 UNION ALL SELECT 'summary', 'triples', triples::DOUBLE FROM ({_SUMMARY}) s
-UNION ALL SELECT 'quality', '0-50', round(avg(confidence) * 100, 6) FROM ({TRIP}) t""",
+UNION ALL SELECT 'quality', CASE WHEN s < 50 THEN '0-50' WHEN s < 80 THEN '50-80' ELSE '80-100' END, round(s, 6)
+    FROM (SELECT avg(confidence) * 100 AS s FROM ({TRIP}) t) x""",
 )
 def pipe_9(spark, d):
     t = report.report_tables(triples(spark, d), order=_order())
