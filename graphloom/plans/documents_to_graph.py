@@ -57,7 +57,13 @@ def extract_by_rules(processed: DataFrame, pack: RulePack = R.ZH) -> DataFrame:
     )
     return with_triples.select(
         *processed.columns,
-        F.array_distinct(ends).alias("entities"),
+        # distinct strings are hashed, distinct structs would be compared pair by pair
+        F.transform(
+            F.array_distinct(F.transform(ends, lambda e: F.concat_ws("\u0001", e["type"], e["name"]))),
+            lambda s: F.struct(
+                F.regexp_replace(s, "(?s)^[^\u0001]*\u0001", "").alias("name"), F.substring_index(s, "\u0001", 1).alias("type")
+            ),
+        ).alias("entities"),
         F.array_distinct(F.transform("_typed", lambda t: t["t"]["relation"])).alias("relations"),
         triples.alias("triples"),
     )

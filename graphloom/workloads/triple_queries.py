@@ -272,10 +272,10 @@ _LABELS = "(VALUES " + ", ".join(f"({i}, '{b[0]}')" for i, b in enumerate(R.HIST
 
 @query(
     "agg_5_confidence_histogram",
-    f"SELECT l.bin, label, coalesce(n, 0) AS n FROM {_LABELS} LEFT JOIN (SELECT {_BIN} AS bin, count(*) AS n FROM ({TRIP}) t WHERE relation = 'new_O' GROUP BY 1) c ON c.bin = l.bin",
+    f"SELECT l.bin, label, coalesce(n, 0) AS n FROM {_LABELS} LEFT JOIN (SELECT {_BIN} AS bin, count(*) AS n FROM ({TRIP}) t GROUP BY 1) c ON c.bin = l.bin",
 )
 def agg_5(spark, d):
-    return report.confidence_histogram(triples(spark, d).filter("relation = 'new_O'"))
+    return report.confidence_histogram(triples(spark, d))
 
 
 _SUMMARY = f"""SELECT count(*) AS triples, count(DISTINCT relation) AS relations, round(avg(confidence), 6) AS avg_confidence,
