@@ -10,6 +10,7 @@ is one partial sum per range and document, added up per document.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +21,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from graphloom.llm.common import (
     BLOCK_WORDS, blocks, buckets_of, packed, packed_ids, packed_places, row_key, unpacked, unpacked_ids, unpacked_places, utf8, written,
 )
-from graphloom.llm.window_dedup import _groups, _table, bucket_bounds
+from graphloom.llm.window_dedup import BASE, _groups, _table, bucket_bounds
 
 BACKOFF = 0.4
 # bits of a word's hash: words that share one count as the same word
 WORD_BITS = 48
 # bigrams that a task packs at a time
 PACK_WORDS = BLOCK_WORDS // 2
+# a word is hot from this part of an even range on: at most buckets / HOT_PART words are
+HOT_PART = 0.5
+_ALL_WORDS = -1
 _PACKS = "bucket int, contexts binary, seconds binary, counts binary, places binary, docs binary"
 _STEP = "kind int, bucket int, words binary, counts binary, places binary, docs binary, doc bigint, score double"
 
@@ -49,8 +53,54 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else values[:0]
 
 
-def _pack(buckets: int, most: int):
-    """Counted bigrams of a document, by the range of the first word's hash."""
+def _frequent(share: float):
+    """Words that hold at least that share of a million words, and the number of all words.
+
+    Of blocks alike in size, a word with twice the share of the whole corpus has the
+    share in blocks that hold half of its places or more.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        n = 0
+
+        def often() -> pa.RecordBatch:
+            found = [(w, c) for w, c in counts.items() if c >= share * n]
+            words = np.append(_hashes([w for w, _ in found]).astype(np.int64), _ALL_WORDS)
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array([*(c for _, c in found), n], pa.int64())], ["word", "n"])
+
+        for batch in blocks(batches, "text", 8 * BLOCK_WORDS):
+            for text in batch.column("text").to_pylist():
+                words = text.lower().split()
+                counts.update(words)
+                n += len(words)
+                if n >= BLOCK_WORDS:
+                    yield often()
+                    counts.clear()
+                    n = 0
+        if n:
+            yield often()
+
+    return rows
+
+
+def hot_words(texts: DataFrame, share: float) -> tuple[np.ndarray, int]:
+    """Hashes of the words that hold a share of all words, at most 1 / share of them, and the number of all words."""
+    found = written(texts.mapInArrow(_frequent(share), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
+    total = found.where(F.col("word") == _ALL_WORDS).agg(F.sum("n")).first()[0] or 0
+    hot = found.where((F.col("word") != _ALL_WORDS) & (F.col("n") >= share * total)).select("word").collect()
+    # 0 stands before every first word
+    return np.unique(np.array([0, *(r.word for r in hot)], np.uint64)), total
+
+
+def _pair_bucket(first: np.ndarray, second: np.ndarray, buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        mixed = ((first * BASE) ^ second) * BASE
+    return (((mixed >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _pack(buckets: int, most: int, hot: np.ndarray):
+    """Counted bigrams of a document, by the range of the first word's hash, of hot words by the hash of both."""
     bounds = bucket_bounds(buckets) >> np.uint64(64 - WORD_BITS)
     types = [pa.int32()] + [pa.binary()] * 5
     names = ["bucket", "contexts", "seconds", "counts", "places", "docs"]
@@ -66,8 +116,13 @@ def _pack(buckets: int, most: int):
         starts = np.flatnonzero(_runs_of(first, places, second))
         counts = np.diff(np.concatenate((starts, [len(first)])))
         first, second, places = first[starts], second[starts], places[starts]
+        target = np.searchsorted(bounds, first, "right")
+        apart = np.isin(first, hot)
+        target[apart] = _pair_bucket(first[apart], second[apart], buckets)
+        order = np.argsort(target, kind="stable")
+        first, second, places, counts = first[order], second[order], places[order], counts[order]
         out: list[list] = [[] for _ in types]
-        cuts = np.concatenate(([0], np.searchsorted(first, bounds, "left"), [len(first)]))
+        cuts = np.searchsorted(target[order], np.arange(buckets + 1))
         for bucket in np.flatnonzero(np.diff(cuts)):
             at = slice(cuts[bucket], cuts[bucket + 1])
             used, local = np.unique(places[at], return_inverse=True)
@@ -109,8 +164,21 @@ def _per_doc(docs: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
     return _score_rows(used, np.bincount(local, scores, len(used)))
 
 
-def _bigrams(buckets: int, backoff: float):
-    """Of a range: word counts (kind 0), words to back off to (kind 1), partial scores (kind 2) and rows of a document (kind 3)."""
+def _per_word(word: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Summed numbers of each word and document, in that order."""
+    order = np.lexsort((doc, word))
+    word, doc, n = word[order], doc[order], n[order]
+    starts = np.flatnonzero(_runs_of(word, doc))
+    return word[starts], doc[starts], _sums(n, starts)
+
+
+def _bigrams(buckets: int, backoff: float, hot: np.ndarray):
+    """What a range knows, by kind.
+
+    0: counts of its words. 1: words to back off to. 2: partial scores. 3: rows of a
+    document. 4: its part of a hot word's count. 5: hot words to back off to. 6: hot
+    words whose bigrams were met.
+    """
     bounds = bucket_bounds(buckets) >> np.uint64(64 - WORD_BITS)
     names = ["kind", "bucket", "words", "counts", "places", "docs", "doc", "score"]
     types = [pa.int32(), pa.int32()] + [pa.binary()] * 4 + [pa.int64(), pa.float64()]
@@ -130,35 +198,53 @@ def _bigrams(buckets: int, backoff: float):
             totals = _sums(counts, np.flatnonzero(context))
             # what the document itself has of the bigram does not count
             others = pair_total - counts
+            del pair_total
             inside = second != 0
             start = first == 0
             if start.any():
                 # one for each row: those with equal id and text share a number
                 yield _score_rows(docs[start], counts[start].astype(np.float64), 3)
-            met = inside & (others > 0) & (first != 0)
+            met = inside & (others > 0) & ~start
+            apart = np.isin(first, hot)
             # a step down has its factor, and the share of the word from the next step
             partial = counts * np.log(backoff)
-            total = totals[np.cumsum(context) - 1]
-            partial[met] = counts[met] * np.log(others[met] / total[met])
+            partial[met] = counts[met] * np.log(others[met])
+            del others
+            here = met & ~apart
+            partial[here] -= counts[here] * np.log(totals[np.cumsum(context) - 1][here])
             scored_here = inside & ~start
             if scored_here.any():
                 yield _per_doc(docs[scored_here], partial[scored_here])
-            known = first[context] != 0
-            yield _table([[0], [int(bucket)], [packed(first[context][known])], [packed(totals[known])], [None], [None], [None], [None]], types, names)
+            del partial
+            word, local = first[context], ~apart[context]
+            yield _table([[0], [int(bucket)], [packed(word[local])], [packed(totals[local])], [None], [None], [None], [None]], types, names)
+            part = ~local & (word != 0)
+            if part.any():
+                yield _score_rows(word[part].astype(np.int64), totals[part].astype(np.float64), 4)
+
+            out: list[list] = [[] for _ in types]
+
+            def add(kind: int, target: int, word: np.ndarray, doc: np.ndarray, n: np.ndarray) -> None:
+                used, local = np.unique(doc, return_inverse=True)
+                for column, value in zip(out, (kind, target, packed(word), packed(n.astype("<u4")), packed_places(local), packed_ids(used), None, None)):
+                    column.append(value)
+
+            hot_met = met & apart
+            if hot_met.any():
+                add(6, int(bucket), *_per_word(first[hot_met], docs[hot_met], counts[hot_met]))
+            del first
             open_ = inside & ~met
+            often = np.isin(second, hot)
+            if (open_ & often).any():
+                add(5, int(bucket), *_per_word(second[open_ & often], docs[open_ & often], counts[open_ & often]))
+            open_ &= ~often
             if open_.any():
-                word, n, doc = second[open_], counts[open_], docs[open_]
-                order = np.lexsort((doc, word))
-                word, n, doc = word[order], n[order], doc[order]
-                starts = np.flatnonzero(_runs_of(word, doc))
-                word, doc, n = word[starts], doc[starts], _sums(n, starts)
+                word, doc, n = _per_word(second[open_], docs[open_], counts[open_])
                 cuts = np.concatenate(([0], np.searchsorted(word, bounds, "left"), [len(word)]))
-                out: list[list] = [[] for _ in types]
                 for target in np.flatnonzero(np.diff(cuts)):
                     at = slice(cuts[target], cuts[target + 1])
-                    used, local = np.unique(doc[at], return_inverse=True)
-                    for column, value in zip(out, (1, int(target), packed(word[at]), packed(n[at].astype("<u4")), packed_places(local), packed_ids(used), None, None)):
-                        column.append(value)
+                    add(1, int(target), word[at], doc[at], n[at])
+            if out[0]:
                 yield _table(out, types, names)
 
     return rows
@@ -183,6 +269,20 @@ def _words(total: int):
     return rows
 
 
+def _hot_terms(words: np.ndarray, counts: np.ndarray, total: int):
+    """Hot words to back off to, and those whose bigrams were met, with the words' counts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                doc = unpacked_ids(r["docs"])[unpacked_places(r["places"])]
+                n = unpacked(r["counts"], "<u4").astype(np.float64)
+                count = counts[np.searchsorted(words, unpacked(r["words"]))]
+                yield _per_doc(doc, n * np.log(count / total) if r["kind"] == 5 else -n * np.log(count))
+
+    return rows
+
+
 def scored(docs: DataFrame, backoff: float = BACKOFF, row: Column | None = None, pack_words: int = PACK_WORDS) -> DataFrame:
     """Rows (row, n_words, log_score, mean_score), one per document.
 
@@ -192,7 +292,8 @@ def scored(docs: DataFrame, backoff: float = BACKOFF, row: Column | None = None,
     word in all, and where no other row has the bigram
     log(backoff * n(w) / all words). ``log_score`` sums over the words,
     ``mean_score`` divides by their number; texts without words have 0 and null.
-    Rows that repeat count each for itself and get the same score. ``row`` is what to carry, by default a struct of all columns.
+    Rows that repeat count each for itself and get the same score. A bigram is
+    counted in one place: it has one row there for each document that holds it. ``row`` is what to carry, by default a struct of all columns.
     """
     spark = docs.sparkSession
     buckets = buckets_of(spark)
@@ -202,12 +303,19 @@ def scored(docs: DataFrame, backoff: float = BACKOFF, row: Column | None = None,
     number = F.conv(F.substring(F.hex("row_key"), 2, 15), 16, 10).cast("bigint")
     base = docs.select(carried.alias("row"), row_key().alias("row_key"), size.alias("n_words"))
     texts = docs.select(row_key().alias("row_key"), utf8().alias("text")).select(number.alias("doc"), "text")
-    packs = texts.mapInArrow(_pack(buckets, pack_words), _PACKS)
-    steps = written(packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bigrams(buckets, backoff), _STEP), "bigrams")
-    total = base.agg(F.sum("n_words")).first()[0] or 1
-    down = steps.where("kind < 2").select("kind", "bucket", "words", "counts", "places", "docs")
-    ends = down.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_words(total), _STEP)
-    parts = steps.where("kind >= 2").select("kind", "doc", "score").unionByName(ends.select("kind", "doc", "score"))
+    hot, total = hot_words(texts.select("text"), HOT_PART / buckets)
+    packs = texts.mapInArrow(_pack(buckets, pack_words, hot), _PACKS)
+    steps = written(packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bigrams(buckets, backoff, hot), _STEP), "bigrams")
+    # a row for each hot word
+    counted = steps.where("kind = 4").groupBy("doc").agg(F.sum("score").alias("n")).orderBy("doc").collect()
+    lookup = ["kind", "bucket", "words", "counts", "places", "docs"]
+    down = steps.where("kind < 2").select(lookup)
+    ends = down.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_words(max(1, total)), _STEP)
+    often = steps.where("kind > 4").select(lookup).mapInArrow(
+        _hot_terms(np.array([r.doc for r in counted], np.uint64), np.array([r.n for r in counted]), max(1, total)), _STEP
+    )
+    score_rows = [t.select("kind", "doc", "score") for t in (steps.where("kind IN (2, 3)"), ends, often)]
+    parts = score_rows[0].unionByName(score_rows[1]).unionByName(score_rows[2])
     of_kind = lambda k: F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0))
     sums = parts.groupBy("doc").agg((of_kind(2) / of_kind(3)).alias("log_score"))
     joined = base.withColumn("doc", number).join(sums, "doc", "left")

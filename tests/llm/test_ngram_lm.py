@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -51,5 +52,17 @@ def test_small_packs(spark, pack_words):
     equal(map(tuple, got), brute(data, 0.7))
 
 
+def test_hot_words(spark):
+    rng = random.Random(3)
+    data = [(i, " ".join(rng.choice(["the", "the", "of", f"w{rng.randrange(30)}", f"x{rng.randrange(3000)}"]) for _ in range(rng.randrange(1, 80))), "en", "s", 1) for i in range(150)]
+    data += [data[0], (900, "the", "en", "s", 1), (901, None, "en", "s", 1)]
+    texts = frame(spark, data).selectExpr("cast(coalesce(text, '') as binary) AS text")
+    hot, total = ngram_lm.hot_words(texts, 0.02)
+    found = set(ngram_lm._hashes([b"the", b"of"]).tolist())
+    assert found < set(hot.tolist()) and len(hot) <= 51 and total == sum(len(words_of(r[1])) for r in data)
+    got = ngram_lm.scored(frame(spark, data), pack_words=700).selectExpr("row.doc_id", "n_words", "log_score").collect()
+    equal(map(tuple, got), brute(data))
+
+
 def test_no_rows(spark):
     assert ngram_lm.scored(empty(spark)).count() == 0
