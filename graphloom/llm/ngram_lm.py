@@ -5,7 +5,7 @@ range of hashes then holds every bigram of a context and so counts the bigram an
 the context in one place. A bigram that no other document has backs off to the second
 word's share of the corpus; those words go, packed the same way, to the range of
 their own hash, where the word counts of the first step meet them. What comes back
-is one partial sum per range and document, added up per document.
+is one partial sum per task and document, packed by range of documents and added up there.
 """
 
 from __future__ import annotations
@@ -32,7 +32,12 @@ PACK_WORDS = BLOCK_WORDS // 2
 HOT_PART = 0.5
 _ALL_WORDS = -1
 _PACKS = "bucket int, contexts binary, seconds binary, counts binary, places binary, docs binary"
-_STEP = "kind int, bucket int, words binary, counts binary, places binary, docs binary, doc bigint, score double"
+_NAMES = ["kind", "bucket", "words", "counts", "places", "docs"]
+_TYPES = [pa.int32(), pa.int32()] + [pa.binary()] * 4
+_STEP = "kind int, bucket int, words binary, counts binary, places binary, docs binary"
+# bits of a document's number, and sums by document that a task holds at a time
+DOC_BITS = 60
+MOST_SUMS = 1_000_000
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -150,18 +155,60 @@ def _pack(buckets: int, most: int, hot: np.ndarray):
     return rows
 
 
-def _score_rows(docs: np.ndarray, scores: np.ndarray, kind: int = 2) -> pa.RecordBatch:
-    n = len(docs)
-    none = pa.nulls(n, pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.int32()), none, none, none, none, pa.array(docs), pa.array(scores)],
-        ["kind", "bucket", "words", "counts", "places", "docs", "doc", "score"],
-    )
+class _Sums:
+    """Sums by document over a task, given out packed by range of documents."""
+
+    def __init__(self, kind: int, buckets: int, most: int):
+        self.kind, self.most = kind, most
+        self.bounds = np.array([(i << DOC_BITS) // buckets for i in range(1, buckets)], np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def _folded(self) -> tuple[np.ndarray, np.ndarray]:
+        docs, values = (np.concatenate(x) for x in zip(*self.held))
+        used, local = np.unique(docs, return_inverse=True)
+        return used, np.bincount(local, values, len(used))
+
+    def add(self, docs: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((docs, values))
+        self.n += len(docs)
+        if self.n > self.most:
+            self.held = [self._folded()]
+            self.n = len(self.held[0][0])
+        if 2 * self.n > self.most:
+            yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        docs, sums = self._folded()
+        self.held, self.n = [], 0
+        cuts = np.concatenate(([0], np.searchsorted(docs, self.bounds, "left"), [len(docs)]))
+        rows: list[list] = [[] for _ in _TYPES]
+        for bucket in np.flatnonzero(np.diff(cuts)):
+            at = slice(cuts[bucket], cuts[bucket + 1])
+            for column, value in zip(rows, (self.kind, int(bucket), None, packed(sums[at]), None, packed_ids(docs[at]))):
+                column.append(value)
+        yield _table(rows, _TYPES, _NAMES)
 
 
-def _per_doc(docs: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-    used, local = np.unique(docs, return_inverse=True)
-    return _score_rows(used, np.bincount(local, scores, len(used)))
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of the documents of a range: partial sums (kind 2) over the document's rows (kind 3)."""
+    for _, group in _groups(batches, "bucket"):
+        parts = [(r["kind"], unpacked_ids(r["docs"]), unpacked(r["counts"], "<f8")) for r in group]
+        docs, local = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+        sums = {2: np.zeros(len(docs)), 3: np.zeros(len(docs))}
+        at = 0
+        for kind, ids, values in parts:
+            sums[kind][local[at : at + len(ids)]] += values
+            at += len(ids)
+        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(sums[2] / sums[3])], ["doc", "log_score"])
+
+
+def _hot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(unpacked(r["words"]).astype(np.int64)), pa.array(unpacked(r["counts"], "<i8"))], ["word", "n"])
 
 
 def _per_word(word: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,7 +219,7 @@ def _per_word(word: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndar
     return word[starts], doc[starts], _sums(n, starts)
 
 
-def _bigrams(buckets: int, backoff: float, hot: np.ndarray):
+def _bigrams(buckets: int, backoff: float, hot: np.ndarray, most: int):
     """What a range knows, by kind.
 
     0: counts of its words. 1: words to back off to. 2: partial scores. 3: rows of a
@@ -180,10 +227,9 @@ def _bigrams(buckets: int, backoff: float, hot: np.ndarray):
     words whose bigrams were met.
     """
     bounds = bucket_bounds(buckets) >> np.uint64(64 - WORD_BITS)
-    names = ["kind", "bucket", "words", "counts", "places", "docs", "doc", "score"]
-    types = [pa.int32(), pa.int32()] + [pa.binary()] * 4 + [pa.int64(), pa.float64()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partials, starts = _Sums(2, buckets, most), _Sums(3, buckets, most)
         for bucket, group in _groups(batches, "bucket"):
             parts = [
                 (unpacked(r["contexts"]), unpacked(r["seconds"]), unpacked(r["counts"], "<u4").astype(np.int64), unpacked_ids(r["docs"])[unpacked_places(r["places"])])
@@ -203,7 +249,7 @@ def _bigrams(buckets: int, backoff: float, hot: np.ndarray):
             start = first == 0
             if start.any():
                 # one for each row: those with equal id and text share a number
-                yield _score_rows(docs[start], counts[start].astype(np.float64), 3)
+                yield from starts.add(docs[start], counts[start].astype(np.float64))
             met = inside & (others > 0) & ~start
             apart = np.isin(first, hot)
             # a step down has its factor, and the share of the word from the next step
@@ -214,19 +260,18 @@ def _bigrams(buckets: int, backoff: float, hot: np.ndarray):
             partial[here] -= counts[here] * np.log(totals[np.cumsum(context) - 1][here])
             scored_here = inside & ~start
             if scored_here.any():
-                yield _per_doc(docs[scored_here], partial[scored_here])
+                yield from partials.add(*_per_doc(docs[scored_here], partial[scored_here]))
             del partial
             word, local = first[context], ~apart[context]
-            yield _table([[0], [int(bucket)], [packed(word[local])], [packed(totals[local])], [None], [None], [None], [None]], types, names)
-            part = ~local & (word != 0)
-            if part.any():
-                yield _score_rows(word[part].astype(np.int64), totals[part].astype(np.float64), 4)
-
-            out: list[list] = [[] for _ in types]
+            out: list[list] = [[] for _ in _TYPES]
+            for kind, part in ((0, local), (4, ~local & (word != 0))):
+                if kind == 0 or part.any():
+                    for column, value in zip(out, (kind, int(bucket), packed(word[part]), packed(totals[part]), None, None)):
+                        column.append(value)
 
             def add(kind: int, target: int, word: np.ndarray, doc: np.ndarray, n: np.ndarray) -> None:
                 used, local = np.unique(doc, return_inverse=True)
-                for column, value in zip(out, (kind, target, packed(word), packed(n.astype("<u4")), packed_places(local), packed_ids(used), None, None)):
+                for column, value in zip(out, (kind, target, packed(word), packed(n.astype("<u4")), packed_places(local), packed_ids(used))):
                     column.append(value)
 
             hot_met = met & apart
@@ -244,17 +289,24 @@ def _bigrams(buckets: int, backoff: float, hot: np.ndarray):
                 for target in np.flatnonzero(np.diff(cuts)):
                     at = slice(cuts[target], cuts[target + 1])
                     add(1, int(target), word[at], doc[at], n[at])
-            if out[0]:
-                yield _table(out, types, names)
+            yield _table(out, _TYPES, _NAMES)
+        yield from starts.out()
+        yield from partials.out()
 
     return rows
 
 
-def _words(total: int):
+def _per_doc(docs: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    used, local = np.unique(docs, return_inverse=True)
+    return used, np.bincount(local, scores, len(used))
+
+
+def _words(total: int, buckets: int, most: int):
     """Words to back off to, met by the counts of their range."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, known, counts = None, None, None
+        partials = _Sums(2, buckets, most)
         for batch in batches:
             for r in batch.to_pylist():
                 if r["kind"] == 0:
@@ -264,26 +316,29 @@ def _words(total: int):
                 doc = unpacked_ids(r["docs"])[unpacked_places(r["places"])]
                 n = unpacked(r["counts"], "<u4").astype(np.float64)
                 share = counts[np.searchsorted(known, unpacked(r["words"]))] / total
-                yield _per_doc(doc, n * np.log(share))
+                yield from partials.add(*_per_doc(doc, n * np.log(share)))
+        yield from partials.out()
 
     return rows
 
 
-def _hot_terms(words: np.ndarray, counts: np.ndarray, total: int):
+def _hot_terms(words: np.ndarray, counts: np.ndarray, total: int, buckets: int, most: int):
     """Hot words to back off to, and those whose bigrams were met, with the words' counts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partials = _Sums(2, buckets, most)
         for batch in batches:
             for r in batch.to_pylist():
                 doc = unpacked_ids(r["docs"])[unpacked_places(r["places"])]
                 n = unpacked(r["counts"], "<u4").astype(np.float64)
                 count = counts[np.searchsorted(words, unpacked(r["words"]))]
-                yield _per_doc(doc, n * np.log(count / total) if r["kind"] == 5 else -n * np.log(count))
+                yield from partials.add(*_per_doc(doc, n * np.log(count / total) if r["kind"] == 5 else -n * np.log(count)))
+        yield from partials.out()
 
     return rows
 
 
-def scored(docs: DataFrame, backoff: float = BACKOFF, row: Column | None = None, pack_words: int = PACK_WORDS) -> DataFrame:
+def scored(docs: DataFrame, backoff: float = BACKOFF, row: Column | None = None, pack_words: int = PACK_WORDS, most_sums: int = MOST_SUMS) -> DataFrame:
     """Rows (row, n_words, log_score, mean_score), one per document.
 
     Words are runs without ASCII white space, A-Z lower-cased. The first word
@@ -305,19 +360,16 @@ def scored(docs: DataFrame, backoff: float = BACKOFF, row: Column | None = None,
     texts = docs.select(row_key().alias("row_key"), utf8().alias("text")).select(number.alias("doc"), "text")
     hot, total = hot_words(texts.select("text"), HOT_PART / buckets)
     packs = texts.mapInArrow(_pack(buckets, pack_words, hot), _PACKS)
-    steps = written(packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bigrams(buckets, backoff, hot), _STEP), "bigrams")
+    steps = written(packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bigrams(buckets, backoff, hot, most_sums), _STEP), "bigrams")
     # a row for each hot word
-    counted = steps.where("kind = 4").groupBy("doc").agg(F.sum("score").alias("n")).orderBy("doc").collect()
-    lookup = ["kind", "bucket", "words", "counts", "places", "docs"]
-    down = steps.where("kind < 2").select(lookup)
-    ends = down.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_words(max(1, total)), _STEP)
-    often = steps.where("kind > 4").select(lookup).mapInArrow(
-        _hot_terms(np.array([r.doc for r in counted], np.uint64), np.array([r.n for r in counted]), max(1, total)), _STEP
+    counted = steps.where("kind = 4").mapInArrow(_hot_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy("word").collect()
+    ends = steps.where("kind < 2").repartition("bucket").sortWithinPartitions("bucket", "kind")
+    ends = ends.mapInArrow(_words(max(1, total), buckets, most_sums), _STEP)
+    often = steps.where("kind > 4").mapInArrow(
+        _hot_terms(np.array([r.word for r in counted], np.uint64), np.array([r.n for r in counted]), max(1, total), buckets, most_sums), _STEP
     )
-    score_rows = [t.select("kind", "doc", "score") for t in (steps.where("kind IN (2, 3)"), ends, often)]
-    parts = score_rows[0].unionByName(score_rows[1]).unionByName(score_rows[2])
-    of_kind = lambda k: F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0))
-    sums = parts.groupBy("doc").agg((of_kind(2) / of_kind(3)).alias("log_score"))
+    parts = steps.where("kind IN (2, 3)").unionByName(ends).unionByName(often)
+    sums = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "doc bigint, log_score double")
     joined = base.withColumn("doc", number).join(sums, "doc", "left")
     score = F.coalesce("log_score", F.lit(0.0))
     return joined.select("row", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("mean_score"))
