@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from graphloom.llm.common import (
     BLOCK_WORDS, blocks, buckets_of, packed, packed_ids, packed_places, row_key, unpacked, unpacked_ids, unpacked_places, utf8, written,
 )
-from graphloom.llm.window_dedup import BASE, _groups, _table, bucket_bounds
+from graphloom.llm.window_dedup import BASE, _groups, _rows, _table, bucket_bounds
 
 BACKOFF = 0.4
 # bits of a word's hash: words that share one count as the same word
@@ -37,7 +37,7 @@ _TYPES = [pa.int32(), pa.int32()] + [pa.binary()] * 4
 _STEP = "kind int, bucket int, words binary, counts binary, places binary, docs binary"
 # bits of a document's number, and sums by document that a task holds at a time
 DOC_BITS = 60
-MOST_SUMS = 1_000_000
+MOST_SUMS = 250_000
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -207,7 +207,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in _rows(batch):
             yield pa.RecordBatch.from_arrays([pa.array(unpacked(r["words"]).astype(np.int64)), pa.array(unpacked(r["counts"], "<i8"))], ["word", "n"])
 
 
@@ -237,8 +237,14 @@ def _bigrams(buckets: int, backoff: float, hot: np.ndarray, most: int):
             ]
             first, second, counts, docs = (np.concatenate(x) for x in zip(*parts))
             del parts
+            group.clear()
             order = np.lexsort((second, first))
-            first, second, counts, docs = first[order], second[order], counts[order], docs[order]
+            # one after the other: no two copies of all columns
+            first = first[order]
+            second = second[order]
+            counts = counts[order]
+            docs = docs[order]
+            del order
             pair, context = _runs_of(first, second), _runs_of(first)
             pair_total = _sums(counts, np.flatnonzero(pair))[np.cumsum(pair) - 1]
             totals = _sums(counts, np.flatnonzero(context))
@@ -308,7 +314,7 @@ def _words(total: int, buckets: int, most: int):
         bucket, known, counts = None, None, None
         partials = _Sums(2, buckets, most)
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 if r["kind"] == 0:
                     bucket, known, counts = r["bucket"], unpacked(r["words"]), unpacked(r["counts"], "<i8")
                     continue
@@ -328,7 +334,7 @@ def _hot_terms(words: np.ndarray, counts: np.ndarray, total: int, buckets: int,
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partials = _Sums(2, buckets, most)
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 doc = unpacked_ids(r["docs"])[unpacked_places(r["places"])]
                 n = unpacked(r["counts"], "<u4").astype(np.float64)
                 count = counts[np.searchsorted(words, unpacked(r["words"]))]

@@ -117,11 +117,18 @@ def _pack(width: int, buckets: int, most: int):
     return rows
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch in turn: only the one at hand is copied."""
+    columns = dict(zip(batch.schema.names, batch.columns))
+    for i in range(batch.num_rows):
+        yield {name: column[i].as_py() for name, column in columns.items()}
+
+
 def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[dict]]]:
     """Rows with one value of a sorted column at a time."""
     value, held = None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             if row[column] != value:
                 if held:
                     yield value, held
