@@ -50,11 +50,29 @@ def run_extractor(docs: DataFrame, extract: Extractor, text: str = "text", batch
 
 
 def run_completer(docs: DataFrame, complete: Callable[[list[str]], list[str]], text: str = "text") -> DataFrame:
-    """Replace the text by what a batched completion function returns; off unless called."""
+    """Replace the text by what a batched completion function returns; off unless called.
+
+    A failing batch is tried again text by text; a text that fails stays as it is.
+    """
+
+    def one(t: str) -> str:
+        try:
+            return complete([t])[0]
+        except Exception:
+            return t
+
+    def answers(texts: list[str]) -> list[str]:
+        try:
+            got = list(complete(texts))
+            if len(got) != len(texts):
+                raise ValueError("one answer per text expected")
+            return got
+        except Exception:
+            return [one(t) for t in texts]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(**{text: complete(frame[text].tolist())})
+            yield frame.assign(**{text: answers(frame[text].tolist())})
 
     return docs.mapInPandas(run, docs.schema)
 
@@ -87,5 +105,10 @@ class KnowledgeBase:
         joined = answered.join(extra, hit, "left").withColumn(out, F.coalesce(out, "_x"))
         return joined.drop("_s", "_r", "_x")
 
-    def verify(self, df: DataFrame, subject: str, predicate: str, obj: str, out: str = "check") -> DataFrame:
-        return verify_fact(df, self.facts, subject, predicate, obj, out)
+    def verify(self, df: DataFrame, subject: str, predicate: str, obj: str, out: str = "check", located_in: str = "country") -> DataFrame:
+        """``verify_fact`` against the facts and, for subjects they do not know, the look-up."""
+        if self.lookup is None:
+            return verify_fact(df, self.facts, subject, predicate, obj, out, located_in)
+        subjects = df.select(F.col(subject).alias("subject"), F.lit(located_in).alias("relation")).distinct()
+        known = self.query(subjects, "subject", "relation", "object").filter(F.col("object").isNotNull())
+        return verify_fact(df, known, subject, predicate, obj, out, located_in)

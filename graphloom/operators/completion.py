@@ -8,10 +8,7 @@ from graphloom import rules as R
 from graphloom.functions import scores, text as tx
 from graphloom.operators.facts import verify_fact
 from graphloom.rules import RulePack
-from graphloom.session import compute_once, small_side
-
-# A rule table up to this size becomes a literal, which keeps completion map-only.
-LITERAL_RULES = 512
+from graphloom.session import compute_once
 
 
 def verified_rules(rules: DataFrame, facts: DataFrame) -> DataFrame:
@@ -76,8 +73,10 @@ def match_rules(docs: DataFrame, verified: DataFrame, text: str = "text", key: s
             F.regexp_extract_all(t, F.lit("(?s)(.)"), F.lit(1)),
         )
     )
-    hits = docs.select(key, text, F.explode(grams).alias("_gram")).join(small_side(keyed), "_gram")
-    return hits.filter(t.contains(F.col("subject")) & t.contains(F.col("wrong_object"))).drop("_gram", text)
+    # only keys meet the rules; the text comes back for the few that are left
+    met = docs.select(key, F.explode(grams).alias("_gram")).join(keyed, "_gram").drop("_gram").distinct()
+    hits = met.join(docs.select(key, text), key)
+    return hits.filter(t.contains(F.col("subject")) & t.contains(F.col("wrong_object"))).drop(text)
 
 
 def _correct_with_table(df: DataFrame, verified: DataFrame, active: Column, text: str, key: str) -> DataFrame:
@@ -107,19 +106,14 @@ def complete_knowledge(
 
     Needs the ``issues`` column of ``assess_quality``. Steps in order: conflict
     corrections by rule id, format, implicit notes, confidence. With the pack's
-    own rules, or a small rule table, the plan stays map-only.
+    own rules the plan is map-only; a table of rules is joined (``match_rules``).
     """
     issues = F.col("issues")
     conflicted = tx.any_issue_with(issues, R.CONFLICT_WORD)
     if rules is None:
         fixed = _correct_with_literals(docs, _packed_rules(pack), conflicted, text)
     else:
-        checked = verified_rules(rules, facts)
-        head = checked.orderBy("rule_id").limit(LITERAL_RULES + 1).collect()
-        if len(head) <= LITERAL_RULES:
-            fixed = _correct_with_literals(docs, [tuple(r) for r in head], conflicted, text)
-        else:
-            fixed = _correct_with_table(docs, checked, conflicted, text, key)
+        fixed = _correct_with_table(docs, verified_rules(rules, facts), conflicted, text, key)
 
     t = F.col("_fixed")
     reformat = tx.any_issue_with(issues, R.FORMAT_WORD)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.operators.ranking import sorted_index
-from graphloom.session import counted_side_of, cut_lineage, in_one_task
-
-MAX_ROUNDS = 10_000
+from graphloom.session import cut_lineage
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
@@ -49,12 +49,11 @@ def _trim_while_useful(edges: DataFrame, least_gain: float = 0.1) -> tuple[DataF
     edges = cut_lineage(edges)
     size = edges.count()
     while size:
-        edges = in_one_task(edges, size)
         edges = cut_lineage(_trim(_trim(edges)))
         before, size = size, edges.count()
         if size > before * (1 - least_gain):
             break
-    return in_one_task(edges, size), size
+    return edges, size
 
 
 def strongly_connected_components(edges: DataFrame) -> DataFrame:
@@ -74,10 +73,8 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
     nodes, numbered = _numbered(_pairs(edges).filter("source != target"))
     rest, size = _trim_while_useful(numbered)
     parts: list[DataFrame] = []
-    for _ in range(MAX_ROUNDS):
-        if size == 0:
-            break
-        labels = _spread_labels(rest, size)
+    while size:
+        labels = _spread_labels(rest)
         parts.append(labels.filter("f = b").select(F.col("f").alias("pivot"), "node"))
         open_ = labels.filter("f != b").select("node", F.struct("f", "b").alias("l"))
         same = (
@@ -87,8 +84,6 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
             .select("source", "target")
         )
         rest, size = _trim_while_useful(same)
-    else:
-        raise RuntimeError("components did not end")
     if not parts:
         return nodes.limit(0).select(F.col("name").alias("component"), F.col("name").alias("node"), F.lit(0).cast("bigint").alias("size"))
     found = parts[0]
@@ -100,27 +95,26 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
     return members.join(first, "pivot").select("component", F.col("name").alias("node"), "size")
 
 
-def _spread_labels(edges: DataFrame, size: int) -> DataFrame:
+def _spread_labels(edges: DataFrame) -> DataFrame:
     """(node, f, b): the smallest node among those that reach a node, and among those it reaches."""
     nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
     start = nodes.select("node", F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("new_f"), F.lit(True).alias("new_b"))
-    state = in_one_task(cut_lineage(start), size)
-    for _ in range(MAX_ROUNDS):
+    state = cut_lineage(start)
+    while True:
         changed = state.filter("new_f or new_b")
-        n = changed.count()
-        if n == 0:
+        if changed.isEmpty():
             return state.select("node", "f", "b")
-        ahead = counted_side_of(changed.filter("new_f").select(F.col("node").alias("source"), "f"), n, size)
-        back = counted_side_of(changed.filter("new_b").select(F.col("node").alias("target"), "b"), n, size)
+        ahead = changed.filter("new_f").select(F.col("node").alias("source"), "f")
+        back = changed.filter("new_b").select(F.col("node").alias("target"), "b")
         none = F.lit(None).cast("bigint")
         news = (
             edges.join(ahead, "source").select(F.col("target").alias("node"), F.col("f").alias("_f"), none.alias("_b"))
             .union(edges.join(back, "target").select(F.col("source").alias("node"), none, F.col("b")))
         )
-        news = in_one_task(news, size).groupBy("node").agg(F.min("_f").alias("_f"), F.min("_b").alias("_b"))
+        news = news.groupBy("node").agg(F.min("_f").alias("_f"), F.min("_b").alias("_b"))
         new_f = F.coalesce(F.col("_f") < F.col("f"), F.lit(False))
         new_b = F.coalesce(F.col("_b") < F.col("b"), F.lit(False))
-        moved = cut_lineage(
+        state = cut_lineage(
             state.join(news, "node", "left").select(
                 "node",
                 F.when(new_f, F.col("_f")).otherwise(F.col("f")).alias("f"),
@@ -129,8 +123,6 @@ def _spread_labels(edges: DataFrame, size: int) -> DataFrame:
                 new_b.alias("new_b"),
             )
         )
-        state = in_one_task(moved, size)
-    raise RuntimeError("labels did not settle")
 
 
 def dependency_levels(edges: DataFrame, entities: DataFrame | None = None) -> tuple[DataFrame, bool]:
@@ -140,8 +132,6 @@ def dependency_levels(edges: DataFrame, entities: DataFrame | None = None) -> tu
     is a cycle. In-degrees are counted once and lowered by the peeled nodes only.
     """
     all_pairs = cut_lineage(_pairs(edges))
-    size = all_pairs.count()
-    all_pairs = in_one_task(all_pairs, size)
     nodes = all_pairs.select(F.explode(F.array("source", "target")).alias("node"))
     if entities is not None:
         nodes = nodes.union(entities.select(F.col("name").alias("node")))
@@ -151,22 +141,20 @@ def dependency_levels(edges: DataFrame, entities: DataFrame | None = None) -> tu
         .join(incoming, "node", "left")
         .select("node", F.coalesce("open", F.lit(0)).alias("open"), F.lit(None).cast("int").alias("level"))
     )
-    state = in_one_task(state, max(size, state.count()))
-    for level in range(MAX_ROUNDS):
+    level = 0
+    while True:
         ready = F.col("level").isNull() & (F.col("open") == 0)
         state = state.withColumn("level", F.when(ready, F.lit(level)).otherwise(F.col("level")))
         gone = state.filter(F.col("level") == level).select(F.col("node").alias("source"))
-        n = gone.count()
-        if n == 0:
+        if gone.isEmpty():
             break
-        lowered = all_pairs.join(counted_side_of(gone, n, size), "source", "left_semi").groupBy(F.col("target").alias("node")).agg(F.count("*").alias("_n"))
+        lowered = all_pairs.join(gone, "source", "left_semi").groupBy(F.col("target").alias("node")).agg(F.count("*").alias("_n"))
         state = cut_lineage(
             state.join(lowered, "node", "left").select(
                 "node", (F.col("open") - F.coalesce("_n", F.lit(0))).alias("open"), "level"
             )
         )
-    else:
-        raise RuntimeError("peeling did not end")
+        level += 1
     return state.filter("level is not null").select("node", "level"), state.filter("level is null").isEmpty()
 
 
@@ -185,76 +173,71 @@ def dependency_order(edges: DataFrame, entities: DataFrame | None = None) -> Dat
     )
 
 
-def transitive_gaps(entities: DataFrame, edges: DataFrame, limit: int = 5, first_chunk: int = 16) -> DataFrame:
-    """The first ``limit`` entity pairs, by (eid, eid), joined only through other nodes.
+def transitive_gaps(
+    entities: DataFrame, edges: DataFrame, limit: int | None = 5, first_chunk: int = 16, sources: DataFrame | None = None
+) -> DataFrame:
+    """The first ``limit`` entity pairs, by (eid, eid), joined only through other nodes; all of them for None.
 
-    Breadth-first search from a few sources at a time, in ``eid`` order, until
-    enough pairs are known. The path named is a shortest one; going back from the
-    target it takes the smallest predecessor at every step.
+    With ``sources(name)`` only pairs that start there. Breadth-first search: for
+    a limit from a few sources at a time, in ``eid`` order, until enough pairs are
+    known, else from all at once. The path named is a shortest one; going back
+    from the target it takes the smallest predecessor at every step.
     """
     links = cut_lineage(_pairs(edges).filter("source != target"))
-    size = links.count()
-    links = in_one_task(links, size)
     names = entities.select("eid", "name")
     second = links.select(F.col("source").alias("target")).distinct()
-    starts = cut_lineage(
-        names.join(
-            links.join(second, "target", "left_semi").select(F.col("source").alias("name")).distinct(), "name", "left_semi"
-        )
-    )
-    rows, after, chunk = [], None, first_chunk
-    while len(rows) < limit:
+    first = links.join(second, "target", "left_semi").select(F.col("source").alias("name")).distinct()
+    if sources is not None:
+        first = first.join(sources.select("name"), "name", "left_semi")
+    starts = cut_lineage(names.join(first, "name", "left_semi"))
+    if limit is None:
+        return _gaps(_search(starts, links), names)
+    found: list[DataFrame] = []
+    n_found, after, chunk = 0, None, first_chunk
+    while n_found < limit:
         pool = starts if after is None else starts.filter(F.col("eid") > after)
         top = pool.orderBy("eid").limit(chunk).agg(F.max("eid")).first()[0]
         if top is None:
             break
-        seen = _search(pool.filter(F.col("eid") <= top), links, size)
-        hits = (
-            seen.filter("dist >= 2")
-            .join(names.select(F.col("eid").alias("eid2"), F.col("name").alias("node")), "node")
-            .orderBy("eid1", "eid2")
-            .limit(limit - len(rows))
-            .collect()  # at most ``limit`` rows
-        )
-        rows += _walk_back(seen, hits)
+        hits = _gaps(_search(pool.filter(F.col("eid") <= top), links), names)
+        found.append(cut_lineage(hits.orderBy("eid1", "eid2").limit(limit - n_found)))
+        n_found += found[-1].count()
         after, chunk = top, chunk * 8
-    schema = "eid1 bigint, eid2 bigint, source string, target string, path_length int, intermediate_nodes array<string>, confidence double"
-    return edges.sparkSession.createDataFrame(rows, schema)
+    if not found:
+        return _gaps(_search(starts, links), names)
+    return reduce(DataFrame.unionByName, found).orderBy("eid1", "eid2")
 
 
-def _search(starts: DataFrame, links: DataFrame, size: int) -> DataFrame:
-    """(eid1, start, node, dist, parent) for every node reached from the starts."""
+def _search(starts: DataFrame, links: DataFrame) -> DataFrame:
+    """(eid1, start, node, dist, path) for every node reached from the starts; ``path`` holds the nodes between."""
     seen = cut_lineage(
         starts.select(
             F.col("eid").alias("eid1"), F.col("name").alias("start"), F.col("name").alias("node"), F.lit(0).alias("dist"),
-            F.lit(None).cast("string").alias("parent"),
+            F.array().cast("array<string>").alias("path"),
         )
     )
-    steps = seen
-    for dist in range(1, MAX_ROUNDS):
-        n = steps.count()
-        if n == 0:
-            return seen
-        front = steps.select("eid1", "start", F.col("node").alias("source"))
+    steps, dist = seen, 0
+    while not steps.isEmpty():
+        dist += 1
+        front = steps.select("eid1", "start", F.col("node").alias("source"), "path")
+        # the start itself is no node between
+        way = F.col("path") if dist == 1 else F.concat("path", F.array("source"))
         found = (
-            links.join(counted_side_of(front, n, size), "source")
+            links.join(front, "source")
             .groupBy("eid1", "start", F.col("target").alias("node"))
-            .agg(F.min("source").alias("parent"))
+            .agg(F.min(F.struct("source", way.alias("way"))).alias("best"))
             .join(seen.select("eid1", "node"), ["eid1", "node"], "left_anti")
-            .select("eid1", "start", "node", F.lit(dist).alias("dist"), "parent")
+            .select("eid1", "start", "node", F.lit(dist).alias("dist"), F.col("best.way").alias("path"))
         )
         steps = cut_lineage(found)
         # the parts are checkpoints: the union only grows by one scan per step
         seen = seen.unionByName(steps)
-    raise RuntimeError("search did not end")
-
-
-def _walk_back(seen: DataFrame, hits) -> list[tuple]:
-    """Follow the parents of a handful of pairs."""
-    paths = {(h.eid1, h.eid2): [h.parent] for h in hits}
-    for back in range(1, max([h.dist for h in hits], default=0) - 1):
-        open_ = [(h.eid1, h.eid2, paths[(h.eid1, h.eid2)][0]) for h in hits if h.dist - 1 > back]
-        want = seen.sparkSession.createDataFrame(open_, "eid1 bigint, eid2 bigint, node string")
-        for r in seen.join(F.broadcast(want), ["eid1", "node"]).select("eid1", "eid2", "parent").collect():
-            paths[(r.eid1, r.eid2)].insert(0, r.parent)
-    return [(h.eid1, h.eid2, h.start, h.node, h.dist + 1, paths[(h.eid1, h.eid2)], 0.6) for h in hits]
+    return seen
+
+
+def _gaps(seen: DataFrame, names: DataFrame) -> DataFrame:
+    far = seen.filter("dist >= 2").join(names.select(F.col("eid").alias("eid2"), F.col("name").alias("node")), "node")
+    return far.select(
+        "eid1", "eid2", F.col("start").alias("source"), F.col("node").alias("target"), (F.col("dist") + 1).alias("path_length"),
+        F.col("path").alias("intermediate_nodes"), F.lit(0.6).alias("confidence"),
+    )

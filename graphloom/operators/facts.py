@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom import rules as R
-from graphloom.session import small_side
 
 
 def _facts_as(facts: DataFrame, *names: str) -> DataFrame:
     # one object per (subject, relation), whatever the table holds
     unique = facts.groupBy("subject", "relation").agg(F.max("object").alias("object"))
-    return small_side(unique.toDF(*names))
+    return unique.toDF(*names)
 
 
 def query_fact(df: DataFrame, facts: DataFrame, subject: str, relation: str, out: str = "fact") -> DataFrame:

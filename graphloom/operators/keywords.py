@@ -8,8 +8,6 @@ from graphloom import rules as R
 from graphloom.functions import scores, text as tx
 from graphloom.functions.text import strings
 
-SEP = "\u0001"
-
 
 def entity_tokens(entities: DataFrame, tokenizer=tx.tokens) -> DataFrame:
     """(eid, name, tokens): the tokens of the name and the attribute values, repeats kept."""
@@ -22,14 +20,25 @@ def token_rows(bags: DataFrame) -> DataFrame:
 
 # --- verbs ----------------------------------------------------------------
 
-def entity_verbs(bags: DataFrame, verbs=R.VERBS) -> DataFrame:
-    """(eid, name, verb) for tokens of the verb lexicon. No part-of-speech tagger is assumed."""
-    return bags.select("eid", "name", F.explode(F.array_intersect("tokens", strings(verbs))).alias("verb"))
+def lexicon_tagger(verbs=R.VERBS):
+    """The verbs among tokens, by a word list."""
+    return lambda tokens: F.array_intersect(tokens, strings(verbs))
+
+
+def entity_verbs(bags: DataFrame, verbs=R.VERBS, tagger=None) -> DataFrame:
+    """(eid, name, verb) for the verbs among the tokens.
+
+    ``tagger`` is a function from the column of tokens to the array of verbs among
+    them, for instance a pandas UDF; by default the verb lexicon decides.
+    """
+    tagger = tagger or lexicon_tagger(verbs)
+    return bags.select("eid", "name", F.explode(tagger(F.col("tokens"))).alias("verb"))
 
 
-def missing_verbs(bags: DataFrame, verbs=R.VERBS) -> DataFrame:
-    """Entities without any verb token. Map-only."""
-    return bags.filter(~F.arrays_overlap("tokens", strings(verbs))).select("eid", "name")
+def missing_verbs(bags: DataFrame, verbs=R.VERBS, tagger=None) -> DataFrame:
+    """Entities without any verb among their tokens. Map-only."""
+    tagger = tagger or lexicon_tagger(verbs)
+    return bags.filter(F.size(tagger(F.col("tokens"))) == 0).select("eid", "name")
 
 
 def inferred_verbs(entities: DataFrame, edges: DataFrame, verbs=R.VERBS) -> DataFrame:
@@ -58,7 +67,7 @@ def profiles(bags: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``eid`` of the group. Second table: (eid, profile). Copies would all score
     1 against each other; folding them keeps that result in one row.
     """
-    keyed = bags.withColumn("_key", F.md5(F.concat_ws(SEP, F.array_sort("tokens"))))
+    keyed = bags.withColumn("_key", F.array_sort("tokens"))
     groups = keyed.groupBy("_key").agg(F.min("eid").alias("profile"), F.count("*").alias("members"))
     unique = bags.join(groups.withColumnRenamed("profile", "eid"), "eid").select(
         F.col("eid").alias("profile"), "members", "tokens"

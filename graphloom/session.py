@@ -1,4 +1,4 @@
-"""Session helpers: shared work folder, lineage cuts and size-checked broadcasts."""
+"""Session helpers: shared work folder and lineage cuts."""
 
 from __future__ import annotations
 
@@ -16,9 +16,6 @@ RECOMMENDED_CONF = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
-BROADCAST_ROWS = 100_000
-
-
 def compute_once(df: DataFrame, *columns: Column) -> DataFrame:
     """Add aliased columns whose expressions must not be copied into later steps.
 
@@ -59,39 +56,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table holds at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a table for broadcast when its row count is proven small, else leave the choice to AQE."""
-    return F.broadcast(df) if fits(df, max_rows) else df
-
-
-def counted_side(df: DataFrame, rows: int) -> DataFrame:
-    """The same for a table whose row count is already known, as in the rounds of a loop."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-# a table of a loop with at most this many rows is handled by one task
-ONE_TASK_ROWS = 50_000
-
-
-def in_one_task(df: DataFrame, rows: int) -> DataFrame:
-    """Put a table of few, counted rows into one partition: its joins and groupings then need no shuffle.
-
-    The last rounds of a loop work on a small rest, where scheduling would cost
-    more than the work. Larger tables stay partitioned as they are.
-    """
-    return df.coalesce(1) if rows <= ONE_TASK_ROWS else df
-
-
-def counted_side_of(df: DataFrame, rows: int, other_rows: int) -> DataFrame:
-    """``counted_side``, but no broadcast where the other side is in one task as well."""
-    return df if other_rows <= ONE_TASK_ROWS else counted_side(df, rows)
-
-
 def spread(scan: DataFrame) -> DataFrame:
     """Give a scan with fewer splits than cores one partition per core; any other scan stays as it is.
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from graphloom import rules as R
+from graphloom.operators.completion import complete_failing
+from graphloom.operators.quality import assess_quality
 from graphloom.operators.triples import merge_triples, rule_triples
 from graphloom.rules import RulePack
 from graphloom.sources.documents import reject_reason
@@ -13,9 +15,16 @@ from graphloom.sources.documents import reject_reason
 COLUMNS = "head string, relation string, tail string, confidence double, seq bigint, batch bigint"
 
 
-def stream_triples(docs: DataFrame, pack: RulePack = R.ZH) -> DataFrame:
-    """Scored rule triples of a document stream; stateless, the same plan as in batch."""
-    return rule_triples(docs.filter(reject_reason(F.col("text")).isNull()), pack)
+def stream_triples(docs: DataFrame, pack: RulePack = R.ZH, repair: bool = True, threshold: float = 0.5) -> DataFrame:
+    """Scored rule triples of a document stream; stateless, the same plan as in batch.
+
+    Texts under the quality gate are repaired first, unless ``repair`` is off.
+    """
+    kept = docs.filter(reject_reason(F.col("text")).isNull())
+    if repair:
+        done = complete_failing(assess_quality(kept, pack, threshold), pack)
+        kept = done.select(*[F.col("processed_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return rule_triples(kept, pack)
 
 
 def append_stream(triples: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -294,9 +294,9 @@ def _gap_columns(df):
     return df.withColumn("intermediate", F.array_join("intermediate_nodes", ",")).drop("intermediate_nodes")
 
 
-@query("grf_5_transitive_gaps", f"{STAR}, {_GAPS.format(k=200)} SELECT * FROM gaps")
+@query("grf_5_transitive_gaps", f"{STAR}, {_GAPS.replace('LIMIT {k}', '')} SELECT * FROM gaps")
 def grf_5(spark, d):
-    return _gap_columns(components.transitive_gaps(*star(spark, d), limit=200))
+    return _gap_columns(components.transitive_gaps(*star(spark, d), limit=None))
 
 
 @query("top_4_first_transitive_gaps", f"{STAR}, {_GAPS.format(k=5)} SELECT * FROM gaps")

@@ -321,13 +321,21 @@ def ext_5(spark, d):
     return found.groupBy("doc_id", "head", "relation", "tail").agg(F.count("*").alias("n"))
 
 
-_PASS2 = f"""WITH {q.completed(q.ZH)}, next AS (SELECT doc_id, CASE WHEN is_high_quality THEN text ELSE enhanced_data END AS text, CASE WHEN is_high_quality THEN 0 ELSE 1 END AS used FROM completed)"""
+def _pass(n: int) -> str:
+    """Round ``n`` of repair over the round before."""
+    before = q.ZH if n == 1 else f"SELECT doc_id, text, used FROM pass{n - 1}"
+    keep = "" if n == 1 else "used"
+    used = "0" if n == 1 else "used"
+    return f"""pass{n} AS MATERIALIZED (WITH {q.completed(before, extra=keep)} SELECT doc_id, CASE WHEN is_high_quality THEN text ELSE enhanced_data END AS text,
+  {used} + CASE WHEN is_high_quality THEN 0 ELSE 1 END AS used FROM completed)"""
+
+
 
 
 @query(
     "ext_6_refine",
-    f"{_PASS2}, again AS (WITH {q.assessed('SELECT * FROM next', R.ZH, 'used')} SELECT doc_id, used::BIGINT AS rounds_used, text, quality_score, is_high_quality AS passed FROM assessed) SELECT * FROM again",
+    f"WITH {_pass(1)}, {_pass(2)}, {_pass(3)}, again AS (WITH {q.assessed('SELECT * FROM pass3', R.ZH, 'used')} SELECT doc_id, used::BIGINT AS rounds_used, text, quality_score, is_high_quality AS passed FROM assessed) SELECT * FROM again",
 )
 def ext_6(spark, d):
-    out = refine(zh(spark, d).select("doc_id", "text"), rounds=1)
+    out = refine(zh(spark, d).select("doc_id", "text"))
     return out.select("doc_id", F.col("rounds_used").cast("bigint").alias("rounds_used"), "text", "quality_score", "passed")

@@ -477,9 +477,13 @@ def udf_4(spark, d):
 
 # --- streaming ------------------------------------------------------------
 
+_REPAIRED = f"""WITH {q.completed(q.DOCS, R.LATIN)}, done AS (SELECT doc_id, CASE WHEN is_high_quality THEN text ELSE enhanced_data END AS text
+  FROM completed WHERE {q.not_blank('text')})"""
+
+
 @query(
     "str_1_incremental_graph",
-    f"SELECT head, relation, tail, round(max(confidence), 6) AS confidence FROM ({q.rule_triples(q.DOCS, R.LATIN)}) t GROUP BY ALL",
+    f"{_REPAIRED} SELECT head, relation, tail, round(max(confidence), 6) AS confidence FROM ({q.rule_triples('SELECT * FROM done', R.LATIN)}) t GROUP BY ALL",
 )
 def str_1(spark, d):
     path = run_dir(spark, "stream")
@@ -491,7 +495,7 @@ def str_1(spark, d):
 
 @query(
     "str_1_running_relation_counts",
-    f"SELECT relation, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM ({q.rule_triples(q.DOCS, R.LATIN)}) t GROUP BY ALL",
+    f"{_REPAIRED} SELECT relation, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM ({q.rule_triples('SELECT * FROM done', R.LATIN)}) t GROUP BY ALL",
 )
 def str_1_counts(spark, d):
     path = run_dir(spark, "counts")

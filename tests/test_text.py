@@ -75,13 +75,11 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("mode", ["pack", "literal", "table"])
-def test_completion(spark, monkeypatch, mode):
+@pytest.mark.parametrize("mode", ["pack", "table"])
+def test_completion(spark, mode):
     rows = [(i, c[0], c[1]) for i, c in enumerate(CASES)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, issues array<string>")
     extra = {} if mode == "pack" else {"rules": conflict_rules(spark), "facts": default_facts(spark)}
-    if mode == "table":
-        monkeypatch.setattr(completion, "LITERAL_RULES", 1)
     out = {r.doc_id: r for r in completion.complete_knowledge(df, **extra).collect()}
     for i, (text, _, fixed, corrections, completions, confidence) in enumerate(CASES):
         r = out[i]
