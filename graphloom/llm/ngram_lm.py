@@ -5,7 +5,10 @@ range of hashes then holds every bigram of a context and so counts the bigram an
 the context in one place. A bigram that no other document has backs off to the second
 word's share of the corpus; those words go, packed the same way, to the range of
 their own hash, where the word counts of the first step meet them. What comes back
-is one partial sum per task and document, packed by range of documents and added up there.
+is one partial sum per task and document, packed by group of documents and added up there.
+
+A row's number is its task and its place in that task's input, so that lists of numbers
+pack into a byte or two each; the key of the row travels once, beside its number.
 """
 
 from __future__ import annotations
@@ -16,18 +19,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.llm.common import (
-    BLOCK_WORDS, blocks, buckets_of, packed, packed_ids, packed_places, row_key, unpacked, unpacked_ids, unpacked_places, utf8, written,
+    BLOCK_WORDS, blocks, packed, packed_ids, packed_places, row_key, unpacked, unpacked_ids, unpacked_places, utf8, written,
 )
-from graphloom.llm.window_dedup import BASE, _groups, _rows, _table, bucket_bounds
+from graphloom.llm.window_dedup import BASE, _groups, _id_bucket, _rows, _table, bucket_bounds
 
 BACKOFF = 0.4
 # bits of a word's hash: words that share one count as the same word
 WORD_BITS = 48
 # bigrams that a task packs at a time
 PACK_WORDS = BLOCK_WORDS // 2
+# bytes of text whose bigrams one range takes, so that ranges follow the data and not the session's settings
+RANGE_BYTES = 8 << 20
 # a word is hot from this part of an even range on: at most buckets / HOT_PART words are
 HOT_PART = 0.5
 _ALL_WORDS = -1
@@ -35,8 +41,12 @@ _PACKS = "bucket int, contexts binary, seconds binary, counts binary, places bin
 _NAMES = ["kind", "bucket", "words", "counts", "places", "docs"]
 _TYPES = [pa.int32(), pa.int32()] + [pa.binary()] * 4
 _STEP = "kind int, bucket int, words binary, counts binary, places binary, docs binary"
-# bits of a document's number, and sums by document that a task holds at a time
-DOC_BITS = 60
+# a number's lower bits: the row's place in its task
+PLACE_BITS = 40
+# partial sums travel as whole multiples of this part
+SUM_SCALE = 2.0**32
+KEY_BYTES = 16
+# sums by document that a task holds at a time
 MOST_SUMS = 250_000
 
 
@@ -105,15 +115,15 @@ def _pair_bucket(first: np.ndarray, second: np.ndarray, buckets: int) -> np.ndar
 
 
 def _pack(buckets: int, most: int, hot: np.ndarray):
-    """Counted bigrams of a document, by the range of the first word's hash, of hot words by the hash of both."""
+    """Counted bigrams of a document, by the range of the first word's hash, of hot words by the hash of both.
+
+    Keys of rows go below 0: -1 - group of documents.
+    """
     bounds = bucket_bounds(buckets) >> np.uint64(64 - WORD_BITS)
     types = [pa.int32()] + [pa.binary()] * 5
     names = ["bucket", "contexts", "seconds", "counts", "places", "docs"]
 
-    def pack(docs: list[int], hashes: list[np.ndarray]) -> pa.RecordBatch:
-        order = np.argsort(np.array(docs, np.int64))
-        docs = np.array(docs, np.int64)[order]
-        hashes = [hashes[i] for i in order]
+    def pack(docs: np.ndarray, keys: np.ndarray, hashes: list[np.ndarray]) -> pa.RecordBatch:
         first, second = np.concatenate([h[:-1] for h in hashes]), np.concatenate([h[1:] for h in hashes])
         places = np.repeat(np.arange(len(docs)), [len(h) - 1 for h in hashes])
         order = np.lexsort((second, places, first))
@@ -134,33 +144,44 @@ def _pack(buckets: int, most: int, hot: np.ndarray):
             values = (int(bucket), packed(first[at]), packed(second[at]), packed(counts[at].astype("<u4")), packed_places(local), packed_ids(docs[used]))
             for column, value in zip(out, values):
                 column.append(value)
+        target = _id_bucket(docs, buckets)
+        for bucket in np.unique(target):
+            at = target == bucket
+            for column, value in zip(out, (-1 - int(bucket), keys[at].tobytes(), None, None, None, packed_ids(docs[at]))):
+                column.append(value)
         return _table(out, types, names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, held, n = [], [], 0
+        number = TaskContext.get().partitionId() << PLACE_BITS
+        keys, held, n = [], [], 0
+
+        def block() -> pa.RecordBatch:
+            docs = np.arange(number, number + len(keys), dtype=np.int64)
+            return pack(docs, np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY_BYTES), held)
+
         for batch in blocks(batches, "text", 8 * BLOCK_WORDS):
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
+            for key, text in zip(batch.column("row_key").to_pylist(), batch.column("text").to_pylist()):
                 words = text.lower().split()
                 if words:
                     # 0 stands before the first word and after the last
                     held.append(np.concatenate((np.zeros(1, np.uint64), _hashes(words), np.zeros(1, np.uint64))))
-                    docs.append(doc)
+                    keys.append(key)
                     n += len(words)
                 if n >= most:
-                    yield pack(docs, held)
-                    docs, held, n = [], [], 0
+                    yield block()
+                    number += len(keys)
+                    keys, held, n = [], [], 0
         if held:
-            yield pack(docs, held)
+            yield block()
 
     return rows
 
 
 class _Sums:
-    """Sums by document over a task, given out packed by range of documents."""
+    """Sums by document over a task, given out packed by group of documents (kind 2)."""
 
-    def __init__(self, kind: int, buckets: int, most: int):
-        self.kind, self.most = kind, most
-        self.bounds = np.array([(i << DOC_BITS) // buckets for i in range(1, buckets)], np.int64)
+    def __init__(self, buckets: int, most: int):
+        self.buckets, self.most = buckets, most
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.n = 0
 
@@ -183,26 +204,31 @@ class _Sums:
             return
         docs, sums = self._folded()
         self.held, self.n = [], 0
-        cuts = np.concatenate(([0], np.searchsorted(docs, self.bounds, "left"), [len(docs)]))
+        target = _id_bucket(docs, self.buckets)
+        order = np.argsort(target, kind="stable")
+        docs, sums = docs[order], np.rint(sums[order] * SUM_SCALE).astype("<i8")
+        cuts = np.searchsorted(target[order], np.arange(self.buckets + 1))
         rows: list[list] = [[] for _ in _TYPES]
         for bucket in np.flatnonzero(np.diff(cuts)):
             at = slice(cuts[bucket], cuts[bucket + 1])
-            for column, value in zip(rows, (self.kind, int(bucket), None, packed(sums[at]), None, packed_ids(docs[at]))):
+            for column, value in zip(rows, (2, int(bucket), None, packed(sums[at]), None, packed_ids(docs[at]))):
                 column.append(value)
         yield _table(rows, _TYPES, _NAMES)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Scores of the documents of a range: partial sums (kind 2) over the document's rows (kind 3)."""
+    """Scores of the documents of a group: their partial sums (kind 2), by the keys of their rows (kind 3)."""
     for _, group in _groups(batches, "bucket"):
-        parts = [(r["kind"], unpacked_ids(r["docs"]), unpacked(r["counts"], "<f8")) for r in group]
-        docs, local = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
-        sums = {2: np.zeros(len(docs)), 3: np.zeros(len(docs))}
-        at = 0
-        for kind, ids, values in parts:
-            sums[kind][local[at : at + len(ids)]] += values
-            at += len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(sums[2] / sums[3])], ["doc", "log_score"])
+        named = [r for r in group if r["kind"] == 3]
+        docs = np.concatenate([unpacked_ids(r["docs"]) for r in named])
+        keys = np.concatenate([np.frombuffer(r["words"], np.uint8).reshape(-1, KEY_BYTES) for r in named])
+        order = np.argsort(docs)
+        docs, keys = docs[order], keys[order]
+        sums = np.zeros(len(docs))
+        for r in group:
+            if r["kind"] == 2:
+                sums[np.searchsorted(docs, unpacked_ids(r["docs"]))] += unpacked(r["counts"], "<i8") / SUM_SCALE
+        yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(sums)], ["row_key", "log_score"])
 
 
 def _hot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,15 +248,22 @@ def _per_word(word: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndar
 def _bigrams(buckets: int, backoff: float, hot: np.ndarray, most: int):
     """What a range knows, by kind.
 
-    0: counts of its words. 1: words to back off to. 2: partial scores. 3: rows of a
-    document. 4: its part of a hot word's count. 5: hot words to back off to. 6: hot
+    0: counts of its words. 1: words to back off to. 2: partial scores. 3: keys of
+    rows. 4: its part of a hot word's count. 5: hot words to back off to. 6: hot
     words whose bigrams were met.
     """
     bounds = bucket_bounds(buckets) >> np.uint64(64 - WORD_BITS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partials, starts = _Sums(2, buckets, most), _Sums(3, buckets, most)
+        partials = _Sums(buckets, most)
         for bucket, group in _groups(batches, "bucket"):
+            if bucket < 0:
+                names: list[list] = [[] for _ in _TYPES]
+                for r in group:
+                    for column, value in zip(names, (3, -1 - bucket, r["contexts"], None, None, r["docs"])):
+                        column.append(value)
+                yield _table(names, _TYPES, _NAMES)
+                continue
             parts = [
                 (unpacked(r["contexts"]), unpacked(r["seconds"]), unpacked(r["counts"], "<u4").astype(np.int64), unpacked_ids(r["docs"])[unpacked_places(r["places"])])
                 for r in group
@@ -253,9 +286,6 @@ def _bigrams(buckets: int, backoff: float, hot: np.ndarray, most: int):
             del pair_total
             inside = second != 0
             start = first == 0
-            if start.any():
-                # one for each row: those with equal id and text share a number
-                yield from starts.add(docs[start], counts[start].astype(np.float64))
             met = inside & (others > 0) & ~start
             apart = np.isin(first, hot)
             # a step down has its factor, and the share of the word from the next step
@@ -296,7 +326,6 @@ def _bigrams(buckets: int, backoff: float, hot: np.ndarray, most: int):
                     at = slice(cuts[target], cuts[target + 1])
                     add(1, int(target), word[at], doc[at], n[at])
             yield _table(out, _TYPES, _NAMES)
-        yield from starts.out()
         yield from partials.out()
 
     return rows
@@ -312,7 +341,7 @@ def _words(total: int, buckets: int, most: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, known, counts = None, None, None
-        partials = _Sums(2, buckets, most)
+        partials = _Sums(buckets, most)
         for batch in batches:
             for r in _rows(batch):
                 if r["kind"] == 0:
@@ -332,7 +361,7 @@ def _hot_terms(words: np.ndarray, counts: np.ndarray, total: int, buckets: int,
     """Hot words to back off to, and those whose bigrams were met, with the words' counts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partials = _Sums(2, buckets, most)
+        partials = _Sums(buckets, most)
         for batch in batches:
             for r in _rows(batch):
                 doc = unpacked_ids(r["docs"])[unpacked_places(r["places"])]
@@ -344,7 +373,7 @@ def _hot_terms(words: np.ndarray, counts: np.ndarray, total: int, buckets: int,
     return rows
 
 
-def scored(docs: DataFrame, backoff: float = BACKOFF, row: Column | None = None, pack_words: int = PACK_WORDS, most_sums: int = MOST_SUMS) -> DataFrame:
+def scored(docs: DataFrame, backoff: float = BACKOFF, row: Column | None = None, pack_words: int = PACK_WORDS, most_sums: int = MOST_SUMS, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Rows (row, n_words, log_score, mean_score), one per document.
 
     Words are runs without ASCII white space, A-Z lower-cased. The first word
@@ -354,16 +383,16 @@ def scored(docs: DataFrame, backoff: float = BACKOFF, row: Column | None = None,
     log(backoff * n(w) / all words). ``log_score`` sums over the words,
     ``mean_score`` divides by their number; texts without words have 0 and null.
     Rows that repeat count each for itself and get the same score. A bigram is
-    counted in one place: it has one row there for each document that holds it. ``row`` is what to carry, by default a struct of all columns.
+    counted in one place: it has one row there for each document that holds it. Sums
+    are rounded to 2^-32 for each task. ``row`` is what to carry, by default a struct
+    of all columns. ``docs`` should be a table: numbers follow the order in which
+    its partitions are read, and a task that runs again has to read the same.
     """
-    spark = docs.sparkSession
-    buckets = buckets_of(spark)
+    buckets = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // range_bytes
     carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if row is None else row
     size = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("bigint")
-    # documents by number: the first eight bytes of the key
-    number = F.conv(F.substring(F.hex("row_key"), 2, 15), 16, 10).cast("bigint")
     base = docs.select(carried.alias("row"), row_key().alias("row_key"), size.alias("n_words"))
-    texts = docs.select(row_key().alias("row_key"), utf8().alias("text")).select(number.alias("doc"), "text")
+    texts = docs.select(row_key().alias("row_key"), utf8().alias("text"))
     hot, total = hot_words(texts.select("text"), HOT_PART / buckets)
     packs = texts.mapInArrow(_pack(buckets, pack_words, hot), _PACKS)
     steps = written(packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bigrams(buckets, backoff, hot, most_sums), _STEP), "bigrams")
@@ -375,7 +404,8 @@ def scored(docs: DataFrame, backoff: float = BACKOFF, row: Column | None = None,
         _hot_terms(np.array([r.word for r in counted], np.uint64), np.array([r.n for r in counted]), max(1, total), buckets, most_sums), _STEP
     )
     parts = steps.where("kind IN (2, 3)").unionByName(ends).unionByName(often)
-    sums = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "doc bigint, log_score double")
-    joined = base.withColumn("doc", number).join(sums, "doc", "left")
+    sums = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "row_key binary, log_score double")
+    # rows with equal id and text share a key and a score
+    joined = base.join(sums.groupBy("row_key").agg(F.max("log_score").alias("log_score")), "row_key", "left")
     score = F.coalesce("log_score", F.lit(0.0))
     return joined.select("row", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("mean_score"))

@@ -48,7 +48,7 @@ def test_scores_equal_brute_force(spark, tmp_path):
 @pytest.mark.parametrize("pack_words", [1, 500])
 def test_small_packs(spark, pack_words):
     data = rows(seed=4)
-    got = ngram_lm.scored(frame(spark, data), 0.7, pack_words=pack_words, most_sums=50 * pack_words).selectExpr("row.doc_id", "n_words", "log_score").collect()
+    got = ngram_lm.scored(frame(spark, data), 0.7, pack_words=pack_words, most_sums=50 * pack_words, range_bytes=4000).selectExpr("row.doc_id", "n_words", "log_score").collect()
     equal(map(tuple, got), brute(data, 0.7))
 
 
@@ -60,7 +60,7 @@ def test_hot_words(spark):
     hot, total = ngram_lm.hot_words(texts, 0.02)
     found = set(ngram_lm._hashes([b"the", b"of"]).tolist())
     assert found < set(hot.tolist()) and len(hot) <= 51 and total == sum(len(words_of(r[1])) for r in data)
-    got = ngram_lm.scored(frame(spark, data), pack_words=700).selectExpr("row.doc_id", "n_words", "log_score").collect()
+    got = ngram_lm.scored(frame(spark, data), pack_words=700, range_bytes=1500).selectExpr("row.doc_id", "n_words", "log_score").collect()
     equal(map(tuple, got), brute(data))
 
 
