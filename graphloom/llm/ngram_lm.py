@@ -395,10 +395,15 @@ def scored(docs: DataFrame, backoff: float = BACKOFF, row: Column | None = None,
     texts = docs.select(row_key().alias("row_key"), utf8().alias("text"))
     hot, total = hot_words(texts.select("text"), HOT_PART / buckets)
     packs = texts.mapInArrow(_pack(buckets, pack_words, hot), _PACKS)
-    steps = written(packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bigrams(buckets, backoff, hot, most_sums), _STEP), "bigrams")
+
+    def own_range(rows: DataFrame) -> DataFrame:
+        # a task for each range: by hash some tasks would hold several
+        return rows.repartitionById(buckets, F.pmod("bucket", F.lit(buckets)).cast("int"))
+
+    steps = written(own_range(packs).sortWithinPartitions("bucket").mapInArrow(_bigrams(buckets, backoff, hot, most_sums), _STEP), "bigrams")
     # a row for each hot word
     counted = steps.where("kind = 4").mapInArrow(_hot_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy("word").collect()
-    ends = steps.where("kind < 2").repartition("bucket").sortWithinPartitions("bucket", "kind")
+    ends = own_range(steps.where("kind < 2")).sortWithinPartitions("bucket", "kind")
     ends = ends.mapInArrow(_words(max(1, total), buckets, most_sums), _STEP)
     often = steps.where("kind > 4").mapInArrow(
         _hot_terms(np.array([r.word for r in counted], np.uint64), np.array([r.n for r in counted]), max(1, total), buckets, most_sums), _STEP
