@@ -28,6 +28,10 @@ PIECE = 1 << 22
 # bytes of text behind a pack, and bytes of suffixes in a run
 PACK_BYTES = 1 << 25
 RUN_BYTES = 1 << 24
+# bytes of text that are Python objects at a time, and what a key and a member take besides
+READ_BYTES = 1 << 22
+KEY_COST = 300
+MEMBER_COST = 130
 _BYTE_VALUES = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -244,7 +248,7 @@ def _suffix_runs(length: int, buckets: int):
         bucket, wanted = None, {}
         held: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
         n = 0
-        for batch in batches:
+        for batch in blocks(batches, "text", READ_BYTES):
             for b, hashes, places, ids, doc, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "hashes", "places", "ids", "doc", "text"))):
                 if b != bucket:
                     bucket, wanted = b, {}
@@ -263,7 +267,7 @@ def _suffix_runs(length: int, buckets: int):
                     # forward to the last window's end, then backward to the first window's start
                     key = text[s : p1 + length] + text[p0:s][::-1]
                     members = held.setdefault((part, p1 + length - s, key), [])
-                    n += 16 if members else len(key) + 200
+                    n += MEMBER_COST if members else len(key) + KEY_COST
                     members.append((s, doc))
                     if n >= RUN_BYTES:
                         yield dealt(held)
@@ -397,7 +401,7 @@ def _resolved(length: int, buckets: int):
 def _cut(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, spans = None, {}
-        for batch in batches:
+        for batch in blocks(batches, "text", READ_BYTES):
             keep, out = [], [[], [], [], []]
             for at, (b, starts, ends, docs, doc, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "starts", "ends", "docs", "doc", "text")))):
                 if b != bucket:
