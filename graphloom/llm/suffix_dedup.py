@@ -16,12 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.llm.common import blocks, buckets_of, covered, packed, packed_ids, packed_places, row_key, runs, unpacked, unpacked_ids, unpacked_places, utf8
-from graphloom.llm.window_dedup import BASE, INVERSE, _groups, _id_bucket, _powers, _table, bucket_bounds
+from graphloom.llm.window_dedup import BASE, INVERSE, _groups, _powers, _table, bucket_bounds
 
 # bytes of a text that are hashed at a time
 PIECE = 1 << 22
@@ -125,7 +124,7 @@ def _repeated(buckets: int):
             same = hashes[1:] == hashes[:-1]
             twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
             hashes, ids = hashes[twice], ids[twice]
-            target = _id_bucket(ids, buckets)
+            target = ids % buckets
             order = np.lexsort((hashes, ids, target))
             hashes, ids, target = hashes[order], ids[order], target[order]
             out: list[list] = [[], [], [], []]
@@ -388,7 +387,7 @@ def _resolved(length: int, buckets: int):
             out.extend(told(several))
             if out:
                 starts, ends, docs = np.concatenate(out, 1)
-                target = _id_bucket(docs, buckets)
+                target = docs % buckets
                 order = np.lexsort((starts, docs, target))
                 docs, starts, ends, target = docs[order], starts[order], ends[order], target[order]
                 cuts = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1], [True])))
@@ -450,8 +449,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, row: Column | None
     # documents by number, from their key: equal rows have equal spans
     number = F.conv(F.substring(F.hex("row_key"), 2, 15), 16, 10).cast("bigint")
     texts = docs.select(carried.alias("row"), row_key().alias("row_key"), utf8().alias("text")).select("row", number.alias("doc"), "text")
-    bucket_of = F.pandas_udf(lambda ids: pd.Series(_id_bucket(ids.to_numpy(), buckets)), "int")
-    placed = texts.withColumn("bucket", bucket_of("doc"))
+    # numbers are random, so their rest is an even deal
+    placed = texts.withColumn("bucket", F.pmod("doc", F.lit(buckets)).cast("int"))
     packs = texts.select("doc", "text").mapInArrow(_pack(length, buckets), "bucket int, hashes binary, places binary, ids binary")
     wanted = packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(buckets), "bucket int, hashes binary, places binary, ids binary")
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
