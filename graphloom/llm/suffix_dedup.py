@@ -451,20 +451,21 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, row: Column | None
     texts = docs.select(carried.alias("row"), row_key().alias("row_key"), utf8().alias("text")).select("row", number.alias("doc"), "text")
     # numbers are random, so their rest is an even deal
     placed = texts.withColumn("bucket", F.pmod("doc", F.lit(buckets)).cast("int"))
+    # a task for each bucket: by hash some tasks would hold several
     packs = texts.select("doc", "text").mapInArrow(_pack(length, buckets), "bucket int, hashes binary, places binary, ids binary")
-    wanted = packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(buckets), "bucket int, hashes binary, places binary, ids binary")
+    wanted = packs.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(buckets), "bucket int, hashes binary, places binary, ids binary")
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
     both = wanted.select("bucket", "hashes", "places", "ids", nothing("bigint", "doc"), nothing("binary", "text")).unionByName(
         placed.where(F.length("text") >= length).select("bucket", *[nothing("binary", c) for c in ("hashes", "places", "ids")], "doc", "text")
     )
-    suffixes = both.repartition("bucket").sortWithinPartitions("bucket", F.col("hashes").isNull()).mapInArrow(
+    suffixes = both.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", F.col("hashes").isNull()).mapInArrow(
         _suffix_runs(length, buckets), "part int, known binary, lengths binary, rest binary, forward binary, counts binary, places binary, docs binary"
     )
-    spans = suffixes.repartition("part").sortWithinPartitions("part").mapInArrow(_resolved(length, buckets), "bucket int, starts binary, ends binary, docs binary")
+    spans = suffixes.repartitionById(buckets, "part").sortWithinPartitions("part").mapInArrow(_resolved(length, buckets), "bucket int, starts binary, ends binary, docs binary")
     kind = texts.schema["row"].dataType
     last = spans.select("bucket", "starts", "ends", "docs", nothing("bigint", "doc"), nothing("binary", "text"), nothing(kind, "row")).unionByName(
         placed.select("bucket", *[nothing("binary", c) for c in ("starts", "ends", "docs")], "doc", "text", "row")
     )
-    return last.repartition("bucket").sortWithinPartitions("bucket", F.col("starts").isNull()).mapInArrow(
+    return last.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", F.col("starts").isNull()).mapInArrow(
         _cut(length), f"row {kind.simpleString()}, n_bytes bigint, n_removed bigint, removed array<array<bigint>>, kept_bytes binary"
     )
