@@ -40,8 +40,20 @@ PATTERNS = (
     ("name_female", _titled("female") + _NAME),
     ("name_male", _titled("male") + _NAME),
 )
-# mentions start where a word starts: most positions of a text fail at once
-ANY = r"(?<![\p{L}\d_.+%@(-])(?:" + "|".join(p for _, p in PATTERNS) + ")"
+# what may not stand right before a mention of a type: less of the same; secrets start anywhere
+_NO_DIGIT, _NO_GROUP = r"(?=[\d+(])(?<!\d)", r"(?<!\d-)"
+GUARDS = {
+    "email": r"(?<![A-Za-z0-9._%+-])",
+    "access_key": r"(?=A)(?<![A-Z0-9])",
+    "secret": "",
+    "ssn": _NO_DIGIT + _NO_GROUP,
+    "ip": _NO_DIGIT + r"(?<!\d\.)",
+    "card": _NO_DIGIT + _NO_GROUP,
+    "phone": _NO_DIGIT,
+    "name_female": r"(?=[MFSDг])(?<![\p{IsLatin}\p{IsCyrillic}])",
+    "name_male": r"(?=[MHSDг])(?<![\p{IsLatin}\p{IsCyrillic}])",
+}
+ANY = "|".join(f"(?:{GUARDS[kind]}{p})" for kind, p in PATTERNS)
 # parts of invented names by script: a name is two or three of them
 _PARTS = {
     "male": (("Al", "Ber", "Dor", "Ed", "Hen", "Jor", "Mar", "Ro", "The", "Vic"), ("an", "bert", "en", "ik", "mund", "on", "or", "rick", "ton", "us")),
