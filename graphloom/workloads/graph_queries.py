@@ -205,6 +205,28 @@ def jn_12(spark, d):
     return found.select("source", "target", F.round("score", 6).alias("score"))
 
 
+_LINKED = "EXISTS (SELECT 1 FROM edg WHERE source = a.name AND target = b.name)"
+
+
+@query(
+    "jn_12_all_missing_causal_ranges",
+    f"""{MARKET}, {_SETS}, mem AS (SELECT want, eid, name, row_number() OVER (PARTITION BY want ORDER BY eid) - 1 AS rank FROM sets JOIN (VALUES (0), (1), (2)) v(want) ON nc >= want),
+open AS (SELECT a.eid AS eid1, b.want, b.rank FROM sets a JOIN mem b ON b.want = greatest(2 - a.nc, 0) AND a.eid <> b.eid WHERE NOT {_LINKED})
+SELECT eid1, want, min(rank) AS from_rank, max(rank) AS to_rank FROM (SELECT *, rank - row_number() OVER (PARTITION BY eid1 ORDER BY rank) AS island FROM open) x GROUP BY eid1, want, island""",
+)
+def jn_12_ranges(spark, d):
+    _, ranges = causal.missing_causal_ranges(*market(spark, d))
+    return ranges
+
+
+@query(
+    "jn_12_all_missing_causal_pairs",
+    f"{MARKET}, {_SETS} SELECT a.eid AS eid1, b.eid AS eid2, a.name AS source, b.name AS target, round({_SCORE}, 6) AS score FROM sets a JOIN sets b ON a.eid <> b.eid WHERE a.nc + b.nc < 2 AND {_SCORE} > 0.3::DOUBLE AND NOT {_LINKED}",
+)
+def jn_12_pairs(spark, d):
+    return causal.missing_causal_pairs(*market(spark, d)).withColumn("score", F.round("score", 6))
+
+
 # --- structure ------------------------------------------------------------
 
 @query(

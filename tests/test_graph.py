@@ -172,6 +172,28 @@ def test_missing_causal_edges(spark, seed, limit):
     assert [(r.eid1, r.eid2, round(r.score, 6)) for r in got] == want[:limit]
 
 
+@pytest.mark.parametrize("seed", [16, 17])
+def test_all_missing_causal_edges(spark, seed):
+    rnd = random.Random(seed)
+    words = ["因为", "结果", "甲乙", "丙丁", "戊己", "庚辛"]
+    # more pairs than any first few thousand
+    names = [f"{i} " + " ".join(rnd.sample(words, rnd.randint(1, 3))) for i in range(120)]
+    links = [(rnd.choice(names), rnd.choice(names)) for _ in range(600)]
+    sets = [set(n.split()) for n in names]
+    causes = [len(s & set(R.CAUSAL_WORDS)) for s in sets]
+    want = set()
+    for i, j in itertools.permutations(range(len(names)), 2):
+        s = min(1.0, (causes[i] + causes[j]) * 0.3 + len(sets[i] & sets[j]) / (len(sets[i] | sets[j]) + 1) * 0.7)
+        if s > 0.3 and (names[i], names[j]) not in links:
+            want.add((i, j))
+    e = entity_table(spark, names).withColumn("attributes", F.lit(None).cast("map<string,string>"))
+    members, ranges = causal.missing_causal_ranges(e, edge_table(spark, links))
+    at = {(r.want, r["rank"]): r.eid2 for r in members.collect()}
+    got = [(r.eid1, at[r.want, k]) for r in ranges.collect() for k in range(r.from_rank, r.to_rank + 1)]
+    got += [(r.eid1, r.eid2) for r in causal.missing_causal_pairs(e, edge_table(spark, links)).collect()]
+    assert len(want) > 5000 and len(got) == len(set(got)) and set(got) == want
+
+
 def test_triangles(spark):
     links = random_links(13, 10, 30)
     und = {frozenset(x) for x in links if x[0] != x[1]}
