@@ -8,6 +8,9 @@ from graphloom import rules as R
 from graphloom.functions import scores, text as tx
 from graphloom.functions.text import strings
 
+# rows of a token that one part of the similarity join holds of its left side
+TOKEN_ROWS = 4096
+
 
 def entity_tokens(entities: DataFrame, tokenizer=tx.tokens) -> DataFrame:
     """(eid, name, tokens): the tokens of the name and the attribute values, repeats kept."""
@@ -104,7 +107,8 @@ def similar_profiles(unique: DataFrame, n_entities: int, min_score: float = 0.3)
     two vectors above the threshold share a token before either vector's rest
     falls under it. Only that leading part of a vector is joined, and a shared
     token counts only if the two rests, bounded by their lengths, can still reach
-    the threshold. The survivors are scored on their full vectors.
+    the threshold. The survivors are scored on their full vectors. A token of many
+    profiles is joined in parts of about ``TOKEN_ROWS`` left rows.
     """
     if min_score <= 0:
         raise ValueError("min_score must be positive")
@@ -114,10 +118,12 @@ def similar_profiles(unique: DataFrame, n_entities: int, min_score: float = 0.3)
     rest = Window.partitionBy("profile").orderBy("frequency", "token").rowsBetween(0, Window.unboundedFollowing)
     slack = min_score * (1 - 1e-9)
     lead = unit.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).filter(F.col("rest") >= slack)
-    x = lead.select("token", F.col("profile").alias("p1"), F.col("rest").alias("r1"))
-    y = lead.select("token", F.col("profile").alias("p2"), F.col("rest").alias("r2"))
+    n_parts = F.ceil(F.count("*") / F.lit(TOKEN_ROWS))
+    lead = lead.join(lead.groupBy("token").agg(n_parts.alias("parts")), "token")
+    x = lead.select("token", F.pmod(F.xxhash64("profile"), "parts").alias("part"), F.col("profile").alias("p1"), F.col("rest").alias("r1"))
+    y = lead.select("token", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("profile").alias("p2"), F.col("rest").alias("r2"))
     candidates = (
-        x.join(y, "token").filter((F.col("p1") < F.col("p2")) & (F.col("r1") * F.col("r2") >= slack)).select("p1", "p2").distinct()
+        x.join(y, ["token", "part"]).filter((F.col("p1") < F.col("p2")) & (F.col("r1") * F.col("r2") >= slack)).select("p1", "p2").distinct()
     )
     w1 = unit.select(F.col("profile").alias("p1"), "token", F.col("w").alias("w1"))
     w2 = unit.select(F.col("profile").alias("p2"), "token", F.col("w").alias("w2"))

@@ -140,6 +140,11 @@ def mth_12(spark, d):
     return _shown(keywords.similar_entities(parts(spark, d), 0.9))
 
 
+@query("mth_12_all_cosine_similarity", _similar_sql(_PARTS, 0.3))
+def mth_12_all(spark, d):
+    return _shown(keywords.similar_entities(parts(spark, d)))
+
+
 @query(
     "top_2_similar_pairs_ranked",
     f"SELECT profile1, profile2, score, row_number() OVER (ORDER BY score DESC, profile1, profile2) - 1 AS position FROM ({_similar_sql(_PAGES, 0.3)}) x",
@@ -374,20 +379,27 @@ def set_4(spark, d):
 
 
 
-@query(
-    "pipe_8_recommendations",
-    f"""{_ALL}, rec AS (SELECT 'verb_predicate_analysis' AS module, 'add_verb' AS type, source AS entity, verb AS other, NULL::DOUBLE AS value FROM (SELECT DISTINCT source, verb FROM edg JOIN (SELECT unnest({VERBS}) AS verb) v ON contains(edg.name, verb)) i
+def _recommended_sql(least):
+    return f"""{_ALL}, rec AS (SELECT 'verb_predicate_analysis' AS module, 'add_verb' AS type, source AS entity, verb AS other, NULL::DOUBLE AS value FROM (SELECT DISTINCT source, verb FROM edg JOIN (SELECT unnest({VERBS}) AS verb) v ON contains(edg.name, verb)) i
   WHERE source IN (SELECT name FROM bag WHERE NOT list_has_any(toks, {VERBS}))
 UNION ALL SELECT 'causal_relationship_analysis', 'add_causal_relation', source, target, round(score, 6) FROM firsts
 UNION ALL SELECT 'direct_logic_analysis', 'add_logical_relation', source, target, confidence FROM gaps
-UNION ALL SELECT 'keyword_frequency_analysis', 'similar_entity_relation', profile1::VARCHAR, profile2::VARCHAR, score FROM ({_similar_sql("SELECT eid, name || ' ' || descr AS txt FROM (" + plain(MARKET_ENTITIES) + ") m", 0.9, latin=False)}) s)
-SELECT * FROM rec""",
-)
+UNION ALL SELECT 'keyword_frequency_analysis', 'similar_entity_relation', profile1::VARCHAR, profile2::VARCHAR, score FROM ({_similar_sql("SELECT eid, name || ' ' || descr AS txt FROM (" + plain(MARKET_ENTITIES) + ") m", least, latin=False)}) s)
+SELECT * FROM rec"""
+
+
+@query("pipe_8_recommendations", _recommended_sql(0.9))
 def pipe_8(spark, d):
     found = GlobalAnalysis(*market(spark, d), min_similarity=0.9).recommendations()
     return found.drop("description").withColumn("value", F.round("value", 6))
 
 
+@query("pipe_8_all_recommendations", _recommended_sql(0.3))
+def pipe_8_all(spark, d):
+    found = GlobalAnalysis(*market(spark, d)).recommendations()
+    return found.drop("description").withColumn("value", F.round("value", 6))
+
+
 @query(
     "pipe_7_modules",
     f"{MARKET} SELECT module, confidence::DOUBLE AS confidence, (SELECT count(*) FROM ent) AS entities FROM (VALUES "

@@ -145,6 +145,23 @@ def test_similarity_finds_every_pair(spark, least):
     assert {(r.profile1, r.profile2): r.pairs for r in got.collect()} == dict(want)
 
 
+def test_similarity_is_the_same_with_hot_tokens_in_parts(spark, monkeypatch):
+    rnd = random.Random(18)
+    e = entity_table(spark, [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 5))) for _ in range(60)])
+    whole = sorted((r.profile1, r.profile2, round(r.score, 9)) for r in keywords.similar_entities(e).collect())
+    monkeypatch.setattr(keywords, "TOKEN_ROWS", 3)
+    assert whole and sorted((r.profile1, r.profile2, round(r.score, 9)) for r in keywords.similar_entities(e).collect()) == whole
+
+
+def test_similar_queries_reach_the_default_threshold(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    parts = entry.queries()["mth_12_all_cosine_similarity"](spark, d)
+    similar = entry.queries()["pipe_8_all_recommendations"](spark, d).where("type = 'similar_entity_relation'")
+    assert parts.where("score <= 0.9").count() and similar.where("value <= 0.9").count()
+
+
 def test_tfidf_example(spark):
     e = entity_table(spark, ["x y", "x z", "w", "v", "u"])
     got = keywords.similar_entities(e, 0.1).collect()
