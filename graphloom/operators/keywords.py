@@ -156,6 +156,10 @@ def similar_profiles(unique: DataFrame, n_entities: int, min_score: float = 0.3)
 
 def similar_entities(entities: DataFrame, min_score: float = 0.3, tokenizer=tx.tokens) -> DataFrame:
     """Similar entities by keyword TF-IDF; see ``similar_profiles`` for the form of the result."""
-    bags = entity_tokens(entities, tokenizer)
-    unique, _ = profiles(bags)
-    return similar_profiles(unique, entities.count(), min_score)
+    return similar_entities_and_members(entities, min_score, tokenizer)[0]
+
+
+def similar_entities_and_members(entities: DataFrame, min_score: float = 0.3, tokenizer=tx.tokens) -> tuple[DataFrame, DataFrame]:
+    """The similar profiles, and the rows (eid, profile) that name the members of each."""
+    unique, members = profiles(entity_tokens(entities, tokenizer))
+    return similar_profiles(unique, entities.count(), min_score), members

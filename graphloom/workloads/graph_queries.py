@@ -42,6 +42,16 @@ def pages(spark, d):
     return rows.select(F.col("page_id").alias("eid"), F.col("url").alias("name"), F.lit(None).cast("map<string,string>").alias("attributes"))
 
 
+# what of a page's html is not its text
+MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>"
+
+
+def page_texts(spark, d):
+    rows = table(spark, d, "pages")
+    content = F.create_map(F.lit("text"), F.regexp_replace("html", MARKUP, " "))
+    return rows.select(F.col("page_id").alias("eid"), F.col("url").alias("name"), content.alias("attributes"))
+
+
 def parts(spark, d):
     rows = table(spark, d, "part")
     attributes = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"))
@@ -165,6 +175,62 @@ def mth_11(spark, d):
     return weights.select("profile", "token", F.round("weight", 6).alias("weight"))
 
 
+_PAGE_TEXTS = f"SELECT page_id AS eid, url || ' ' || regexp_replace(html, '{MARKUP}', ' ', 'g') AS txt FROM pages"
+_MARKET_TEXTS = "SELECT eid, name || ' ' || descr AS txt FROM (" + plain(MARKET_ENTITIES) + ") m"
+
+
+def _members_sql(source, latin=True):
+    return f"WITH {_similar_ctes(source, latin)} SELECT eid, p AS profile FROM prof"
+
+
+@query("jn_10_page_text_keywords", _similar_sql(_PAGE_TEXTS, 0.3, latin=False))
+def jn_10_text(spark, d):
+    return _shown(keywords.similar_entities(page_texts(spark, d)))
+
+
+@query(
+    "top_2_page_text_pairs_ranked",
+    f"SELECT profile1, profile2, score, row_number() OVER (ORDER BY score DESC, profile1, profile2) - 1 AS position FROM ({_similar_sql(_PAGE_TEXTS, 0.3, latin=False)}) x",
+)
+def top_2_text(spark, d):
+    pairs = _shown(keywords.similar_entities(page_texts(spark, d))).select("profile1", "profile2", "score")
+    return sorted_index(pairs, [F.desc("score"), F.col("profile1"), F.col("profile2")], "position")
+
+
+@query(
+    "mth_11_page_text_tfidf",
+    f"WITH {_similar_ctes(_PAGE_TEXTS, latin=False)} SELECT p AS profile, w AS token, round(max(x), 6) AS weight FROM wt JOIN prof USING (eid) GROUP BY ALL",
+)
+def mth_11_text(spark, d):
+    entities = page_texts(spark, d)
+    unique, _ = keywords.profiles(keywords.entity_tokens(entities))
+    return keywords.token_weights(unique, entities.count()).select("profile", "token", F.round("weight", 6).alias("weight"))
+
+
+def _members(entities):
+    return keywords.profiles(keywords.entity_tokens(entities))[1]
+
+
+@query("jn_10_url_members", _members_sql(_PAGES, latin=False))
+def jn_10_members(spark, d):
+    return _members(pages(spark, d))
+
+
+@query("jn_10_page_text_members", _members_sql(_PAGE_TEXTS, latin=False))
+def jn_10_text_members(spark, d):
+    return _members(page_texts(spark, d))
+
+
+@query("mth_12_members", _members_sql(_PARTS))
+def mth_12_members(spark, d):
+    return _members(parts(spark, d))
+
+
+@query("pipe_8_members", _members_sql(_MARKET_TEXTS, latin=False))
+def pipe_8_members(spark, d):
+    return _members(market(spark, d)[0])
+
+
 @query("set_2_token_sets", f"{MARKET} SELECT rid, len(list_intersect(list_distinct(a.toks), list_distinct(b.toks)))::INT AS common, len(list_distinct(list_concat(a.toks, b.toks)))::INT AS together FROM edg JOIN bag a ON a.name = source JOIN bag b ON b.name = target")
 def set_2(spark, d):
     entities, edges = market(spark, d)

@@ -162,6 +162,28 @@ def test_similar_queries_reach_the_default_threshold(spark):
     assert parts.where("score <= 0.9").count() and similar.where("value <= 0.9").count()
 
 
+def test_similar_entities_name_their_members(spark):
+    e = entity_table(spark, ["x y", "y x", "x z", "w", "v", "u", "t"])
+    similar, members = keywords.similar_entities_and_members(e, 0.1)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.profile, set()).add(r.eid)
+    assert of[0] == {0, 1} and sum(map(len, of.values())) == 7
+    pairs = {(r.profile1, r.profile2): r.pairs for r in similar.collect()}
+    assert pairs[0, 0] == 1 and pairs[0, 2] == len(of[0]) * len(of[2])
+
+
+def test_pages_are_compared_by_their_text(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    html = "<html><head><style>p{margin:0}</style><script>track()</script></head><!-- ad --><p>%s</p></html>"
+    rows = [(0, "http://a.org/1", html % "red green blue"), (1, "http://b.com/2", html % "red green blue")]
+    rows += [(i, f"http://c{i}.net/{i}", html % f"word{i} other{i}") for i in range(3, 14)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.profile1, r.profile2): r.common for r in entry.queries()["jn_10_page_text_keywords"](spark, str(tmp_path)).collect()}
+    assert got[0, 1] == "blue|green|http|red"
+
+
 def test_tfidf_example(spark):
     e = entity_table(spark, ["x y", "x z", "w", "v", "u"])
     got = keywords.similar_entities(e, 0.1).collect()
