@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import embedding_dedup, line_dedup, mixing, ngram_lm, packing, quality, simhash, suffix_dedup, surrogates, window_dedup
+from graphloom.llm import embedding_dedup, line_dedup, mixing, ngram_lm, packing, quality, simhash, suffix_dedup, surrogates, turn_repair, vector_codes, window_dedup
 from graphloom.llm.common import documents
 from graphloom.llm.registry import query
 
@@ -192,3 +192,15 @@ _MIX_SQL = rf"""
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mixed(documents(spark, sf_dir), budget_percent=100, max_epochs=mixing.MAX_EPOCHS, seed=42, row=F.struct("doc_id"))
     return taken.select("row.doc_id", "domain", "lang", "source", "n_tokens", "leaf_budget", "copies", "tokens_taken")
+
+
+@query("op11_vector_codes")
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=8, entries=16, rounds=6)
+    digest = F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256")
+    return vector_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error", digest)
+
+
+@query("op13_turn_repair")
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_report(turn_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
