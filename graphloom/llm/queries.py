@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import embedding_dedup, line_dedup, mixing, ngram_lm, packing, quality, simhash, suffix_dedup, surrogates, turn_repair, vector_codes, window_dedup
+from graphloom.llm import embedding_dedup, language_id, line_dedup, mixing, ngram_lm, packing, quality, simhash, suffix_dedup, surrogates, turn_repair, vector_codes, window_dedup
 from graphloom.llm.common import documents
 from graphloom.llm.registry import query
 
@@ -201,6 +201,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error", digest)
 
 
+@query("op12_language_id")
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = language_id.train(docs, most=language_id.SAMPLE_DOCS, seed=42)
+    return language_id.predicted(docs, net, row=F.struct("doc_id")).select("row.doc_id", "held_out", "lang_pred", "score")
+
+
 @query("op13_turn_repair")
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_report(turn_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
