@@ -1,20 +1,17 @@
-"""Strongly connected components, dependency order and transitive gaps: iterative joins."""
+"""Strongly connected components: trimming, chain contraction and label rounds over changed rows."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.operators.ranking import sorted_index
-from graphloom.session import cut_lineage
+from graphloom.session import stored
 
 
-def _pairs(edges: DataFrame) -> DataFrame:
+def pairs_of(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").distinct()
 
 
-def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, name) and the pairs as node numbers.
 
     Rounds join and group on 8-byte numbers in place of names. A number is the
@@ -22,45 +19,125 @@ def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     different ones, so numbers are unique and in random order.
     """
     names = pairs.select(F.explode(F.array("source", "target")).alias("name")).distinct()
-    nodes = cut_lineage(names.select(F.xxhash64(F.monotonically_increasing_id()).alias("node"), "name"))
+    nodes = stored(names.select(F.xxhash64(F.monotonically_increasing_id()).alias("node"), "name"))
     out = pairs
     for end in ("source", "target"):
         out = out.join(nodes.select(F.col("name").alias(end), F.col("node").alias(f"_{end}")), end)
     return nodes, out.select(F.col("_source").alias("source"), F.col("_target").alias("target"))
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Drop edges at nodes that nothing points to or that point nowhere."""
+def _degrees(edges: DataFrame) -> DataFrame:
+    """(node, o, i): edges that leave and enter a node."""
     ends = F.array(
         F.struct(F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
         F.struct(F.col("target").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")),
     )
-    inner = edges.select(F.inline(ends)).groupBy("node").agg(F.max("o").alias("o"), F.max("i").alias("i")).filter("o = 1 and i = 1")
-    # one row per node: the joins keep every edge once
-    kept = edges.join(inner.select(F.col("node").alias("source")), "source")
-    return kept.join(inner.select(F.col("node").alias("target")), "target").select("source", "target")
+    return edges.select(F.inline(ends)).groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
 
 
-def _trim_while_useful(edges: DataFrame, least_gain: float = 0.1) -> tuple[DataFrame, int]:
-    """Trim as long as a step drops a tenth of the edges; returns the rest and its size.
+def follow(hops: DataFrame, **carry) -> tuple[DataFrame, DataFrame]:
+    """Pointer jumping over hops(node, to, open, ...): the ends of walks, and rows that go round for ever.
 
-    What is left of acyclic tails, the label rounds remove.
+    ``open`` tells that ``to`` has a hop of its own. ``carry`` names further
+    columns and how a walk combines its own and the next value; ``least``, the
+    smallest node met, is always carried. A job doubles all walks twice, so jobs
+    grow with the logarithm of the longest one. Only cycles are left once no walk
+    ends and no smallest node falls: their windows then all hold the smallest.
     """
-    edges = cut_lineage(edges)
-    size = edges.count()
-    while size:
-        edges = cut_lineage(_trim(_trim(edges)))
-        before, size = size, edges.count()
-        if size > before * (1 - least_gain):
-            break
-    return edges, size
+    rules = {"least": F.least, **carry}
+    state = stored(hops.withColumn("least", F.least("node", "to")).select("node", "to", "open", *rules))
+    mark = None
+    while True:
+        now = state.filter("open").agg(F.count("*").alias("n"), F.sum(F.col("least").cast("decimal(38,0)"))).first()
+        if not now.n or now == mark:
+            return state.filter("not open"), state.filter("open")
+        mark = now
+        for _ in range(2):
+            ahead = state.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("open").alias("_open"), *[F.col(c).alias(f"_{c}") for c in rules])
+            met = state.filter("open").join(ahead, "to").select(
+                "node", F.col("_to").alias("to"), F.col("_open").alias("open"), *[join(F.col(c), F.col(f"_{c}")).alias(c) for c, join in rules.items()]
+            )
+            state = met.unionByName(state.filter("not open"))
+        state = stored(state)
+
+
+def _marked(edges: DataFrame) -> DataFrame:
+    """Edges whose ends both have edges in and out, and whether the ends (s, t) have exactly one of each."""
+    degrees = _degrees(edges).filter("o > 0 and i > 0").select("node", ((F.col("o") == 1) & (F.col("i") == 1)).alias("inner"))
+    for end, mark in (("source", "s"), ("target", "t")):
+        edges = edges.join(degrees.withColumnsRenamed({"node": end, "inner": mark}), end)
+    return edges
+
+
+def _contract(marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Take out the inner nodes of chains: (edges, (node, p, w) rows, (pivot, node) rows of pure rings).
+
+    A node with one edge in and one out lies on a cycle exactly if the ends p and
+    w of its chain do, so an edge from p to w stands for the chain. Chains that
+    have lost an end in this turn lie on no cycle and find no end.
+    """
+    hops = marked.filter("s").select(F.col("source").alias("node"), F.col("target").alias("to"), F.col("t").alias("open"), F.col("source").alias("last"))
+    ended, ring = follow(hops, last=lambda own, ahead: ahead)
+    # a chain is known by its last node; its first one names the other end
+    heads = marked.filter("t and not s").select(F.col("source").alias("p"), F.col("target").alias("node"))
+    heads = heads.join(ended, "node").select("p", "last", F.col("to").alias("w"))
+    bridges = heads.filter("p != w").select(F.col("p").alias("source"), F.col("w").alias("target"))
+    left = marked.filter("not s and not t").select("source", "target").unionByName(bridges).distinct()
+    bypassed = ended.select("node", "last").join(heads, "last").select("node", "p", "w")
+    return left, bypassed, ring.select(F.col("least").alias("pivot"), "node")
+
+
+class _Shrinking:
+    """Edges that can lie on cycles, and what chains and rings have been taken out on the way."""
+
+    def __init__(self):
+        self.found: list[DataFrame] = []
+        self.bypassed: list[DataFrame] = []
+
+    def shrink(self, edges: DataFrame, size: int, gain: float = 0.1) -> tuple[DataFrame, int]:
+        """Trim, and contract where trimming gains little, as long as a turn drops a tenth of the edges; the rest and its size."""
+        while True:
+            marked = stored(_marked(edges))
+            n, inner = marked.agg(F.count("*"), F.count_if("s")).first()
+            trimmed, size = n < size * (1 - gain), n
+            edges = marked.select("source", "target")
+            if trimmed and n:
+                continue
+            if inner <= n * gain:
+                return edges, n
+            left, bypassed, ring = _contract(marked)
+            self.bypassed.append(bypassed)
+            self.found.append(ring)
+            edges = stored(left)
+            size = edges.count()
+            if not size:
+                return edges, 0
+
+    def members(self) -> DataFrame | None:
+        """(pivot, node) rows of all components, chains put back, the last ones first."""
+        if not self.found:
+            return None
+        found = self.found[0]
+        for part in self.found[1:]:
+            found = found.unionByName(part)
+        found = stored(found)
+        for rows in reversed(self.bypassed):
+            ends = rows
+            for end in ("p", "w"):
+                ends = ends.join(found.select(F.col("node").alias(end), F.col("pivot").alias(f"pivot_{end}")), end, "left")
+            pivot = F.coalesce("pivot_p", "p")
+            met = ends.filter(pivot == F.coalesce("pivot_w", "w")).select(pivot.alias("pivot"), F.explode(F.array("node", "p")).alias("node"))
+            found = stored(found.unionByName(met).distinct())
+        return found
 
 
 def strongly_connected_components(edges: DataFrame) -> DataFrame:
     """(component, node, size) rows of the components with more than one node.
 
-    ``component`` is the smallest node name. Every node gets a random number. A
-    round spreads the smallest number forward and backward along the edges to the
+    ``component`` is the smallest node name. Nodes that nothing points to, or that
+    point nowhere, are trimmed, and chains are contracted by pointer jumping, so
+    the rest has branches everywhere. There every node has a random number; a
+    round spreads the smallest one forward and backward along the edges to the
     fixpoint. Nodes that received the same one both ways reach its owner and are
     reached from it: they are its component and leave the graph. Edges between
     nodes with different labels lie on no cycle and leave as well. A round splits
@@ -68,14 +145,15 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
     logarithm of the graph.
 
     Messages are combined with ``min`` before they are shuffled, so a hub costs
-    one row per task; every step starts from a checkpoint.
+    one row per task; every step starts from a checkpoint of the rows it changed.
     """
-    nodes, numbered = _numbered(_pairs(edges).filter("source != target"))
-    rest, size = _trim_while_useful(numbered)
-    parts: list[DataFrame] = []
+    nodes, links = numbered(pairs_of(edges).filter("source != target"))
+    way = _Shrinking()
+    links = stored(links)
+    rest, size = way.shrink(links, links.count())
     while size:
         labels = _spread_labels(rest)
-        parts.append(labels.filter("f = b").select(F.col("f").alias("pivot"), "node"))
+        way.found.append(labels.filter("f = b").select(F.col("f").alias("pivot"), "node"))
         open_ = labels.filter("f != b").select("node", F.struct("f", "b").alias("l"))
         same = (
             rest.join(open_.withColumnsRenamed({"node": "source", "l": "_a"}), "source")
@@ -83,161 +161,62 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
             .filter("_a = _b")
             .select("source", "target")
         )
-        rest, size = _trim_while_useful(same)
-    if not parts:
+        same = stored(same)
+        rest, size = way.shrink(same, same.count())
+    found = way.members()
+    if found is None:
         return nodes.limit(0).select(F.col("name").alias("component"), F.col("name").alias("node"), F.lit(0).cast("bigint").alias("size"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
     sizes = found.groupBy("pivot").agg(F.count("*").alias("size")).filter("size > 1")
     members = found.join(sizes, "pivot").join(nodes, "node")
     first = members.groupBy("pivot").agg(F.min("name").alias("component"))
     return members.join(first, "pivot").select("component", F.col("name").alias("node"), "size")
 
 
-def _spread_labels(edges: DataFrame) -> DataFrame:
-    """(node, f, b): the smallest node among those that reach a node, and among those it reaches."""
-    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    start = nodes.select("node", F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("new_f"), F.lit(True).alias("new_b"))
-    state = cut_lineage(start)
-    while True:
-        changed = state.filter("new_f or new_b")
-        if changed.isEmpty():
-            return state.select("node", "f", "b")
-        ahead = changed.filter("new_f").select(F.col("node").alias("source"), "f")
-        back = changed.filter("new_b").select(F.col("node").alias("target"), "b")
-        none = F.lit(None).cast("bigint")
-        news = (
-            edges.join(ahead, "source").select(F.col("target").alias("node"), F.col("f").alias("_f"), none.alias("_b"))
-            .union(edges.join(back, "target").select(F.col("source").alias("node"), none, F.col("b")))
-        )
-        news = news.groupBy("node").agg(F.min("_f").alias("_f"), F.min("_b").alias("_b"))
-        new_f = F.coalesce(F.col("_f") < F.col("f"), F.lit(False))
-        new_b = F.coalesce(F.col("_b") < F.col("b"), F.lit(False))
-        state = cut_lineage(
-            state.join(news, "node", "left").select(
-                "node",
-                F.when(new_f, F.col("_f")).otherwise(F.col("f")).alias("f"),
-                F.when(new_b, F.col("_b")).otherwise(F.col("b")).alias("b"),
-                new_f.alias("new_f"),
-                new_b.alias("new_b"),
-            )
-        )
+# steps after which nodes look up the labels of the nodes they have heard of, and changed rows are merged into the state
+_LOOK_UP = 4
 
 
-def dependency_levels(edges: DataFrame, entities: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """(node, level) by peeling, and whether every node got a level (False: there is a cycle).
+def _spread_labels(edges: DataFrame) -> DataFrame:
+    """(node, f, b): the smallest node among those that reach a node, and among those it reaches.
 
-    The level is the longest distance from a node nothing points to. A self-loop
-    is a cycle. In-degrees are counted once and lowered by the peeled nodes only.
+    Labels only fall, so a node's label is the least of all rows written for it. A
+    step sends the rows that changed along the edges and writes what fell. Every
+    few steps the rows written are merged, and each node looks up the labels of the
+    nodes that it has heard of, which doubles the way a label has gone.
     """
-    all_pairs = cut_lineage(_pairs(edges))
-    nodes = all_pairs.select(F.explode(F.array("source", "target")).alias("node"))
-    if entities is not None:
-        nodes = nodes.union(entities.select(F.col("name").alias("node")))
-    incoming = all_pairs.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("open"))
-    state = cut_lineage(
-        nodes.distinct()
-        .join(incoming, "node", "left")
-        .select("node", F.coalesce("open", F.lit(0)).alias("open"), F.lit(None).cast("int").alias("level"))
-    )
-    level = 0
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    base = changed = stored(nodes.select("node", F.col("node").alias("f"), F.col("node").alias("b")))
+    none = F.lit(None).cast("bigint")
+    late: list[DataFrame] = []
     while True:
-        ready = F.col("level").isNull() & (F.col("open") == 0)
-        state = state.withColumn("level", F.when(ready, F.lit(level)).otherwise(F.col("level")))
-        gone = state.filter(F.col("level") == level).select(F.col("node").alias("source"))
-        if gone.isEmpty():
-            break
-        lowered = all_pairs.join(gone, "source", "left_semi").groupBy(F.col("target").alias("node")).agg(F.count("*").alias("_n"))
-        state = cut_lineage(
-            state.join(lowered, "node", "left").select(
-                "node", (F.col("open") - F.coalesce("_n", F.lit(0))).alias("open"), "level"
-            )
-        )
-        level += 1
-    return state.filter("level is not null").select("node", "level"), state.filter("level is null").isEmpty()
-
-
-def dependency_order(edges: DataFrame, entities: DataFrame | None = None) -> DataFrame:
-    """(finding, node, level, position) in dependency order, or the single ``no_topological_order`` row."""
-    levels, complete = dependency_levels(edges, entities)
-    if complete:
-        return sorted_index(levels, ["level", "node"], "position").select(
-            F.lit("dependency_order").alias("finding"), "node", "level", "position"
-        )
-    return edges.sparkSession.range(1).select(
-        F.lit("no_topological_order").alias("finding"),
-        F.lit(None).cast("string").alias("node"),
-        F.lit(None).cast("int").alias("level"),
-        F.lit(None).cast("bigint").alias("position"),
-    )
-
+        ahead = edges.join(changed.select(F.col("node").alias("source"), "f"), "source").select(F.col("target").alias("node"), F.col("f").alias("new_f"), none.alias("new_b"))
+        back = edges.join(changed.select(F.col("node").alias("target"), "b"), "target").select(F.col("source").alias("node"), none.alias("new_f"), F.col("b").alias("new_b"))
+        news = ahead.unionByName(back)
+        # rows written since the last merge stand beside the news of their node: one exchange for both
+        every = news.select("*", none.alias("f"), none.alias("b"))
+        for rows in late:
+            every = every.unionByName(rows.select("node", none.alias("new_f"), none.alias("new_b"), "f", "b"))
+        heard = every.groupBy("node").agg(*[F.min(c).alias(c) for c in ("new_f", "new_b")], F.min("f").alias("late_f"), F.min("b").alias("late_b"))
+        known = heard.join(base, "node").select("node", "new_f", "new_b", F.least("f", "late_f").alias("f"), F.least("b", "late_b").alias("b"))
+        fell = known.filter("new_f < f or new_b < b").select("node", F.least("f", "new_f").alias("f"), F.least("b", "new_b").alias("b"))
+        changed = stored(fell)
+        if changed.isEmpty():
+            return _merged(base, late)
+        late.append(changed)
+        if len(late) == _LOOK_UP:
+            base, changed, late = _looked_up(stored(_merged(base, late)), changed)
 
-def transitive_gaps(
-    entities: DataFrame, edges: DataFrame, limit: int | None = 5, first_chunk: int = 16, sources: DataFrame | None = None
-) -> DataFrame:
-    """The first ``limit`` entity pairs, by (eid, eid), joined only through other nodes; all of them for None.
 
-    With ``sources(name)`` only pairs that start there. Breadth-first search: for
-    a limit from a few sources at a time, in ``eid`` order, until enough pairs are
-    known, else from all at once. The path named is a shortest one; going back
-    from the target it takes the smallest predecessor at every step.
-    """
-    links = cut_lineage(_pairs(edges).filter("source != target"))
-    names = entities.select("eid", "name")
-    second = links.select(F.col("source").alias("target")).distinct()
-    first = links.join(second, "target", "left_semi").select(F.col("source").alias("name")).distinct()
-    if sources is not None:
-        first = first.join(sources.select("name"), "name", "left_semi")
-    starts = cut_lineage(names.join(first, "name", "left_semi"))
-    if limit is None:
-        return _gaps(_search(starts, links), names)
-    found: list[DataFrame] = []
-    n_found, after, chunk = 0, None, first_chunk
-    while n_found < limit:
-        pool = starts if after is None else starts.filter(F.col("eid") > after)
-        top = pool.orderBy("eid").limit(chunk).agg(F.max("eid")).first()[0]
-        if top is None:
-            break
-        hits = _gaps(_search(pool.filter(F.col("eid") <= top), links), names)
-        found.append(cut_lineage(hits.orderBy("eid1", "eid2").limit(limit - n_found)))
-        n_found += found[-1].count()
-        after, chunk = top, chunk * 8
-    if not found:
-        return _gaps(_search(starts, links), names)
-    return reduce(DataFrame.unionByName, found).orderBy("eid1", "eid2")
-
-
-def _search(starts: DataFrame, links: DataFrame) -> DataFrame:
-    """(eid1, start, node, dist, path) for every node reached from the starts; ``path`` holds the nodes between."""
-    seen = cut_lineage(
-        starts.select(
-            F.col("eid").alias("eid1"), F.col("name").alias("start"), F.col("name").alias("node"), F.lit(0).alias("dist"),
-            F.array().cast("array<string>").alias("path"),
-        )
-    )
-    steps, dist = seen, 0
-    while not steps.isEmpty():
-        dist += 1
-        front = steps.select("eid1", "start", F.col("node").alias("source"), "path")
-        # the start itself is no node between
-        way = F.col("path") if dist == 1 else F.concat("path", F.array("source"))
-        found = (
-            links.join(front, "source")
-            .groupBy("eid1", "start", F.col("target").alias("node"))
-            .agg(F.min(F.struct("source", way.alias("way"))).alias("best"))
-            .join(seen.select("eid1", "node"), ["eid1", "node"], "left_anti")
-            .select("eid1", "start", "node", F.lit(dist).alias("dist"), F.col("best.way").alias("path"))
-        )
-        steps = cut_lineage(found)
-        # the parts are checkpoints: the union only grows by one scan per step
-        seen = seen.unionByName(steps)
-    return seen
+def _merged(base: DataFrame, late: list[DataFrame]) -> DataFrame:
+    for rows in late:
+        base = base.unionByName(rows)
+    return base.groupBy("node").agg(F.min("f").alias("f"), F.min("b").alias("b")) if late else base
 
 
-def _gaps(seen: DataFrame, names: DataFrame) -> DataFrame:
-    far = seen.filter("dist >= 2").join(names.select(F.col("eid").alias("eid2"), F.col("name").alias("node")), "node")
-    return far.select(
-        "eid1", "eid2", F.col("start").alias("source"), F.col("node").alias("target"), (F.col("dist") + 1).alias("path_length"),
-        F.col("path").alias("intermediate_nodes"), F.lit(0.6).alias("confidence"),
-    )
+def _looked_up(base: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Labels of the labels: a node takes what the node it has heard of knows; what fell counts as changed too."""
+    far = base
+    for c in ("f", "b"):
+        far = far.join(base.select(F.col("node").alias(c), F.col(c).alias(f"far_{c}")), c)
+    fell = stored(far.filter("far_f < f or far_b < b").select("node", F.col("far_f").alias("f"), F.col("far_b").alias("b")))
+    return base, _merged(changed, [fell]), [fell]

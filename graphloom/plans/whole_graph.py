@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom import rules as R
 from graphloom.functions import text as tx
-from graphloom.operators import causal, components, graph, keywords
+from graphloom.operators import causal, components, graph, keywords, ordering, reach
 
 VERB, KEYWORD, CAUSAL, LOGIC = (m for m, _ in R.MODULE_CONFIDENCE)
 
@@ -59,7 +59,7 @@ class GlobalAnalysis:
         )
 
     def transitive(self) -> DataFrame:
-        return self._once("gaps", lambda: components.transitive_gaps(self.entities, self.edges, self.gap_limit))
+        return self._once("gaps", lambda: reach.transitive_gaps(self.entities, self.edges, self.gap_limit))
 
     # --- modules
     def verb_findings(self) -> DataFrame:
@@ -111,7 +111,7 @@ class GlobalAnalysis:
             components.strongly_connected_components(self.edges), LOGIC, "circular_dependency", "high", F.col("component"),
             F.col("node"), F.col("size"), F.lit("发现循环依赖"),
         )
-        order = components.dependency_order(self.edges, self.entities)
+        order = ordering.dependency_order(self.edges, self.entities)
         cyclic = F.col("finding") == "no_topological_order"
         ordered = _finding(
             order, LOGIC, F.col("finding"), "info", F.col("node"), score=F.col("position"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Settings a cluster session should carry; none is forced by the library.
@@ -50,6 +52,34 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_STORED: list[str] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared work folder, removed when the application ends.
+
+    For loops of joins: a checkpoint keeps the estimated size of its plan, which
+    every further join multiplies, while a table has the size that it has.
+    """
+    spark = df.sparkSession
+    path = run_dir(spark, "step")
+    if not _STORED:
+        atexit.register(_remove_stored)
+    _STORED.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_stored() -> None:
+    gateway = SparkContext._gateway
+    if gateway is None:
+        return
+    jvm = gateway.jvm
+    for path in _STORED:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and keeps the partitioning."""
     work_dir(df.sparkSession)

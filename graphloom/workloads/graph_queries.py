@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from graphloom import rules as R
-from graphloom.operators import causal, components, graph, keywords
+from graphloom.operators import causal, components, graph, keywords, ordering, reach
 from graphloom.operators.ranking import sorted_index
 from graphloom.plans.whole_graph import GlobalAnalysis
 from graphloom.sources.documents import read_documents
@@ -367,7 +367,7 @@ ordered AS (SELECT node, max(level) AS level, row_number() OVER (ORDER BY max(le
 @query("grf_4_dependency_order", f"{STAR}, {_LEVELS} SELECT 'dependency_order' AS finding, node, level, position FROM ordered")
 def grf_4(spark, d):
     entities, edges = star(spark, d)
-    return components.dependency_order(edges, entities)
+    return ordering.dependency_order(edges, entities)
 
 
 @query(
@@ -375,7 +375,7 @@ def grf_4(spark, d):
     f"{TRADE}, {_SCC} SELECT 'no_topological_order' AS finding, NULL::VARCHAR AS node, NULL::INT AS level, NULL::BIGINT AS position FROM (SELECT count(*) AS n FROM scc) x WHERE n > 0",
 )
 def grf_4_cyclic(spark, d):
-    return components.dependency_order(trade(spark, d))
+    return ordering.dependency_order(trade(spark, d))
 
 
 _GAPS = """walk AS (SELECT source AS s, target AS t, 1 AS dist, '' AS mid FROM edg UNION ALL SELECT s, target, dist + 1, CASE WHEN mid = '' THEN t ELSE mid || ',' || t END FROM walk JOIN edg ON source = t WHERE dist < 20),
@@ -389,12 +389,12 @@ def _gap_columns(df):
 
 @query("grf_5_transitive_gaps", f"{STAR}, {_GAPS.replace('LIMIT {k}', '')} SELECT * FROM gaps")
 def grf_5(spark, d):
-    return _gap_columns(components.transitive_gaps(*star(spark, d), limit=None))
+    return _gap_columns(reach.transitive_gaps(*star(spark, d), limit=None))
 
 
 @query("top_4_first_transitive_gaps", f"{STAR}, {_GAPS.format(k=5)} SELECT * FROM gaps")
 def top_4(spark, d):
-    return _gap_columns(components.transitive_gaps(*star(spark, d)))
+    return _gap_columns(reach.transitive_gaps(*star(spark, d)))
 
 
 _RANKED = """rk AS (SELECT eid, name, type, row_number() OVER (PARTITION BY type ORDER BY eid) - 1 AS rank, count(*) OVER (PARTITION BY type) AS members FROM ent),

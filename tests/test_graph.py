@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import rules as R
-from graphloom.operators import causal, components, detail, graph, keywords, pairs, ranking
+from graphloom.operators import causal, components, detail, graph, keywords, ordering, pairs, ranking, reach
 from graphloom.operators.mentions import entity_mentions
 from graphloom.plans.whole_graph import GlobalAnalysis
 
@@ -51,11 +51,51 @@ def test_components(spark, seed):
     assert got == want
 
 
+def jobs_of(spark, run):
+    """What ``run`` returns and the number of its checkpoints, each a chain of jobs."""
+    cuts = []
+    cut = components.stored
+    for module in (components, ordering):
+        module.stored = lambda df: cuts.append(1) or cut(df)
+    try:
+        return run(), len(cuts)
+    finally:
+        for module in (components, ordering):
+            module.stored = cut
+
+
+def test_long_ring_and_giant_component(spark):
+    n = 20_000
+    ring = [(f"r{i:05d}", f"r{(i + 1) % n:05d}") for i in range(n)]
+    rnd = random.Random(2)
+    # a ring of 400 with shortcuts, a chain that leads in and one that leads out
+    giant = [(f"g{i:03d}", f"g{(i + 1) % 400:03d}") for i in range(400)] + [(f"g{rnd.randrange(400):03d}", f"g{rnd.randrange(400):03d}") for _ in range(150)]
+    tails = [(f"a{i:04d}", f"a{i + 1:04d}") for i in range(3000)] + [("a3000", "g000"), ("g007", "z0000")] + [(f"z{i:04d}", f"z{i + 1:04d}") for i in range(3000)]
+    found, cuts = jobs_of(spark, lambda: components.strongly_connected_components(edge_table(spark, ring + giant + tails)).groupBy("component", "size").count().collect())
+    assert sorted(map(tuple, found)) == [("g000", 400, 400), ("r00000", n, n)]
+    assert cuts < 60
+
+
+def test_long_chain_and_tree_in_few_rounds(spark):
+    n = 20_000
+    chain = [(f"c{i:05d}", f"c{i + 1:05d}") for i in range(n)]
+    # every node of a ladder has two before it that hang from one chain; a tree of width two
+    tree = [(f"t{(i - 1) // 2:05d}", f"t{i:05d}") for i in range(1, 2000)]
+    diamonds = [x for i in range(200) for x in ((f"d{i:03d}", f"u{i:03d}"), (f"d{i:03d}", f"v{i:03d}"), (f"u{i:03d}", f"d{i + 1:03d}"), (f"v{i:03d}", f"w{i:03d}"), (f"w{i:03d}", f"d{i + 1:03d}"))]
+    (levels, complete), cuts = jobs_of(spark, lambda: ordering.dependency_levels(edge_table(spark, chain + tree + diamonds)))
+    got = {r.node: r.level for r in levels.collect()}
+    assert complete and cuts < 40
+    assert all(got[f"c{i:05d}"] == i for i in range(n + 1))
+    assert all(got[f"t{i:05d}"] == (i + 1).bit_length() - 1 for i in range(2000))
+    assert all(got[f"d{i:03d}"] == 3 * i and got[f"w{i:03d}"] == 3 * i + 2 for i in range(200))
+    assert not ordering.dependency_levels(edge_table(spark, chain + [("c20000", "c00000")]))[1]
+
+
 def test_small_cycle(spark):
     e = edge_table(spark, ["ab", "bc", "cd", "db"])
     assert {tuple(r) for r in components.strongly_connected_components(e).collect()} == {("b", x, 3) for x in "bcd"}
-    assert [r.finding for r in components.dependency_order(e).collect()] == ["no_topological_order"]
-    gaps = components.transitive_gaps(entity_table(spark, "abcd"), e).collect()
+    assert [r.finding for r in ordering.dependency_order(e).collect()] == ["no_topological_order"]
+    gaps = reach.transitive_gaps(entity_table(spark, "abcd"), e).collect()
     assert [(r.source, r.target, r.path_length, r.intermediate_nodes) for r in gaps] == [
         ("a", "c", 3, ["b"]), ("a", "d", 4, ["b", "c"]), ("b", "d", 3, ["c"]), ("c", "b", 3, ["d"]), ("d", "c", 3, ["b"])]
     roles = {r.name: r.role for r in graph.hierarchy_roles(entity_table(spark, "abcd"), e).collect()}
@@ -65,7 +105,7 @@ def test_small_cycle(spark):
 def test_self_loop(spark):
     e = edge_table(spark, ["xx"])
     assert components.strongly_connected_components(e).count() == 0
-    assert [r.finding for r in components.dependency_order(e).collect()] == ["no_topological_order"]
+    assert [r.finding for r in ordering.dependency_order(e).collect()] == ["no_topological_order"]
     triple = spark.createDataFrame([(0, "x", "r", "x", 1.0)], "seq bigint, head string, relation string, tail string, confidence double")
     assert graph.undirected_degrees(graph.collapse_undirected(triple)).first().degree == 2
 
@@ -77,7 +117,7 @@ def test_order_of_acyclic_graphs(spark, seed):
     for _ in level:
         for a, b in links:
             level[b] = max(level[b], level[a] + 1)
-    got = components.dependency_order(edge_table(spark, links)).orderBy("position").collect()
+    got = ordering.dependency_order(edge_table(spark, links)).orderBy("position").collect()
     assert [(r.node, r.level) for r in got] == sorted(level.items(), key=lambda x: (x[1], x[0]))
     assert [r.position for r in got] == list(range(len(level)))
 
@@ -93,7 +133,7 @@ def test_transitive_gaps(spark, seed):
         while front:
             front = [t for u in front for t in nxt[u] if t not in dist and dist.setdefault(t, dist[u] + 1)]
         want += [(s, t, dist[t] + 1) for t in names if dist.get(t, 0) >= 2]
-    got = components.transitive_gaps(entity_table(spark, names), edge_table(spark, links), 40, 2).collect()
+    got = reach.transitive_gaps(entity_table(spark, names), edge_table(spark, links), 40, 2).collect()
     assert [(r.source, r.target, r.path_length) for r in got] == want[:40]
     for r in got:
         path = [r.source, *r.intermediate_nodes, r.target]
