@@ -19,11 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from graphloom.llm.common import blocks, buckets_of, covered, packed, packed_ids, packed_places, row_key, runs, unpacked, unpacked_ids, unpacked_places, utf8
+from graphloom.llm.common import blocks, covered, packed, packed_ids, packed_places, row_key, runs, unpacked, unpacked_ids, unpacked_places, utf8
 from graphloom.llm.window_dedup import BASE, INVERSE, _groups, _powers, _table, bucket_bounds
 
 # bytes of a text that are hashed at a time
-PIECE = 1 << 22
+PIECE = 1 << 18
+# bytes of text that one part takes, so that parts follow the data and not the session's settings
+PART_BYTES = 8 << 20
 # bytes of text behind a pack, and bytes of suffixes in a run
 PACK_BYTES = 1 << 25
 RUN_BYTES = 1 << 24
@@ -69,7 +71,10 @@ def owners(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         place = _leftmost_min(hashes & ~np.uint64((1 << 24) - 1), length - half + 1)
         starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         ends = np.concatenate((starts[1:], [len(place)])) - 1
-        for column, value in zip(out, (place[starts] + at, starts + at, ends + at, hashes[place[starts]])):
+        # smallest hashes crowd near 0; multiplied they spread over the whole range that is dealt out
+        with np.errstate(over="ignore"):
+            spread = hashes[place[starts]] * BASE
+        for column, value in zip(out, (place[starts] + at, starts + at, ends + at, spread)):
             column.append(value)
     return tuple(np.concatenate(c) if c else np.empty(0, np.uint64 if i == 3 else np.int64) for i, c in enumerate(out))
 
@@ -152,18 +157,18 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
     return low
 
 
-def merged(lists: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, int]]:
-    """Merge sorted runs (keys, prefix length with the key before): yields (run, place, prefix length with the last).
+def merged(lists: list[tuple[Iterator[bytes], list[int]]]) -> Iterator[tuple[int, int, int, bytes]]:
+    """Merge sorted runs (keys, prefix length with the key before): yields (run, place, prefix length with the last, key).
 
     Each head carries its common prefix with the last key that left. Of two heads
     the one with the longer prefix is smaller, without a look at the bytes; at
-    equal length comparison starts behind it.
+    equal length comparison starts behind it. Only heads are held.
     """
     width = 1
     while width < len(lists):
         width *= 2
     at = [0] * width
-    head = [lists[r][0][0] if r < len(lists) and lists[r][0] else None for r in range(width)]
+    head = [next(lists[r][0], None) if r < len(lists) else None for r in range(width)]
 
     def play(r: int, lr: int, s: int, ls: int) -> tuple[int, int, int, int]:
         """Winner and its prefix, loser and its prefix with the winner."""
@@ -189,12 +194,11 @@ def merged(lists: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, in
 
     winner, prefix = build(1)
     while head[winner] is not None:
-        yield winner, at[winner], prefix
+        yield winner, at[winner], prefix, head[winner]
         at[winner] += 1
         keys, known = lists[winner]
-        more = at[winner] < len(keys)
-        head[winner] = keys[at[winner]] if more else None
-        prefix = known[at[winner]] if more else 0
+        head[winner] = next(keys, None)
+        prefix = known[at[winner]] if head[winner] is not None else 0
         node = (winner + width) // 2
         while node:
             winner, prefix, s, ls = play(winner, prefix, *losers[node])
@@ -210,13 +214,13 @@ def front_coded(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
     return known, np.array([len(k) for k in keys], np.uint16), b"".join([k[p:] for k, p in zip(keys, known.tolist())])
 
 
-def decoded(known: np.ndarray, lengths: np.ndarray, rest: bytes) -> list[bytes]:
-    out, at, before = [], 0, b""
+def decoded(known: np.ndarray, lengths: np.ndarray, rest: bytes) -> Iterator[bytes]:
+    """The keys of a front-coded run, one at a time."""
+    at, before = 0, b""
     for p, n in zip(known.tolist(), lengths.tolist()):
         before = before[:p] + rest[at : at + n - p]
         at += n - p
-        out.append(before)
-    return out
+        yield before
 
 
 _RUN = ["part", "known", "lengths", "rest", "forward", "counts", "places", "docs"]
@@ -370,8 +374,8 @@ def _resolved(length: int, buckets: int):
                 else:
                     several.extend(block)
 
-            for run, at, prefix in merged(lists):
-                key, (forward, ends, both) = lists[run][0][at], extra[run]
+            for run, at, prefix, key in merged(lists):
+                forward, ends, both = extra[run]
                 members = both[:, ends[at] : ends[at + 1]]
                 if block.keys and prefix == len(key) == len(block.keys[-1]) and forward[at] == block.forward[-1]:
                     block.again(members)
@@ -444,7 +448,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, row: Column | None
     """
     if length < 16 or length > 30_000:
         raise ValueError("length must lie between 16 and 30,000")
-    buckets = buckets_of(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(size // PART_BYTES) + 1
     carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if row is None else row
     # documents by number, from their key: equal rows have equal spans
     number = F.conv(F.substring(F.hex("row_key"), 2, 15), 16, 10).cast("bigint")

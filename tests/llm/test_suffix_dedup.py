@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from graphloom.llm import queries, suffix_dedup
@@ -50,9 +51,9 @@ def test_merge_of_runs_is_sorted_with_prefixes():
         for _ in range(n_runs):
             keys = sorted(bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 40)))
             known, lengths, rest = suffix_dedup.front_coded(keys)
-            assert suffix_dedup.decoded(known, lengths, rest) == keys
+            assert list(suffix_dedup.decoded(known, lengths, rest)) == keys
             lists.append((keys, known.tolist()))
-        out = [(lists[r][0][i], p) for r, i, p in suffix_dedup.merged(lists)]
+        out = [(key, p) for _, _, p, key in suffix_dedup.merged([(iter(keys), known) for keys, known in lists])]
         assert [k for k, _ in out] == sorted(k for keys, _ in lists for k in keys)
         for (a, _), (b, p) in zip(out, out[1:]):
             assert p == suffix_dedup.common_prefix(a, b, 0)
@@ -73,3 +74,12 @@ def test_pieces_of_a_long_text(monkeypatch):
 
 def test_no_rows(spark):
     assert suffix_dedup.remove_repeated_bytes(empty(spark)).count() == 0
+
+
+def test_parts_are_even():
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 123, 3_000_000).astype(np.uint8).tobytes()
+    hashes = suffix_dedup.owners(text, 400)[3]
+    parts = ((hashes >> np.uint64(32)) * np.uint64(96)) >> np.uint64(32)
+    sizes = np.bincount(parts.astype(np.int64), minlength=96)
+    assert sizes.min() > 0 and sizes.max() <= 2 * sizes.mean()
