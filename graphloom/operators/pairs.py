@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from graphloom import rules as R
 from graphloom.functions import scores
 from graphloom.functions.classify import type_similarity
+from graphloom.session import cut_lineage
 
 _ANY = "*"
+# mentions of one cell of a document, about
+CELL_ROWS = 256
 
 
 def direct_evidence(entities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -34,9 +37,11 @@ def near_pairs(positions: DataFrame, threshold: float = 0.3, compat: bool = Fals
 
     Such a pair has to stand close together: with type similarity s the distance,
     as a share of the text, is below (0.3 + 0.2 s - threshold) / 0.3. So this is
-    a band join: for every similarity level the text is cut into cells of that
-    width and a pair meets only in the same or the next cell. Pairs further apart
-    are never produced, and the cells of one large document spread over tasks.
+    a sliding join on position: for every similarity level the text is cut into
+    cells, and a mention meets those of its own and the following cells up to that
+    distance. Pairs further apart are never produced. In a document of many
+    mentions the cells are finer, so that one holds about ``CELL_ROWS``: the
+    document spreads over as many join keys as it has such parts.
     """
     levels = [(min(a, b), max(a, b), s) for a, b, s in R.TYPE_SIMILARITY if not (compat and a > b)]
     highest = max([R.TYPE_SIMILARITY_DEFAULT, *[s for _, _, s in levels]])
@@ -47,25 +52,33 @@ def near_pairs(positions: DataFrame, threshold: float = 0.3, compat: bool = Fals
         return (0.3 + 0.2 * s - threshold) / 0.3
 
     rows = positions.filter("pos > 0").withColumn("_share", F.col("pos") / F.col("len"))
+    # few documents, if any; a checkpoint, so that the join can be split at one that holds many of the rows
+    large = cut_lineage(rows.groupBy("doc_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > CELL_ROWS))
+    rows = rows.join(large, "doc_id", "left")
     # every level an entity can take part in: its type's pairs, and the default level
     options = [
         F.when(F.col("type").isin(a, b), F.struct(F.lit(f"{a}|{b}").alias("level"), F.lit(max(band(s), 1e-9)).alias("width")))
         for a, b, s in levels
     ]
     options.append(F.struct(F.lit(_ANY).alias("level"), F.lit(max(band(R.TYPE_SIMILARITY_DEFAULT), 1e-9)).alias("width")))
-    keyed = rows.select("*", F.inline(F.array_compact(F.array(*options)))).withColumn(
-        "_cell", F.floor(F.col("_share") / F.col("width"))
+    keyed = rows.select("*", F.inline(F.array_compact(F.array(*options))))
+    keyed = keyed.withColumn("_parts", F.greatest(F.ceil(F.coalesce("_n", F.lit(0)) * F.col("width") / CELL_ROWS), F.lit(1)))
+    keyed = keyed.withColumn("_cell", F.floor(F.col("_share") / F.col("width") * F.col("_parts")))
+    names = ("seq", "name", "type", "pos")
+    left = keyed.withColumn("_cell", F.explode(F.sequence("_cell", F.col("_cell") + F.col("_parts")))).select(
+        "doc_id", "level", "_cell", "len", F.struct(*names).alias("a")
     )
-    cells = F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1)
-    left = keyed.withColumn("_cell", F.explode(cells)).select(
-        "doc_id", "level", "_cell", "len",
-        *[F.col(c).alias(f"{c}1") for c in ("seq", "name", "type", "pos")],
-    )
-    right = keyed.select("doc_id", "level", "_cell", *[F.col(c).alias(f"{c}2") for c in ("seq", "name", "type", "pos")])
-    pair_level = F.concat_ws("|", F.least("type1", "type2"), F.greatest("type1", "type2"))
+    right = keyed.select("doc_id", "level", "_cell", F.struct(*names).alias("b"))
+    # from the earlier to the later of two places; of equal places both are in the same cell
+    ahead = (F.col("a.pos") < F.col("b.pos")) | ((F.col("a.pos") == F.col("b.pos")) & (F.col("a.seq") < F.col("b.seq")))
+    pair_level = F.concat_ws("|", F.least("a.type", "b.type"), F.greatest("a.type", "b.type"))
     named = [f"{a}|{b}" for a, b, _ in levels]
     own_level = F.when(pair_level.isin(*named), pair_level).otherwise(F.lit(_ANY)) if named else F.lit(_ANY)
-    pairs = left.join(right, ["doc_id", "level", "_cell"]).filter((F.col("seq1") < F.col("seq2")) & (F.col("level") == own_level))
+    met = left.join(right, ["doc_id", "level", "_cell"]).filter(ahead & (F.col("level") == own_level) & (F.col("a.seq") != F.col("b.seq")))
+    first = F.col("a.seq") < F.col("b.seq")
+    pairs = met.select("doc_id", "len", *[
+        F.when(first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(f"{c}{i}") for i, (x, y) in ((1, "ab"), (2, "ba")) for c in names
+    ])
     cooc = scores.cooccurrence(F.col("pos1"), F.col("pos2"), F.col("len"))
     strength = scores.pair_strength(F.lit(False), cooc, type_similarity(F.col("type1"), F.col("type2"), compat))
     return pairs.filter(strength > threshold).select(

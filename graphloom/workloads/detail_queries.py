@@ -11,10 +11,10 @@ from graphloom.operators.mentions import entity_mentions, stored_mentions
 from graphloom.plans.detail_analysis import analyze_details
 from graphloom.workloads import sql_text as q
 from graphloom.workloads.registry import query
-from graphloom.workloads.substrates import DOC_EDGES, DOC_ENTITIES, ZH_DOCS, plain, spark_rows
+from graphloom.workloads.substrates import DOC_EDGES, DOC_EDGES_DUCK, DOC_ENTITIES, DOC_ENTITIES_DUCK, ZH_DOCS, plain, spark_rows
 
-ENT, EDG = plain(DOC_ENTITIES), plain(DOC_EDGES)
-BASE = f"WITH docs AS (SELECT doc_id, text FROM ({q.ZH}) z), ent AS ({ENT}), edg AS ({EDG})"
+ENT, EDG = DOC_ENTITIES_DUCK, DOC_EDGES_DUCK
+BASE = f"WITH docs AS MATERIALIZED (SELECT doc_id, text FROM ({q.ZH}) z), ent AS MATERIALIZED ({ENT}), edg AS MATERIALIZED ({EDG})"
 
 
 def docs(spark, d):

@@ -85,24 +85,27 @@ SELECT doc_id, text,
 FROM ({ZH_DOCS}) d
 """
 
-# Entities and edges inside the orders' texts.
-DOC_ENTITIES = f"""
-SELECT doc_id, 0 AS seq, person AS name, 'Person' AS type FROM ({ZH_DOCS}) a
-UNION ALL SELECT doc_id, 1, company || '公司', 'Organization' FROM ({ZH_DOCS}) b
-UNION ALL SELECT doc_id, 2, city, 'Location' FROM ({ZH_DOCS}) c
-UNION ALL SELECT doc_id, 3, country, 'Location' FROM ({ZH_DOCS}) d
-UNION ALL SELECT doc_id, 4, city || '大学', 'Organization' FROM ({ZH_DOCS}) e
-UNION ALL SELECT doc_id, 5, 'CEO', 'Other' FROM ({ZH_DOCS}) f
-"""
-DOC_EDGES = f"""
-SELECT doc_id, 0 AS rid, person AS source, '工作于' AS relation, company || '公司' AS target FROM ({ZH_DOCS}) a
-UNION ALL SELECT doc_id, 1, person, '担任', 'CEO' FROM ({ZH_DOCS}) b WHERE doc_id % 2 = 0
-UNION ALL SELECT doc_id, 2, company || '公司', '位于', city FROM ({ZH_DOCS}) c WHERE doc_id % 3 = 0
-UNION ALL SELECT doc_id, 3, person, '就职于', city || '大学' FROM ({ZH_DOCS}) d WHERE doc_id % 5 = 0
-UNION ALL SELECT doc_id, 4, company || '公司', '雇佣', person FROM ({ZH_DOCS}) e WHERE doc_id % 7 = 0
-UNION ALL SELECT doc_id, 5, city, '属于', country FROM ({ZH_DOCS}) f
-UNION ALL SELECT doc_id, 6, person, '来自', city FROM ({ZH_DOCS}) g
-"""
+# Entities and edges inside the orders' texts: several rows of one read of each text.
+_ENTITIES = (("0", "person", "'Person'"), ("1", "company || '公司'", "'Organization'"), ("2", "city", "'Location'"), ("3", "country", "'Location'"),
+             ("4", "city || '大学'", "'Organization'"), ("5", "'CEO'", "'Other'"))
+_EDGES = (("0", "person", "'工作于'", "company || '公司'", 1), ("1", "person", "'担任'", "'CEO'", 2), ("2", "company || '公司'", "'位于'", "city", 3),
+          ("3", "person", "'就职于'", "city || '大学'", 5), ("4", "company || '公司'", "'雇佣'", "person", 7), ("5", "city", "'属于'", "country", 1),
+          ("6", "person", "'来自'", "city", 1))
+
+
+def _several(names: tuple[str, ...], rows: tuple) -> tuple[str, str]:
+    """Rows (doc_id, names..., every) of each text, as Spark SQL and as DuckDB SQL."""
+    spark = ", ".join("named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(names, row)) + ")" for row in rows)
+    duck = ", ".join("{" + ", ".join(f"'{n}': {v}" for n, v in zip(names, row)) + "}" for row in rows)
+    return (
+        f"SELECT doc_id, r.* FROM (SELECT doc_id, explode(array({spark})) AS r FROM ({ZH_DOCS}) d) s",
+        f"SELECT doc_id, unnest(r) FROM (SELECT doc_id, unnest([{duck}]) AS r FROM ({plain(ZH_DOCS)}) d) s",
+    )
+
+
+DOC_ENTITIES, DOC_ENTITIES_DUCK = _several(("seq", "name", "type"), _ENTITIES)
+_ALL_EDGES = _several(("rid", "source", "relation", "target", "every"), _EDGES)
+DOC_EDGES, DOC_EDGES_DUCK = (f"SELECT doc_id, rid, source, relation, target FROM ({rows}) e WHERE doc_id % every = 0" for rows in _ALL_EDGES)
 
 # Star schema as a graph: order -> customer -> nation -> region, supplier -> nation. Acyclic; nations are hubs.
 STAR_ENTITIES = """

@@ -282,8 +282,21 @@ def test_triangles(spark):
     assert {(r.a, r.b, r.c) for r in pairs.triangles(e).collect()} == want
 
 
-@pytest.mark.parametrize("compat", [False, True])
-def test_near_pairs_finds_every_pair(spark, compat):
+def test_near_pairs_of_one_large_document(spark):
+    n = 50_000
+    rows = spark.range(n).selectExpr(
+        "1 AS doc_id", "id AS seq", "cast(id AS string) AS name", "if(id % 2 = 0, 'Person', 'Organization') AS type", "cast(id * 3 + 1 AS int) AS pos", f"{3 * n} AS len"
+    )
+    sizes = [r[1] for r in pairs.near_pairs(rows, 0.4195).groupBy(F.spark_partition_id()).count().collect()]
+    # 0.3 (1 - d / len) + 0.2 * 0.6 > 0.4195 for places d / 3 apart
+    reach = [k for k in range(1, n, 2) if 0.3 * (1 - 3 * k / (3 * n)) + 0.12 > 0.4195]
+    assert sum(sizes) == sum(n - k for k in reach)
+    assert len(sizes) > 1 and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+
+
+@pytest.mark.parametrize("compat,cell_rows", [(False, 256), (True, 256), (False, 2)])
+def test_near_pairs_finds_every_pair(spark, monkeypatch, compat, cell_rows):
+    monkeypatch.setattr(pairs, "CELL_ROWS", cell_rows)
     rnd = random.Random(14)
     names = [chr(0x4E00 + 7 * i) * 2 for i in range(30)]
     types = [rnd.choice(["Person", "Organization", "Location", "Product", "Other"]) for _ in names]
