@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from graphloom.llm.common import row_key, written
 from graphloom.llm.quality import WORD
 
+SPACE = r"[\x20\x09-\x0D]"
+
 # hex digits of the seeded hash that make a bin
 BIN_DIGITS = 3
 LEVELS = ("domain", "lang", "source")
@@ -93,13 +95,13 @@ def mixed(
     seed: int = 42,
     row: Column | None = None,
 ) -> DataFrame:
-    """Rows (row, domain, lang, source, n_tokens, leaf_budget, copies, tokens_taken), one per document taken.
+    """Rows (row, domain, lang, source, n_tokens, leaf_budget, copies, tokens_taken, last_tokens), one per document taken.
 
     Tokens are words, runs without ASCII white space. The budget is
     ``budget_percent`` of all tokens, no more than ``max_epochs`` of them.
     ``copies`` counts the epochs that take the document, ``tokens_taken`` its
     tokens in them: in the last epoch of a leaf the last document may give a
-    prefix only. Null language and source are the names '?'; a null text has no
+    prefix only. ``last_tokens`` is what the last of the copies holds. Null language and source are the names '?'; a null text has no
     tokens and is taken with the epochs that reach it. ``row`` is what to carry,
     by default a struct of all columns. Ties of the seeded hash (repeated ids)
     go by the text; rows with equal id and text are taken together and, where the
@@ -155,10 +157,21 @@ def mixed(
         "row", *LEVELS, "n_tokens", "leaf_budget",
         (F.col("epochs") + reached.cast("bigint")).alias("copies"),
         (F.col("epochs") * F.col("n_tokens") + F.coalesce(part, F.lit(0))).cast("bigint").alias("tokens_taken"),
+        F.when(reached, part).otherwise(F.col("n_tokens")).cast("bigint").alias("last_tokens"),
     ).where("copies > 0")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with all their columns, a row for each epoch that takes one."""
+    """The documents of the mix with all their columns, a row for each epoch that takes one.
+
+    Where the budget ends inside a document, its last copy holds the first words
+    that are left of the budget, with the white space before each; a copy of no
+    words is no row, unless the document has none.
+    """
     taken = mixed(docs, **options)
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    copies = taken.select("row", "n_tokens", "last_tokens", "copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    cut = (F.col("copy") == F.col("copies")) & (F.col("last_tokens") < F.col("n_tokens"))
+    begun = F.slice(F.regexp_extract_all("row.text", F.lit(rf"{SPACE}*{WORD}"), F.lit(0)), F.lit(1), F.col("last_tokens").cast("int"))
+    text = F.when(cut, F.array_join(begun, "")).otherwise(F.col("row.text"))
+    kept = copies.where(~cut | (F.col("last_tokens") > 0))
+    return kept.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -9,7 +9,9 @@ Equal fingerprints are one row throughout, whatever their number of documents.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,8 @@ SEED = 42
 HALF = 32
 
 
-def fingerprint(words: list[bytes], width: int = 3) -> int:
-    """Bits set in over half of the hashes of the word shingles; no words: 0."""
-    if not words:
-        return 0
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of the word shingles, of the whole sequence where it is shorter."""
     text = b" ".join(words)
     if len(words) <= width:
         spans = [(0, len(text))]
@@ -35,12 +35,24 @@ def fingerprint(words: list[bytes], width: int = 3) -> int:
         starts = np.concatenate(([0], ends[:-1]))
         spans = zip(starts[: len(words) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist())
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(text[a:b], SEED) for a, b in spans], "<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65_536):
-        block = hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8)
+    return np.array([digest(text[a:b], SEED) for a, b in spans], "<u8")
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Bits set in over half of the rows of 64-bit lanes, lane by lane from the lowest bit."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 8_192):
+        block = np.ascontiguousarray(hashes[at : at + 8_192]).view(np.uint8).reshape(-1, 8 * hashes.shape[1])
         ones += np.unpackbits(block, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return 2 * ones > len(hashes)
+
+
+def fingerprint(words: list[bytes], width: int = 3) -> int:
+    """Bits set in over half of the hashes of the word shingles; no words: 0."""
+    if not words:
+        return 0
+    bits = _majority(_hashes(words, width)[:, None])
+    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(width: int):
@@ -100,8 +112,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, width: int = 3) -> DataF
     linked like any other.
     """
     prints = written(fingerprints(docs, width), "fingerprints")
+    return _in_groups(prints, near_fingerprints(prints.select("fingerprint").distinct(), max_bits))
+
+
+def _in_groups(prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Adds to (doc_id, row_key, fingerprint) the smallest id of the component that linked fingerprints make."""
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
-    found = components(near_fingerprints(distinct.select("fingerprint"), max_bits))
+    found = components(pairs)
     groups = distinct.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
         "fingerprint", "least_id", F.coalesce("component", "fingerprint").alias("component")
     )
@@ -110,13 +127,107 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, width: int = 3) -> DataF
     return prints.join(named, "fingerprint").select("doc_id", "row_key", "fingerprint", "component_id")
 
 
+@dataclass
+class Reach:
+    """Fingerprints long enough to tell texts of a shingle similarity, and segments short enough to meet them.
+
+    Shingle sets of similarity s differ in a share p = acos(2s / (1 + s)) / pi of
+    their bits. Segments have a few bits more than the number of texts, so that
+    few texts meet by chance at any size; there are so many of them that a pair
+    at s has, with probability ``recall``, one that differs in a bit or none. The
+    distance allowed is two standard deviations above p.
+    """
+
+    n: int
+    similarity: float = 0.8
+    recall: float = 0.97
+
+    def __post_init__(self):
+        p = math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
+        self.bits = min(32, max(16, math.ceil(math.log2(max(2, self.n))) + 4))
+        met = (1 - p) ** self.bits + self.bits * p * (1 - p) ** (self.bits - 1)
+        self.segments = math.ceil(math.log(1 - self.recall) / math.log(1 - met))
+        total = self.bits * self.segments
+        self.most = math.floor(total * p + 2 * math.sqrt(total * p * (1 - p)))
+        # of the first 64 bits, which are looked at as soon as two texts meet
+        self.most_first = math.floor(64 * p + 4 * math.sqrt(64 * p * (1 - p)))
+
+
+def segments_of(words: list[bytes], reach: Reach, width: int) -> tuple[np.ndarray, int]:
+    """A long fingerprint as its segments, and its first 64 bits."""
+    if not words:
+        return np.zeros(reach.segments, np.int64), 0
+    lanes = -(-reach.bits * reach.segments // 64)
+    with np.errstate(over="ignore"):
+        mixed = _hashes(words, width)[:, None] + np.arange(lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+    bits = _majority(mixed)
+    cut = bits[: reach.bits * reach.segments].reshape(reach.segments, reach.bits)
+    return cut @ (1 << np.arange(reach.bits, dtype=np.int64)), int(np.packbits(bits[:64], bitorder="little").view("<i8")[0])
+
+
+def _segments(reach: Reach, width: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [segments_of(t.lower().split(), reach, width) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row_key"), pa.array([s for s, _ in found], pa.list_(pa.int64())), pa.array([f for _, f in found], pa.int64())],
+                ["doc_id", "row_key", "segments", "first_bits"],
+            )
+
+    return rows
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.97) -> DataFrame:
+    """Rows (doc_id, row_key, fingerprint, component_id), one per document, over near copies.
+
+    Texts whose sets of word shingles have that Jaccard similarity or more are
+    linked by their long fingerprints, see ``Reach``. A text is compared with one
+    of those that share a segment, that with the least hash, so three or more
+    texts of one segment are linked through it. ``fingerprint`` is the hash of
+    the long one. Other cases as in ``near_duplicates``.
+    """
+    reach = Reach(docs.count(), similarity, recall)
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row_key"), utf8().alias("text"))
+    long = written(narrow.mapInArrow(_segments(reach, width), "doc_id bigint, row_key binary, segments array<bigint>, first_bits bigint"), "segments")
+    long = long.withColumn("fingerprint", F.xxhash64("segments"))
+    distinct = long.groupBy("fingerprint").agg(F.first("segments").alias("segments"), F.first("first_bits").alias("first_bits"))
+    distinct = written(distinct, "long-fingerprints")
+    table = distinct.select(F.col("fingerprint").alias("b"), F.col("first_bits").alias("first_b"), F.posexplode("segments").alias("part", "value"))
+    # the value itself and the ball's members that add a bit
+    ball = F.filter(
+        F.transform(F.sequence(F.lit(-1), F.lit(reach.bits - 1)), lambda j: F.when(j < 0, F.col("value")).otherwise(
+            F.col("value").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(j, F.lit(0))))
+        )),
+        lambda x, at: (at == 0) | (x != F.col("value")),
+    )
+    asked = table.select(F.col("b").alias("a"), F.col("first_b").alias("first_a"), "part", F.explode(ball).alias("value"))
+    # a text meets one of those that have a segment, not all: a group of near copies gives links in proportion to its size
+    mine = F.min(F.struct(F.col("b").alias("b"), F.col("first_b").alias("first_b")))
+    leaders = table.groupBy("part", "value").agg(mine.alias("least")).select("part", "value", "least.b", "least.first_b")
+    near_first = F.bit_count(F.col("first_a").bitwiseXOR(F.col("first_b"))) <= reach.most_first
+    met = asked.join(leaders, ["part", "value"]).where(near_first & (F.col("a") != F.col("b")))
+    candidates = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for end in ("a", "b"):
+        candidates = candidates.join(distinct.select(F.col("fingerprint").alias(end), F.col("segments").alias(f"of_{end}")), end)
+    apart = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return _in_groups(long.select("doc_id", "row_key", "fingerprint"), candidates.where(apart <= reach.most).select("a", "b"))
+
+
 def one_per_group(docs: DataFrame, max_bits: int = 3, width: int = 3) -> DataFrame:
-    """The documents without near copies: of each component its smallest id stays, with all columns.
+    """The documents without near duplicates by ``near_duplicates``: of each component one row stays, see ``first_of_groups``."""
+    return first_of_groups(docs, near_duplicates(docs, max_bits, width))
+
+
+def first_of_groups(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of each component the document with the smallest id, with all columns.
 
     Where several rows have that id, one stays. Components without any id keep
     one row as well.
     """
-    near = written(near_duplicates(docs, max_bits, width), "near")
+    near = written(grouped, "near")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     # a component is known by its smallest id; those without id by their fingerprint
     alone = F.when(F.col("component_id").isNull(), F.col("fingerprint"))

@@ -70,5 +70,19 @@ def test_mix_keeps_columns_and_repeats_rows(spark):
     assert out.columns == df.columns and out.count() == 2 * df.count()
 
 
+def test_mix_ends_with_a_prefix(spark):
+    data = [(i, f" w{i}a\tw{i}b\n\nw{i}c w{i}d " * (1 + i % 5), "en" if i % 2 else "de", f"src{i % 3}", 0) for i in range(60)]
+    df = frame(spark, data)
+    texts = {r[0]: r[1] for r in data}
+    for percent in (33, 77, 130):
+        budgets = {(r.domain, r.lang, r.source): r.leaf_budget for r in mixing.mixed(df, budget_percent=percent, max_epochs=2).collect()}
+        spent = defaultdict(int)
+        out = mixing.mix(df, budget_percent=percent, max_epochs=2).withColumn("domain", mixing.domain_of(F.col("source"))).collect()
+        for r in out:
+            spent[r.domain, r.lang, r.source] += len(r.text.split())
+            assert r.text and texts[r.doc_id].startswith(r.text)
+        assert spent == {leaf: n for leaf, n in budgets.items() if n}
+
+
 def test_no_rows(spark):
     assert mixing.mixed(empty(spark)).count() == 0

@@ -93,3 +93,39 @@ def test_components_of_chain_hub_and_random_links(spark):
 def test_no_rows(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.one_per_group(empty(spark)).count() == 0
+
+
+def shingles(text, width=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or {tuple(words)}
+
+
+def test_near_copies_by_jaccard(spark):
+    rng = random.Random(11)
+    data = []
+    for i in range(400):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400))]
+        near = list(words)
+        for _ in range(rng.randrange(0, 1 + len(words) // 40)):
+            near[rng.randrange(len(near))] = "changed"
+        data += [(2 * i, " ".join(words), "en", "s", 0), (2 * i + 1, " ".join(near), "en", "s", 0)]
+    data += [(None, "one two", "en", "s", 0), (9000, None, "en", "s", 0), (9001, "", "en", "s", 0), data[0]]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, data)).collect()}
+    alike = []
+    for i in range(400):
+        a, b = shingles(data[2 * i][1]), shingles(data[2 * i + 1][1])
+        if len(a & b) >= 0.8 * len(a | b):
+            alike.append(got[2 * i] == got[2 * i + 1])
+    assert len(alike) > 150 and sum(alike) >= 0.95 * len(alike)
+    # texts of different pairs have nothing in common
+    assert all(got[2 * i + k] in (2 * i, 2 * i + 1) for i in range(400) for k in (0, 1))
+    assert got[9000] == got[9001] == 9000
+    kept = simhash.first_of_groups(frame(spark, data), simhash.near_copies(frame(spark, data)))
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for c in got.values() if c is not None})
+    assert simhash.near_copies(empty(spark)).count() == 0
+
+
+def test_reach_grows_with_the_number_of_texts():
+    small, large = simhash.Reach(50_000), simhash.Reach(50_000_000)
+    assert large.bits > small.bits and large.segments > small.segments
+    assert small.most / (small.bits * small.segments) < 0.2
