@@ -159,17 +159,24 @@ def has_letter() -> Column:
     return F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
 
 
-def sample(docs: DataFrame, most: int = SAMPLE_DOCS, seed: int = 42) -> DataFrame:
-    """Rows (lang, window): up to ``most`` labelled texts of each of the most frequent languages, a window of each.
+def sample(docs: DataFrame, most: int = SAMPLE_DOCS, most_languages: int = MOST_LANGUAGES, seed: int = 42) -> DataFrame:
+    """Rows (lang, window, chance): up to ``most`` labelled texts of each of the most frequent languages, a window of each.
 
     The texts with the smallest hashes of their id and text are taken; the window
-    starts at a hashed place.
+    starts at a hashed place. Of a frequent language only hashes that can be
+    among the smallest are exchanged at all: four times ``most`` on average.
     """
     known = docs.where(~held_out() & F.col("lang").isNotNull() & has_letter())
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    if not sizes:
+        return known.select("lang", F.col("text").alias("window"), F.lit(0).cast("bigint").alias("chance")).limit(0)
+    low, span = -(1 << 63), 1 << 64
+    bounds = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, low + min(span - 1, span * 4 * most // r["count"]))])
     chance = F.xxhash64("doc_id", "text", F.lit(seed))
     begin = F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))) + 1
     windows = known.select("lang", chance.alias("chance"), F.substr("text", begin.cast("int"), F.lit(WINDOW)).alias("window"))
-    ranked = windows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("chance", "window"))).where(F.col("rank") <= most)
+    likely = windows.where(F.col("chance") <= F.element_at(bounds, F.col("lang")))
+    ranked = likely.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("chance", "window"))).where(F.col("rank") <= most)
     return ranked.select("lang", "window", "chance")
 
 
@@ -179,9 +186,7 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS, most_languages: int = MOST_L
     At most ``most_languages`` languages, the most frequent ones, and ``most``
     texts of each come to the driver.
     """
-    taken = sample(docs, most, seed)
-    names = [r.lang for r in docs.where(~held_out() & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    rows = sorted(((r.lang, r.chance, r.window) for r in taken.where(F.col("lang").isin(names)).collect()))
+    rows = sorted((r.lang, r.chance, r.window) for r in sample(docs, most, most_languages, seed).collect())
     return fit([w.encode() for _, _, w in rows], [lang for lang, _, _ in rows], seed) if rows else None
 
 
