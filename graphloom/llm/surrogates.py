@@ -64,6 +64,13 @@ _PARTS_CYRILLIC = {
     "female": (("Ал", "Ва", "Да", "Ев", "Ка", "Ли", "Ма", "Ни", "Со", "Та"), ("ана", "ина", "ия", "лена", "ора", "рина", "сия", "тина", "фия", "яна")),
 }
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+MARKS = "!#$%&*+-./:;<=>?@^_~"
+HAN_FIRST, HAN_COUNT = 0x4E00, 0x9FA5 - 0x4E00 + 1
+# draws after which emails and secrets grow by a character each, and after which a run gives up
+SAME_LENGTH_DRAWS, MOST_DRAWS = 3, 60
+# last digits by which a phone number is known with and without its country
+LOCAL_DIGITS = 9
 
 
 def kind_of(mention: Column) -> Column:
@@ -107,14 +114,24 @@ def _pick(values: tuple[str, ...], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.pmod(number, F.lit(len(values))) + 1)
 
 
-def _same_shape(value: Column, stream: Column) -> Column:
-    """Digit for digit, letter for letter of the same case; other characters stay."""
-    letter = lambda x, number: (
-        F.when(x.rlike("^[0-9]$"), F.pmod(number, F.lit(10)).cast("string"))
-        .when(x.rlike("^[a-z]$"), F.substring(F.lit(LOWER), F.pmod(number, F.lit(26)) + 1, F.lit(1)))
-        .when(x.rlike("^[A-Z]$"), F.substring(F.lit(UPPER), F.pmod(number, F.lit(26)) + 1, F.lit(1)))
-        .otherwise(x)
-    )
+def _same_shape(value: Column, stream: Column, marks: bool = False) -> Column:
+    """Digit for digit, letter for letter of the same case and script; with ``marks`` every other character changes too."""
+    letter_of = lambda letters, number: F.substring(F.lit(letters), F.pmod(number, F.lit(len(letters))) + 1, F.lit(1))
+    han = lambda number: F.decode(F.unhex(F.hex(F.pmod(number, F.lit(HAN_COUNT)) + HAN_FIRST)), "UTF-16BE")
+
+    def letter(x: Column, number: Column) -> Column:
+        kept = (
+            F.when(x.rlike("^[0-9]$"), F.pmod(number, F.lit(10)).cast("string"))
+            .when(x.rlike("^[a-z]$"), letter_of(LOWER, number))
+            .when(x.rlike("^[A-Z]$"), letter_of(UPPER, number))
+            .when(x.rlike(r"^[\p{IsCyrillic}&&\p{Lu}]$"), letter_of(CYRILLIC.upper(), number))
+            .when(x.rlike(r"^\p{IsCyrillic}$"), letter_of(CYRILLIC, number))
+            .when(x.rlike(r"^\p{IsHan}$"), han(number))
+            .when(x.rlike(r"^\p{Lu}$"), letter_of(UPPER, number))
+            .when(x.rlike(r"^[\p{L}\p{N}]$"), letter_of(LOWER, number))
+        )
+        return kept.when(x != "", letter_of(MARKS, number)).otherwise(x) if marks else kept.otherwise(x)
+
     return F.array_join(F.transform(F.split(value, ""), lambda x, at: letter(x, _number(stream, at))), "")
 
 
@@ -133,10 +150,13 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     """The replacement of an entity's form, from a keyed hash of type, form and attempt."""
     stream = _stream(F.concat_ws("\u0001", F.lit(key), kind, value, attempt.cast("string")))
     shaped = _same_shape(value, stream)
+    # small ranges of values run out: later draws are longer
+    longer = F.substring(F.translate(stream, "0123456789", "ghijklmnop"), F.lit(1), F.greatest(attempt - SAME_LENGTH_DRAWS, F.lit(0)))
 
     def name(gender: str) -> Column:
         def from_parts(parts) -> Column:
-            one = lambda at: F.concat(_pick(parts[0], _number(stream, at)), _pick(parts[1], _number(stream, at + 3)), F.when(attempt > 0, _pick(parts[1], _number(stream, at + 6))).otherwise(""))
+            one = lambda at: F.concat(_pick(parts[0], _number(stream, at)), _pick(parts[1], _number(stream, at + 3)), 
+                F.array_join(F.transform(F.slice(F.sequence(F.lit(0), attempt), 2, attempt), lambda i: _pick(parts[1], _number(stream, at + 3 + 3 * i))), ""))
             words = F.transform(F.split(value, "[ -]"), lambda x, at: one(at * 9))
             return F.array_join(words, " ")
 
@@ -146,7 +166,8 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     # the last label of a host stays
     mail = F.concat(_same_shape(F.regexp_extract(value, r"^(.*)\.[^.]+$", 1), stream), F.regexp_extract(value, r"\.[^.]+$", 0))
     return (
-        F.when(kind == "email", mail)
+        F.when(kind == "email", F.concat(longer, mail))
+        .when(kind == "secret", F.concat(_same_shape(value, stream, marks=True), longer))
         .when(kind == "access_key", F.concat(F.lit("AKIA"), _same_shape(F.substring(value, 5, 16), stream)))
         .when(kind == "ip", octets)
         .when(kind == "card", _with_check_digit(F.concat(F.substring(value, 1, 1), F.substring(shaped, 2, 99))))
@@ -174,9 +195,14 @@ def in_format(kind: Column, mention: Column, value: Column) -> Column:
 
 
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """Rows (kind, value, replacement): no two entities of a kind share one, none is a real entity."""
+    """Rows (kind, value, replacement): no two entities of a kind share one, none is a real entity.
+
+    Every draw of a name, an email or a secret has more possible values than the
+    one before; the other types have billions from the start. A run that has not
+    ended after ``MOST_DRAWS`` draws is an error.
+    """
     drawn = cut_lineage(entities.select("kind", "value", F.lit(0).alias("attempt"), surrogate(F.col("kind"), F.col("value"), key, F.lit(0)).alias("replacement")))
-    while True:
+    for _ in range(MOST_DRAWS):
         # the first of those that share a replacement keeps it
         owner = drawn.groupBy("kind", "replacement").agg(F.min("value").alias("owner"), F.count("*").alias("sharing"))
         real = entities.select("kind", F.col("value").alias("replacement"), F.lit(True).alias("real"))
@@ -192,13 +218,55 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
                 F.when(F.col("again"), surrogate(F.col("kind"), F.col("value"), key, F.col("attempt"))).otherwise(F.col("replacement")).alias("replacement"),
             )
         )
+    raise ValueError(f"some entities have no distinct surrogate after {MOST_DRAWS} draws")
+
+
+def _is_name(kind: Column) -> Column:
+    return kind.isin("name_female", "name_male")
+
+
+def _last_word(value: Column) -> Column:
+    return F.element_at(F.split(value, "[ -]"), -1)
+
+
+def coreferent(found: DataFrame) -> DataFrame:
+    """Adds ``entity``, the form a mention stands for inside its document.
+
+    A single last name stands for the full name with that last word and the same
+    gender where the document has exactly one; a phone number for the longest one
+    that ends with it and adds at most three digits. Any other mention stands for itself.
+    """
+    kind, value = F.col("kind"), F.col("value")
+    tail = F.when(_is_name(kind), _last_word(value)).when(kind == "phone", F.right(value, F.lit(LOCAL_DIGITS)))
+    full = F.when(_is_name(kind), F.when(value.rlike("[ -]"), value)).otherwise(value)
+    tailed = found.withColumn("tail", tail)
+    heads = (
+        tailed.where(F.col("tail").isNotNull() & full.isNotNull()).groupBy("row_key", "kind", "tail")
+        .agg(F.min(full).alias("first_full"), F.max(full).alias("last_full"), F.max(F.struct(F.length(value).alias("n"), value.alias("v")))["v"].alias("longest"))
+    )
+    short_name = _is_name(kind) & ~value.rlike("[ -]") & (F.col("first_full") == F.col("last_full"))
+    local = (kind == "phone") & F.endswith("longest", value) & (F.length("longest") <= F.length(value) + 3)
+    entity = F.when(short_name, F.col("first_full")).when(local, F.col("longest")).otherwise(value)
+    joined = tailed.join(heads, ["row_key", "kind", "tail"], "left")
+    return joined.select(*[c for c in found.columns], F.coalesce(entity, value).alias("entity"))
+
+
+def own_part(kind: Column, value: Column, entity: Column, replacement: Column) -> Column:
+    """What of an entity's surrogate stands for a mention: the last name alone, or the digits without the country."""
+    return (
+        F.when(value == entity, replacement)
+        .when(_is_name(kind), _last_word(replacement))
+        .otherwise(F.right(replacement, F.length(value)))
+    )
 
 
 def with_surrogates(docs: DataFrame, key: str, row: Column | None = None) -> DataFrame:
     """Rows (row, n_entities, kinds, clean_text), one per document.
 
     ``clean_text`` is the text with every mention replaced, ``kinds`` the sorted
-    types found, ``n_entities`` the number of mentions. A null text stays null.
+    types found, ``n_entities`` the number of mentions. Names are found behind a
+    title; a full name found so is replaced without its title as well, all through
+    its document. A null text stays null.
     ``row`` is what to carry, by default a struct of all columns.
     """
     carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if row is None else row
@@ -210,16 +278,21 @@ def with_surrogates(docs: DataFrame, key: str, row: Column | None = None) -> Dat
     found = found.withColumn("mention", F.expr("substring(whole, length(lead) + 1)"))
     found = found.withColumn("value", canonical(F.col("kind"), F.col("mention")))
     found = written(found.dropDuplicates(["row_key", "place"]).select("row_key", "place", "kind", "value", "lead", "mention"), "mentions")
-    replaced = distinct_surrogates(found.select("kind", "value").distinct(), key)
-    named = found.join(replaced, ["kind", "value"]).withColumn(
-        "written_as", F.concat("lead", in_format(F.col("kind"), F.col("mention"), F.col("replacement")))
-    )
+    found = coreferent(found)
+    replaced = distinct_surrogates(found.select("kind", F.col("entity").alias("value")).distinct(), key)
+    named = found.join(replaced.withColumnRenamed("value", "entity"), ["kind", "entity"])
+    own = own_part(F.col("kind"), F.col("value"), F.col("entity"), F.col("replacement"))
+    named = named.withColumn("written_as", F.concat("lead", in_format(F.col("kind"), F.col("mention"), own)))
+    # full names, found anywhere else in their document without a title
+    full_name = F.when(_is_name(F.col("kind")) & F.col("entity").rlike(" "), F.struct("entity", "replacement"))
     per_row = named.groupBy("row_key").agg(
-        F.array_sort(F.collect_list(F.struct("place", "written_as"))).alias("places"), F.array_sort(F.collect_set("kind")).alias("kinds")
+        F.array_sort(F.collect_list(F.struct("place", "written_as"))).alias("places"), F.array_sort(F.collect_set("kind")).alias("kinds"),
+        F.array_sort(F.collect_set(full_name)).alias("full_names"),
     )
     clean = base.where(F.coalesce(~F.col("raw_text").rlike(ANY), F.lit(True))).select(
         "row", F.lit(0).cast("bigint").alias("n_entities"), F.array().cast("array<string>").alias("kinds"), F.col("raw_text").alias("clean_text")
     )
     dirty = base.where(F.col("raw_text").rlike(ANY)).join(per_row, "row_key")
-    parts = F.zip_with(between, "places", lambda text, place: F.concat(text, F.coalesce(place["written_as"], F.lit(""))))
+    untitled = lambda text, n: F.regexp_replace(text, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), n["entity"], F.lit(r"\E(?![\p{L}\p{N}])")), n["replacement"])
+    parts = F.zip_with(between, "places", lambda text, place: F.concat(F.aggregate("full_names", text, untitled), F.coalesce(place["written_as"], F.lit(""))))
     return clean.unionByName(dirty.select("row", F.size("places").cast("bigint").alias("n_entities"), "kinds", F.array_join(parts, "").alias("clean_text")))

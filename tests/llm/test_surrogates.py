@@ -100,3 +100,45 @@ def test_plan_is_native_and_query_keeps_rows(spark, tmp_path):
 
 def test_no_rows(spark):
     assert surrogates.with_surrogates(empty(spark), "k").select(F.count("*")).first()[0] == 0
+
+
+def replaced(spark, texts):
+    data = [(i, text, "en", "s", 0) for i, text in enumerate(texts)]
+    return [r.clean_text for r in sorted(surrogates.with_surrogates(frame(spark, data), "k").collect(), key=lambda r: r.row.doc_id)]
+
+
+def test_secrets_of_any_characters_change_and_draws_end(spark):
+    texts = ["password:********", "password=секретноеслово", "password:密码密码密码密码", "password=ÄÖÜäöü", "password:********", "password:#######"]
+    got = replaced(spark, texts)
+    for text, new in zip(texts, got):
+        lead = re.match("password[:=]", text).group()
+        assert new.startswith(lead) and len(new) >= len(text)
+        assert new != text
+    assert re.fullmatch("password=[а-я]{14}", got[1]) and re.fullmatch("password:[一-龥]{8}", got[2]) and re.fullmatch("password=[A-Z]{3}[a-z]{3}", got[3])
+    assert got[0] == got[4] and got[0] != got[5]
+
+
+def test_many_short_names_stay_distinct(spark):
+    letters = "abcdefghijklmno"
+    names = [f"S{a}{b}{c}" for a in letters for b in letters for c in letters][:2_000]
+    values = [("name_male", n) for n in names] + [("email", f"{a}@{b}.co") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    got = surrogates.distinct_surrogates(spark.createDataFrame(values, "kind string, value string"), "k").collect()
+    assert len({(r.kind, r.replacement) for r in got}) == len(values) == len(got)
+    assert not {(r.kind, r.replacement) for r in got} & set(values)
+
+
+def test_short_untitled_and_local_mentions_of_one_document(spark):
+    texts = [
+        "Herr Max Muster kam. Herr Muster ging, Max Muster blieb, Max Mustermann nicht.",
+        "Herr Muster allein",
+        "Mr. John Smith and Mr. Jack Smith; Mr. Smith is either.",
+        "Call +49 30 1234 5678 or 30 1234 5678.",
+    ]
+    one, two, three, four = replaced(spark, texts)
+    full = re.match(r"Herr (\w+) (\w+) kam", one).groups()
+    assert re.fullmatch(rf"Herr {full[0]} {full[1]} kam. Herr {full[1]} ging, {full[0]} {full[1]} blieb, Max Mustermann nicht.", one)
+    assert full != ("Max", "Muster") and "Muster" not in two
+    john, jack, short = re.match(r"Mr. \w+ (\w+) and Mr. \w+ (\w+); Mr. (\w+) is", three).groups()
+    assert short != "Smith" and john != "Smith" and jack != "Smith"
+    far, near = re.match(r"Call (.*) or (.*)\.$", four).groups()
+    assert far.endswith(near) and near != "30 1234 5678"
