@@ -403,6 +403,8 @@ UNION ALL SELECT 'edges', {_TIER}, count(*)::DOUBLE FROM {_UND} u GROUP BY ALL
 UNION ALL SELECT 'relation_means', relation, round(avg(confidence), 6) FROM {_UND} u GROUP BY ALL
 UNION ALL SELECT 'relation_distribution', relation, count(*)::DOUBLE FROM ({TRIP}) t GROUP BY ALL
 UNION ALL SELECT 'histogram', label, coalesce(n, 0)::DOUBLE FROM {_LABELS} LEFT JOIN (SELECT {_BIN} AS bin, count(*) AS n FROM ({TRIP}) t GROUP BY 1) c ON c.bin = l.bin
+UNION ALL SELECT 'type_distribution', {q.entity_class('name')}, count(*)::DOUBLE FROM (SELECT head AS name FROM ({TRIP}) t UNION SELECT tail FROM ({TRIP}) t) e GROUP BY ALL
+UNION ALL SELECT 'trend', CAST(doc_id AS VARCHAR) || ':' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS VARCHAR), round(confidence::DOUBLE, 6) FROM ({TRIP}) t
 UNION ALL SELECT 'summary', 'triples', triples::DOUBLE FROM ({_SUMMARY}) s
 UNION ALL SELECT 'quality', CASE WHEN s < 50 THEN '0-50' WHEN s < 80 THEN '50-80' ELSE '80-100' END, round(s, 6)
     FROM (SELECT avg(confidence) * 100 AS s FROM ({TRIP}) t) x""",
@@ -418,6 +420,8 @@ def pipe_9(spark, d):
         _report_line("relation_means", col("relation"), col("avg_confidence"))(t["relation_means"]),
         _report_line("relation_distribution", col("relation"), col("n"))(t["relation_distribution"]),
         _report_line("histogram", col("label"), col("n"))(t["histogram"]),
+        _report_line("type_distribution", col("type"), col("n"))(t["type_distribution"]),
+        _report_line("trend", F.concat_ws(":", "doc_id", "idx"), col("confidence"))(t["trend"]),
         _report_line("summary", F.lit("triples"), col("triples"))(t["summary"]),
         _report_line("quality", col("band"), col("score"))(t["quality"]),
     ]
@@ -467,12 +471,10 @@ def udf_2(spark, d):
     return base.query(orders, "s", "rel").select("doc_id", "fact")
 
 
-@query("udf_4_completer", "SELECT doc_id, upper(text) AS text FROM (SELECT conv_id * 1000 + turn AS doc_id, regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS text FROM conversations) x")
+@query("udf_4_completer", "SELECT conv_id * 1000 + turn AS doc_id, text || '|' || reverse(text) AS text FROM conversations")
 def udf_4(spark, d):
-    docs = table(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.regexp_replace("text", "[^a-zA-Z ]", "").alias("text")
-    )
-    return hooks.run_completer(spread(docs), lambda texts: [t.upper() for t in texts])
+    docs = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return hooks.run_completer(spread(docs), lambda texts: [t if t is None else f"{t}|{t[::-1]}" for t in texts])
 
 
 # --- streaming ------------------------------------------------------------
