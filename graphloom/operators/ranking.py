@@ -11,8 +11,8 @@ from graphloom.session import cut_lineage
 SLICE = 1 << 21
 
 
-def _before(rows: DataFrame, groups: list[str], order: str, value: str, agg, out: str, width: int) -> DataFrame:
-    """``agg`` of ``value`` over the earlier rows of the group, null for the first.
+def over_earlier(rows: DataFrame, groups: list[str], order: str, value: str, agg, out: str, width: int) -> DataFrame:
+    """``agg`` (``F.sum`` or ``F.max``) of ``value`` over the earlier rows of the group, null for the first.
 
     Earlier blocks of ``width`` order values are combined first, then the rows of
     the own block, so a task sees one block or one row per block.
@@ -42,7 +42,7 @@ def running_index(df: DataFrame, groups: list[str], order: str, out: str, width:
     """
     sliced = df.withColumn("_slice", F.floor(F.col(order) / width))
     sizes = sliced.groupBy(*groups, "_slice").agg(F.count("*").alias("_n"))
-    offsets = _before(sizes, groups, "_slice", "_n", F.sum, "_offset", width).drop("_n")
+    offsets = over_earlier(sizes, groups, "_slice", "_n", F.sum, "_offset", width).drop("_n")
     inside = Window.partitionBy(*groups, "_slice").orderBy(order)
     return (
         sliced.join(offsets, [*groups, "_slice"])
@@ -55,7 +55,7 @@ def previous_value(df: DataFrame, groups: list[str], order: str, out: str, width
     """The next smaller value of an integer column in the group, null for the first; sliced as above."""
     sliced = df.withColumn("_slice", F.floor(F.col(order) / width))
     tops = sliced.groupBy(*groups, "_slice").agg(F.max(order).alias("_top"))
-    links = _before(tops, groups, "_slice", "_top", F.max, "_last", width).drop("_top")
+    links = over_earlier(tops, groups, "_slice", "_top", F.max, "_last", width).drop("_top")
     inside = Window.partitionBy(*groups, "_slice").orderBy(order)
     return (
         sliced.join(links, [*groups, "_slice"])

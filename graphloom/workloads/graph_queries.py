@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from graphloom import rules as R
-from graphloom.operators import causal, components, graph, keywords, ordering, reach
+from graphloom.operators import causal, components, graph, keywords, ordering, reach, reach_index
 from graphloom.operators.ranking import sorted_index
 from graphloom.plans.whole_graph import GlobalAnalysis
 from graphloom.sources.documents import read_documents
@@ -270,10 +270,9 @@ def top_3(spark, d):
     return causal.missing_causal_edges(*market(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query("jn_12_missing_causal_edges", f"{MARKET}, {_MISSING.format(k=5000)} SELECT source, target, round(score, 6) AS score FROM firsts")
+@query("jn_12_missing_causal_edges", f"{MARKET}, {_MISSING.replace('LIMIT {k}', '')} SELECT eid1 AS eid, count(*) AS missing FROM firsts GROUP BY eid1")
 def jn_12(spark, d):
-    found = causal.missing_causal_edges(*market(spark, d), limit=5000)
-    return found.select("source", "target", F.round("score", 6).alias("score"))
+    return causal.missing_causal_counts(*market(spark, d))
 
 
 _LINKED = "EXISTS (SELECT 1 FROM edg WHERE source = a.name AND target = b.name)"
@@ -290,12 +289,27 @@ def jn_12_ranges(spark, d):
     return ranges
 
 
+_PROFILES = f"""{_SETS}, prof AS (SELECT eid, name, s, nc, min(eid) OVER (PARTITION BY list_sort(s)) AS p FROM sets WHERE nc < 2),
+met AS (SELECT a.eid AS eid1, b.eid AS eid2, least(a.p, b.p) AS profile1, greatest(a.p, b.p) AS profile2, {_SCORE} AS score, {_LINKED} AS linked
+FROM prof a JOIN prof b ON a.eid <> b.eid WHERE a.nc + b.nc < 2 AND {_SCORE} > 0.3::DOUBLE)"""
+
+
 @query(
     "jn_12_all_missing_causal_pairs",
-    f"{MARKET}, {_SETS} SELECT a.eid AS eid1, b.eid AS eid2, a.name AS source, b.name AS target, round({_SCORE}, 6) AS score FROM sets a JOIN sets b ON a.eid <> b.eid WHERE a.nc + b.nc < 2 AND {_SCORE} > 0.3::DOUBLE AND NOT {_LINKED}",
+    f"{MARKET}, {_PROFILES} SELECT profile1, profile2, round(max(score), 6) AS score, count(*) AS missing FROM met WHERE NOT linked GROUP BY profile1, profile2",
 )
 def jn_12_pairs(spark, d):
-    return causal.missing_causal_pairs(*market(spark, d)).withColumn("score", F.round("score", 6))
+    return causal.missing_causal_profiles(*market(spark, d))[0].withColumn("score", F.round("score", 6))
+
+
+@query("jn_12_all_missing_causal_members", f"{MARKET}, {_PROFILES} SELECT eid, p AS profile FROM prof")
+def jn_12_members(spark, d):
+    return causal.missing_causal_profiles(*market(spark, d))[1]
+
+
+@query("jn_12_linked_causal_pairs", f"{MARKET}, {_PROFILES} SELECT eid1, eid2 FROM met WHERE linked")
+def jn_12_linked(spark, d):
+    return causal.missing_causal_profiles(*market(spark, d))[2]
 
 
 # --- structure ------------------------------------------------------------
@@ -392,6 +406,11 @@ def grf_5(spark, d):
     return _gap_columns(reach.transitive_gaps(*star(spark, d), limit=None))
 
 
+@query("grf_5_gap_counts", f"{STAR}, {_GAPS.replace('LIMIT {k}', '')} SELECT eid1 AS eid, count(*) AS gaps FROM gaps GROUP BY eid1")
+def grf_5_counts(spark, d):
+    return reach_index.gap_counts(*star(spark, d))
+
+
 @query("top_4_first_transitive_gaps", f"{STAR}, {_GAPS.format(k=5)} SELECT * FROM gaps")
 def top_4(spark, d):
     return _gap_columns(reach.transitive_gaps(*star(spark, d)))

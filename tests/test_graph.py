@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import rules as R
-from graphloom.operators import causal, components, detail, graph, keywords, ordering, pairs, ranking, reach
+from graphloom.operators import causal, components, detail, graph, keywords, ordering, pairs, ranking, reach, reach_index
 from graphloom.operators.mentions import entity_mentions
 from graphloom.plans.whole_graph import GlobalAnalysis
 
@@ -140,6 +140,43 @@ def test_transitive_gaps(spark, seed):
         assert len(path) == r.path_length and all(b in nxt[a] for a, b in zip(path, path[1:]))
 
 
+def reached_pairs(members, ranges):
+    of = {r.node: [] for r in members.collect()}
+    for r in ranges.collect():
+        of[r.node].append((r.from_rank, r.to_rank))
+    at = {r["rank"]: r.name for r in members.collect()}
+    return [(r.name, at[k]) for r in members.collect() for lo, hi in of[r.node] for k in range(lo, hi + 1)]
+
+
+@pytest.mark.parametrize("seed,n,m", [(22, 30, 50)])
+def test_reach_index(spark, seed, n, m):
+    rnd = random.Random(seed)
+    links = random_links(seed, n, m)
+    # a hub with ways in and out, a long tail behind it, and names that are no entity
+    links += [("n03", f"h{i}") for i in range(20)] + [(f"h{i}", f"h{i + 1}") for i in range(0, 18, 3)] + [("x1", "n03"), ("h4", "x2"), ("x2", "n05")]
+    names = [f"n{i:02d}" for i in range(n)] + [f"h{i}" for i in range(20)] + ["alone"]
+    rnd.shuffle(names)
+    entities, edges = entity_table(spark, names), edge_table(spark, links)
+    known = set(names)
+    want = {(a, b) for a, b in closure(links) if a in known and b in known} | {(a, a) for a in names}
+    members, ranges = reach_index.reach_index(entities, edges)
+    got = reached_pairs(members, ranges)
+    assert len(got) == len(set(got)) and set(got) == want
+    gaps = Counter(a for a, b in want if a != b and (a, b) not in links)
+    assert {names[r.eid]: r.gaps for r in reach_index.gap_counts(entities, edges).collect()} == dict(gaps)
+
+
+def test_reach_index_of_long_chains_and_no_edges(spark):
+    names = [f"n{i:04d}" for i in range(3000)]
+    members, ranges = reach_index.reach_index(entity_table(spark, names), edge_table(spark, list(zip(names, names[1:]))))
+    assert ranges.count() == 3000
+    assert [r.name for r in members.orderBy("rank").collect()] == names
+    empty = edge_table(spark, [])
+    assert reach_index.gap_counts(entity_table(spark, "ab"), empty).count() == 0
+    members, ranges = reach_index.reach_index(entity_table(spark, []), empty)
+    assert members.count() == ranges.count() == 0
+
+
 def test_category_gaps(spark):
     links = random_links(8)
     names = [f"n{i:02d}" for i in range(14)]
@@ -273,6 +310,41 @@ def test_all_missing_causal_edges(spark, seed):
     assert len(want) > 5000 and len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("rows_of_a_token", [4096, 3])
+def test_missing_causal_profiles(spark, monkeypatch, rows_of_a_token):
+    monkeypatch.setattr(causal, "TOKEN_ROWS", rows_of_a_token)
+    rnd = random.Random(18)
+    words = ["因为", "结果", "甲乙", "丙丁", "戊己", "庚辛", "壬癸"]
+    # a third of all entities have the same tokens
+    texts = ["甲乙 丙丁"] * 30 + [" ".join(rnd.sample(words, rnd.randint(1, 4))) for _ in range(57)] + ["", "因为", "因为 结果"]
+    names = [f"{chr(0x3400 + i)}" for i in range(len(texts))]
+    links = [(rnd.choice(names), rnd.choice(names)) for _ in range(400)] + [(names[0], names[1])] * 2
+    e = entity_table(spark, names, texts)
+    tokens = {r.eid: set(r.tokens) for r in causal.token_sets(e).collect()}
+    causes = {i: len(s & set(R.CAUSAL_WORDS)) for i, s in tokens.items()}
+    score = {
+        (i, j): min(1.0, (causes[i] + causes[j]) * 0.3 + len(tokens[i] & tokens[j]) / (len(tokens[i] | tokens[j]) + 1) * 0.7)
+        for i, j in itertools.permutations(tokens, 2)
+    }
+    want = {p for p, s in score.items() if s > 0.3 and (names[p[0]], names[p[1]]) not in links}
+    few = {p for p in want if causes[p[0]] + causes[p[1]] < 2}
+    edges = edge_table(spark, links)
+    pairs, members, linked = causal.missing_causal_profiles(e, edges)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.profile, []).append(r.eid)
+    barred = {tuple(r) for r in linked.collect()}
+    got = set()
+    for r in pairs.collect():
+        mine = {p for a in of[r.profile1] for b in of[r.profile2] for p in ((a, b), (b, a)) if a != b and p not in barred}
+        assert len(mine) == r.missing and all(round(score[p], 9) == round(r.score, 9) for p in mine)
+        assert not mine & got
+        got |= mine
+    assert got == few and len(few) > 800
+    counts = {r.eid: r.missing for r in causal.missing_causal_counts(e, edges).collect()}
+    assert counts == Counter(a for a, _ in want)
+
+
 def test_triangles(spark):
     links = random_links(13, 10, 30)
     und = {frozenset(x) for x in links if x[0] != x[1]}
