@@ -11,6 +11,7 @@ from graphloom.operators.quality import assess_quality
 from graphloom.operators.triples import merge_triples, rule_triples
 from graphloom.rules import RulePack
 from graphloom.sources.documents import reject_reason
+from graphloom.sources.graph_table import GraphTable
 
 COLUMNS = "head string, relation string, tail string, confidence double, seq bigint, batch bigint"
 
@@ -54,3 +55,16 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
 def stream_relation_counts(triples: DataFrame) -> DataFrame:
     """Running count and mean confidence per relation, for update or complete mode."""
     return triples.groupBy("relation").agg(F.count("*").alias("n"), F.avg("confidence").alias("avg_confidence"))
+
+
+def merge_stream(triples: DataFrame, path: str, checkpoint: str, buckets: int = 64, first_batch: int = 0, **trigger) -> StreamingQuery:
+    """Merge every micro-batch into a ``GraphTable``; its statistics are those of the merged graph.
+
+    A stream with a checkpoint of its own counts its batches from 0, so one that
+    goes on with an existing table starts at a ``first_batch`` above its last.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        GraphTable(batch.sparkSession, path, buckets).merge(batch, first_batch + batch_id)
+
+    return triples.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()

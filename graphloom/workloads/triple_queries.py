@@ -11,6 +11,7 @@ from graphloom.operators.graph import collapse_undirected, neighbour_preview, un
 from graphloom.plans import report
 from graphloom.session import run_dir, spread
 from graphloom.sources import graph_json, relational
+from graphloom.sources.graph_table import GraphTable
 from graphloom.streaming import incremental
 from graphloom.workloads import sql_text as q
 from graphloom.workloads.registry import query
@@ -214,6 +215,20 @@ def snk_3(spark, d):
     return tr.relation_counts(spark.read.schema(rows.schema).parquet(path))
 
 
+@query(
+    "snk_3_graph_table",
+    f"SELECT relation, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM (SELECT head, relation, tail, max(confidence) AS confidence FROM ({TRIP}) t GROUP BY ALL) m GROUP BY ALL",
+)
+def snk_3_table(spark, d):
+    # the first batch knows less of every triple; the second raises them, the third changes nothing
+    rows = triples(spark, d)
+    graph = GraphTable(spark, run_dir(spark, "table"), 16)
+    graph.merge(rows.withColumn("confidence", F.col("confidence") / 2), 0)
+    for batch in (1, 2):
+        graph.merge(rows, batch)
+    return graph.relation_statistics().withColumn("avg_confidence", F.round("avg_confidence", 6))
+
+
 # --- aggregates and reports -----------------------------------------------
 
 @query(
@@ -510,3 +525,19 @@ def str_1_counts(spark, d):
     writer = counts.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", f"{path}/progress")
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/table").withColumn("avg_confidence", F.round("avg_confidence", 6))
+
+
+@query(
+    "str_1_statistics_follow",
+    f"""{_REPAIRED}, merged AS (SELECT head, relation, tail, max(confidence) AS confidence FROM ({q.rule_triples('SELECT * FROM done', R.LATIN)}) t GROUP BY ALL)
+SELECT (SELECT count(DISTINCT e) FROM (SELECT unnest([head, tail]) AS e FROM merged) x) AS total_entities, count(DISTINCT relation) AS total_relations,
+count(*) AS total_triples, round(avg(confidence), 6) AS average_confidence FROM merged""",
+)
+def str_1_statistics(spark, d):
+    path = run_dir(spark, "follow")
+    docs = spark.readStream.schema(schemas.DOCUMENTS).option("pathGlobFilter", "documents.parquet").parquet(d)
+    found = incremental.stream_triples(docs, R.LATIN)
+    # the second run brings every document once more
+    for first in (0, 1_000_000):
+        incremental.merge_stream(found, f"{path}/graph", f"{path}/progress-{first}", 16, first, availableNow=True).awaitTermination()
+    return GraphTable(spark, f"{path}/graph").statistics().withColumn("average_confidence", F.round("average_confidence", 6))

@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from graphloom.operators import triples as tr
 from graphloom.operators.graph import collapse_undirected, undirected_degrees
 from graphloom.plans import report
 from graphloom.sources import graph_json
+from graphloom.sources.graph_table import GraphTable
 from graphloom.streaming import incremental
 from graphloom.session import run_dir, work_dir
 
@@ -147,3 +150,71 @@ def test_statistics_of_an_empty_graph(spark):
     empty = spark.createDataFrame([], "doc_id bigint, seq bigint, head string, relation string, tail string, confidence double")
     s = tr.graph_statistics(empty, empty.select(F.col("head").alias("name"))).first()
     assert (s.total_entities, s.total_triples, s.average_confidence) == (0, 0, 0.0)
+
+
+def test_graph_table_follows_the_merged_graph(spark, tmp_path):
+    rng = random.Random(5)
+    columns = "head string, relation string, tail string, confidence double, seq bigint"
+
+    def some(n):
+        score = lambda: rng.choice([None, 0.25, 0.5, 0.75, 1.0])
+        return [(f"h{rng.randrange(20)}", f"r{rng.randrange(3)}", f"t{rng.randrange(20)}", score(), i) for i in range(n)]
+
+    batches = [some(80), some(200), [(None, "r0", "t", 0.5, 0), ("h", None, "t", 0.5, 0)], [], some(150)]
+    batches.append(batches[0])
+    table = GraphTable(spark, str(tmp_path / "graph"), 4)
+    assert table.statistics().first().total_triples == 0 and table.relation_statistics().count() == 0
+    seen = []
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, columns)
+        table.merge(df, i)
+        if i in (1, 5):
+            # a batch that ran before
+            table.merge(df, i)
+        seen += rows
+        want = tr.merge_triples(spark.createDataFrame(seen, columns).dropna(subset=["head", "relation", "tail"]), (), "seq")
+        again = GraphTable(spark, str(tmp_path / "graph"), 99)
+        assert again.buckets == 4
+        assert sorted(map(repr, again.graph().select(want.columns).collect())) == sorted(map(repr, want.collect()))
+        names = spark.createDataFrame([], "name string")
+        assert again.statistics().collect() == tr.graph_statistics(want, names).collect()
+        means = want.groupBy("relation").agg(F.count("*").alias("n"), F.avg("confidence").alias("avg_confidence"))
+        assert sorted(again.relation_statistics().collect()) == sorted(means.collect())
+    # the last batch brought nothing new
+    assert spark.table(table.triples).filter("batch = 5").count() == 0
+    small = table.compact(str(tmp_path / "compact"))
+    assert small.statistics().collect() == table.statistics().collect()
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(table.graph())
+    conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # the batch is merged and sent to the buckets; the stored side stays where it is
+        moved = re.findall(r"Exchange .*?(ENSURE_REQUIREMENTS|REPARTITION_BY_NUM)", plan(table.changes(spark.createDataFrame(batches[0], columns), 9)))
+        assert moved == ["REPARTITION_BY_NUM", "ENSURE_REQUIREMENTS"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
+
+
+def test_graph_table_outlives_its_catalog(spark, tmp_path):
+    path = str(tmp_path / "graph")
+    table = GraphTable(spark, path, 3)
+    table.merge(spark.createDataFrame([("a", "r", "b", 0.5, 0)], "head string, relation string, tail string, confidence double, seq bigint"), 0)
+    for name in (table.triples, table.names):
+        spark.sql(f"DROP TABLE {name}")
+    assert [tuple(r) for r in GraphTable(spark, path).graph().collect()] == [("a", "r", "b", 0.5, 0)]
+
+
+def test_stream_statistics_of_repeated_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"张三担任经理。李四位于北京{i % 3}") for i in range(9)], "doc_id bigint, text string")
+    source, out = str(tmp_path / "docs"), str(tmp_path / "graph")
+    for _ in range(3):
+        docs.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    incremental.merge_stream(incremental.stream_triples(stream), out, str(tmp_path / "progress"), 4, availableNow=True).awaitTermination()
+    merged = tr.merge_triples(incremental.stream_triples(docs), (), "seq")
+    assert merged.count() > 1
+    table = GraphTable(spark, out)
+    assert table.statistics().collect() == tr.graph_statistics(merged, spark.createDataFrame([], "name string")).collect()
+    assert spark.table(table.triples).select("batch").distinct().count() == 1
