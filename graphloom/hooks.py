@@ -11,6 +11,8 @@ from graphloom.operators.facts import query_fact, verify_fact
 
 # texts -> (entity lines, triple lines) per text
 Extractor = Callable[[list[str]], list[tuple[str, str]]]
+# texts -> texts
+Completer = Callable[[list[str]], list[str]]
 
 
 def run_extractor(docs: DataFrame, extract: Extractor, text: str = "text", batch: int = 64) -> DataFrame:
@@ -49,10 +51,11 @@ def run_extractor(docs: DataFrame, extract: Extractor, text: str = "text", batch
     return docs.mapInPandas(run, schema)
 
 
-def run_completer(docs: DataFrame, complete: Callable[[list[str]], list[str]], text: str = "text") -> DataFrame:
+def run_completer(docs: DataFrame, complete: Completer, text: str = "text", only: str | None = None) -> DataFrame:
     """Replace the text by what a batched completion function returns; off unless called.
 
     A failing batch is tried again text by text; a text that fails stays as it is.
+    With ``only``, a boolean column, the function sees the rows where it is true.
     """
 
     def one(t: str) -> str:
@@ -72,7 +75,10 @@ def run_completer(docs: DataFrame, complete: Callable[[list[str]], list[str]], t
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(**{text: answers(frame[text].tolist())})
+            texts = frame[text].astype("object").copy()
+            asked = [True] * len(frame) if only is None else [v is True or v == True for v in frame[only]]  # noqa: E712
+            texts[asked] = pd.Series(answers(texts[asked].tolist()), index=texts[asked].index, dtype="object")
+            yield frame.assign(**{text: texts})
 
     return docs.mapInPandas(run, docs.schema)
 

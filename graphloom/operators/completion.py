@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom import rules as R
 from graphloom.functions import scores, text as tx
-from graphloom.operators.facts import verify_fact
+from graphloom.hooks import Completer, KnowledgeBase, run_completer
 from graphloom.rules import RulePack
 from graphloom.session import compute_once
+from graphloom.sources.facts import conflict_rules, default_facts
 
 
-def verified_rules(rules: DataFrame, facts: DataFrame) -> DataFrame:
+def verified_rules(rules: DataFrame, facts: DataFrame | KnowledgeBase) -> DataFrame:
     """Conflict rules the facts disprove, with the right object and the message to report."""
-    checked = verify_fact(rules, facts, "subject", "predicate", "wrong_object")
+    base = facts if isinstance(facts, KnowledgeBase) else KnowledgeBase(facts)
+    checked = base.verify(rules, "subject", "predicate", "wrong_object")
     wrong = checked.filter(~F.col("check.is_correct") & F.col("check.correct_value").isNotNull())
     return wrong.select(
         "rule_id",
@@ -99,21 +101,29 @@ def complete_knowledge(
     pack: RulePack = R.ZH,
     text: str = "text",
     rules: DataFrame | None = None,
-    facts: DataFrame | None = None,
+    facts: DataFrame | KnowledgeBase | None = None,
     key: str = "doc_id",
+    completer: Completer | None = None,
+    only: str | None = None,
 ) -> DataFrame:
     """Add ``enhanced_data``, ``completions``, ``corrections``, ``confidence`` and ``changed``.
 
     Needs the ``issues`` column of ``assess_quality``. Steps in order: conflict
-    corrections by rule id, format, implicit notes, confidence. With the pack's
-    own rules the plan is map-only; a table of rules is joined (``match_rules``).
+    corrections by rule id, format, implicit notes, confidence, and last the text
+    as ``completer`` returns it (for the rows where the column ``only`` is true).
+    ``rules`` default to the pack's, ``facts`` (a table or a ``KnowledgeBase``) to
+    the known ones. With neither given the plan is map-only; otherwise the rules
+    are verified against the facts and joined (``match_rules``).
     """
     issues = F.col("issues")
     conflicted = tx.any_issue_with(issues, R.CONFLICT_WORD)
-    if rules is None:
+    if rules is None and facts is None:
         fixed = _correct_with_literals(docs, _packed_rules(pack), conflicted, text)
     else:
-        fixed = _correct_with_table(docs, verified_rules(rules, facts), conflicted, text, key)
+        spark = docs.sparkSession
+        table = conflict_rules(spark, pack.conflicts) if rules is None else rules
+        known = default_facts(spark) if facts is None else facts
+        fixed = _correct_with_table(docs, verified_rules(table, known), conflicted, text, key)
 
     t = F.col("_fixed")
     reformat = tx.any_issue_with(issues, R.FORMAT_WORD)
@@ -125,6 +135,8 @@ def complete_knowledge(
         ).alias("corrections"),
     )
     noted = shaped.withColumn("completions", tx.implicit_notes(F.col("enhanced_data"), pack))
+    if completer is not None:
+        noted = run_completer(noted, completer, "enhanced_data", only)
     return noted.select(
         *docs.columns,
         "enhanced_data",
@@ -138,7 +150,8 @@ def complete_knowledge(
 def complete_failing(assessed: DataFrame, pack: RulePack = R.ZH, text: str = "text", **kwargs) -> DataFrame:
     """``complete_knowledge`` for rows under the gate; rows that pass keep their text and get nulls."""
     gate = F.col("is_high_quality")
-    done = complete_knowledge(assessed, pack, text, **kwargs)
+    failing = assessed.withColumn("_failing", ~gate)
+    done = complete_knowledge(failing, pack, text, only="_failing", **kwargs)
     return done.select(
         *assessed.columns,
         F.when(gate, F.col(text)).otherwise(F.col("enhanced_data")).alias("processed_text"),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from graphloom import rules as R
 from graphloom.functions.classify import entity_class, good_type_pair
 from graphloom.functions import scores
+from graphloom.hooks import Extractor, run_extractor
 from graphloom.operators.completion import complete_failing
 from graphloom.operators.quality import assess_quality
 from graphloom.operators.triples import build_graph
@@ -74,13 +75,26 @@ def extract_from_responses(processed: DataFrame) -> DataFrame:
     return build_graph(processed, "processed_text")
 
 
-def documents_to_graph(docs: DataFrame, pack: RulePack = R.ZH, threshold: float = 0.5, responses: bool = False, **completion) -> DataFrame:
+def documents_to_graph(
+    docs: DataFrame,
+    pack: RulePack = R.ZH,
+    threshold: float = 0.5,
+    responses: bool = False,
+    extractor: Extractor | None = None,
+    **completion,
+) -> DataFrame:
     """Assess, repair, extract, score: one row per document with its graph and a ``reject_reason``.
 
-    The whole plan is map-only: no shuffle between a document and its triples.
+    Extraction is by the pack's rules, from the ``responses`` in the row, or by an
+    ``extractor`` that is asked about the repaired texts; a text it fails on is
+    rejected with the failure as the reason. The whole plan is map-only: no
+    shuffle between a document and its triples.
     """
     processed = processed_documents(docs, pack, threshold, **completion)
-    built = extract_from_responses(processed) if responses else extract_by_rules(processed, pack)
+    if extractor is not None:
+        built = extract_from_responses(run_extractor(processed, extractor, "processed_text"))
+    else:
+        built = extract_from_responses(processed) if responses else extract_by_rules(processed, pack)
     error = F.col("error") if "error" in built.columns else None
     return built.withColumn("reject_reason", reject_reason(F.col("text"), F.size("entities"), F.size("triples"), error))
 

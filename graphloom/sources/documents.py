@@ -7,20 +7,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from graphloom import rules as R
 from graphloom.functions import text as tx
 from graphloom.session import spread
+from graphloom.sources.places import with_place
 
 
-def read_documents(spark: SparkSession, path: str, fmt: str = "parquet", key: str = "doc_id", text: str = "text") -> DataFrame:
+def read_documents(
+    spark: SparkSession, path: str, fmt: str = "parquet", key: str = "doc_id", text: str = "text", key_type: str = "bigint"
+) -> DataFrame:
     """(doc_id, text) from parquet, orc, JSON lines, CSV or text files.
 
-    Only the two columns are read. Text files hold one document per line and get
-    an id from file position.
+    Only the two columns are read; ``key_type`` is any Spark type. Text files hold
+    one document per line, whose string id is the file and the line's number in it.
     """
     if fmt == "text":
-        return spark.read.text(path).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
+        return with_place(spark.read.text(path), "doc_id").select("doc_id", F.col("value").alias("text"))
     reader = spark.read.option("header", True).option("multiLine", True) if fmt == "csv" else spark.read
     if fmt in ("csv", "json"):
-        reader = reader.schema(f"`{key}` bigint, `{text}` string")
-    return spread(reader.format(fmt).load(path).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
+        reader = reader.schema(f"`{key}` {key_type}, `{text}` string")
+    return spread(reader.format(fmt).load(path).select(F.col(key).cast(key_type).alias("doc_id"), F.col(text).alias("text")))
 
 
 def reject_reason(text: Column, n_entities: Column | None = None, n_triples: Column | None = None, error: Column | None = None) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom import schemas
+from graphloom.sources.places import with_place
 
 
 def read_graph_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """One row per graph file (``multi_line``) or per line, keyed by its place."""
-    raw = spark.read.schema(schemas.GRAPH_JSON).option("multiLine", multi_line).json(path)
-    return raw.select(F.concat_ws("#", F.input_file_name(), F.monotonically_increasing_id()).alias("graph_id"), "*")
+    """One row per graph file (``multi_line``) or per line, keyed by the file and the graph's number in it."""
+    return with_place(spark.read.schema(schemas.GRAPH_JSON).option("multiLine", multi_line).json(path), "graph_id")
 
 
 def parse_graph_json(df: DataFrame, column: str) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom import rules as R
+from graphloom import rules as R, schemas
 from graphloom.functions import text as tx
+from graphloom.hooks import KnowledgeBase
 from graphloom.operators import completion, facts as fc
 from graphloom.operators.quality import assess_quality, drop_blank
 from graphloom.plans.documents_to_graph import document_reports, documents_to_graph, refine
@@ -254,6 +255,28 @@ def pipe_2(spark, d):
     return _completed_columns(completion.complete_knowledge(assessed, rules=conflict_rules(spark), facts=default_facts(spark)))
 
 
+def _country(misses):
+    # a stand-in for a look-up service: the countries of the default facts
+    known = {s: o for s, relation, o in R.FACTS if relation == "country"}
+    return misses["subject"].map(known.get)
+
+
+@query("udf_2_completion_base", f"WITH {q.completed(q.ZH)} SELECT {_COMPLETED} FROM completed")
+def udf_2_completion(spark, d):
+    # no fact is stored: every verdict on a rule comes from the look-up
+    base = KnowledgeBase(spark.createDataFrame([], schemas.FACTS), _country)
+    return _completed_columns(completion.complete_knowledge(assess_quality(zh(spark, d)), facts=base))
+
+
+@query(
+    "udf_4_completion_model",
+    f"WITH {q.completed(q.ZH)} SELECT doc_id, CASE WHEN is_high_quality THEN text ELSE enhanced_data || '|' || reverse(enhanced_data) END AS processed_text FROM completed",
+)
+def udf_4_completion(spark, d):
+    model = lambda texts: [f"{t}|{t[::-1]}" for t in texts]
+    return completion.complete_failing(assess_quality(zh(spark, d)), completer=model).select("doc_id", "processed_text")
+
+
 # --- documents to graph ---------------------------------------------------
 
 _PROCESSED = f"WITH {q.completed(q.ZH)}, done AS (SELECT doc_id, text, is_high_quality, CASE WHEN is_high_quality THEN text ELSE enhanced_data END AS processed FROM completed)"
@@ -269,6 +292,26 @@ def pipe_4(spark, d):
     return graphs.select("doc_id", F.inline("triples")).withColumn("confidence", F.round("confidence", 6))
 
 
+def _first_and_last(texts):
+    # a stand-in for a model: links a text's first two characters to its last two, and refuses some texts
+    if any("HELLO" in t for t in texts):
+        raise ValueError("refused")
+    return [(f"{t[:2]}|Person\n{t[-2:]}|Location", f"({t[:2]}, 连到, {t[-2:]})\nnone") for t in texts]
+
+
+@query(
+    "udf_1_extractor_to_graph",
+    f"""{_PROCESSED}, asked AS (SELECT doc_id, CASE WHEN NOT {q.not_blank('text')} THEN {q.lit(R.REJECT_BLANK)} WHEN contains(processed, 'HELLO') THEN 'ValueError: refused' END AS reject_reason,
+  CASE WHEN contains(processed, 'HELLO') THEN '' ELSE {q.strip('left(processed, 2)')} END AS head, CASE WHEN contains(processed, 'HELLO') THEN '' ELSE {q.strip('right(processed, 2)')} END AS tail FROM done),
+found AS (SELECT *, head <> '' AND tail <> '' AS found, head <> tail AS apart FROM asked)
+SELECT doc_id, reject_reason, CASE WHEN found THEN head END AS head, CASE WHEN found THEN '连到' END AS relation, CASE WHEN found THEN tail END AS tail,
+CASE WHEN found THEN 0.95::DOUBLE + CASE WHEN apart THEN 0.05 ELSE 0 END END AS confidence FROM found""",
+)
+def udf_1_graph(spark, d):
+    graphs = documents_to_graph(zh(spark, d), extractor=_first_and_last)
+    return graphs.select("doc_id", "reject_reason", F.inline_outer("triples")).withColumn("confidence", F.round("confidence", 6))
+
+
 _OUTCOME = f"""{_PROCESSED}, tr AS ({_RULE_TRIPLES}), n AS (SELECT doc_id, count(*) AS k FROM tr GROUP BY 1),
 outcome AS (SELECT done.doc_id, CASE WHEN NOT {q.not_blank('text')} THEN {q.lit(R.REJECT_BLANK)} WHEN k IS NULL THEN {q.lit(R.REJECT_NOTHING_FOUND)} END AS reason
   FROM done LEFT JOIN n USING (doc_id))"""

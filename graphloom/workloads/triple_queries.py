@@ -42,6 +42,11 @@ SELECT c_custkey, 0 AS eid, c_name AS name, 'account' AS type, c_mktsegment AS d
 UNION ALL SELECT c_custkey, 1, 'N' || c_nationkey, 'unknown', NULL FROM customer) x""",
 )
 def src_2(spark, d):
+    entities = graph_json.graph_entities(graph_json.parse_graph_json(_customer_graphs(spark, d), "json"))
+    return entities.select("graph_id", "eid", "name", "type", F.try_element_at("attributes", F.lit("描述")).alias("descr"))
+
+
+def _customer_graphs(spark, d):
     # every customer row as a graph text with a repeated entity, the later one winning
     quoted = lambda *c: F.concat(F.lit('"'), *c, F.lit('"'))
     text = F.concat(
@@ -49,9 +54,33 @@ def src_2(spark, d):
         F.lit('},{"name":'), quoted("c_name"), F.lit(',"type":"account","attributes":{"描述":'), quoted("c_mktsegment"),
         F.lit('}}],"relations":[{"name":"in","source":'), quoted("c_name"), F.lit(',"target":'), quoted(F.lit("N"), "c_nationkey"), F.lit("}]}"),
     )
-    raw = table(spark, d, "customer").select(F.col("c_custkey").alias("graph_id"), text.alias("json"))
-    entities = graph_json.graph_entities(graph_json.parse_graph_json(raw, "json"))
-    return entities.select("graph_id", "eid", "name", "type", F.try_element_at("attributes", F.lit("描述")).alias("descr"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("graph_id"), text.alias("json"))
+
+
+@query(
+    "src_2_graph_json_edges",
+    "SELECT c_custkey AS graph_id, 0::BIGINT AS rid, 'in' AS name, c_name AS source, 'N' || c_nationkey AS target, 'unknown' AS type, 0 AS n_attributes FROM customer",
+)
+def src_2_edges(spark, d):
+    edges = graph_json.graph_edges(graph_json.parse_graph_json(_customer_graphs(spark, d), "json"))
+    return edges.select("graph_id", "rid", "name", "source", "target", "type", F.size("attributes").alias("n_attributes"))
+
+
+@query(
+    "src_2_graph_json_files",
+    """SELECT count(*) AS graphs, count(DISTINCT c_custkey) AS ids, 3 * count(*) AS entities, count(*) AS edges FROM customer""",
+)
+def src_2_files(spark, d):
+    # the same graphs written as lines of files and read back: ids are places
+    path = run_dir(spark, "graphs")
+    _customer_graphs(spark, d).select("json").write.text(path)
+    graphs = graph_json.read_graph_json(spark, path, multi_line=False)
+    return graphs.agg(
+        F.count("*").alias("graphs"),
+        F.count_distinct("graph_id").alias("ids"),
+        F.sum(F.size("entities")).alias("entities"),
+        F.sum(F.size("relations")).alias("edges"),
+    )
 
 
 _ENT_LINES = f"""SELECT doc_id, rid, arg_max(type, pos) AS type, name FROM (

@@ -127,6 +127,8 @@ def test_sources_and_report_sink(spark, docs, tmp_path):
     for fmt, place in (("json", "j"), ("csv", "c"), ("orc", "o")):
         assert sorted(tuple(r) for r in read_documents(spark, f"{tmp_path}/{place}", fmt).collect()) == want
     assert sorted(r.text for r in read_documents(spark, f"{tmp_path}/t", "text").collect()) == sorted(t for _, t in want)
+    named = {r.text: r.doc_id for r in read_documents(spark, f"{tmp_path}/j", "json", key_type="string").collect()}
+    assert named == {t: str(i) for i, t in want}
     write_reports(document_reports(documents_to_graph(docs)), f"{tmp_path}/r")
     assert spark.read.json(f"{tmp_path}/r").count() == 16
 
@@ -136,3 +138,43 @@ def test_strip_matches_python(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     got = rows.select("t", tx.strip(F.col("t")).alias("s"), tx.not_blank(F.col("t")).alias("n")).collect()
     assert all(r.s == r.t.strip() and r.n == bool(r.t.strip()) for r in got)
+
+
+def test_places_do_not_depend_on_splits(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(500)))
+    (tmp_path / "empty.txt").write_text("")
+    default = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    try:
+        for size in (default, "700b", "64b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = read_documents(spark, str(tmp_path), "text").collect()
+            found.append(sorted((r.doc_id.rsplit("/", 1)[1], r.text) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", default)
+    assert found[0] == found[1] == found[2]
+    assert found[0] == sorted((f"{n}.txt#{i}", f"{n}{i}") for n in "ab" for i in range(500))
+
+
+def test_completion_takes_facts_and_a_model(spark):
+    rows = [(i, c[0], c[1]) for i, c in enumerate(CASES)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, issues array<string>")
+    # other facts, other corrections
+    moved = spark.createDataFrame([("巴黎", "country", "意大利")], "subject string, relation string, object string")
+    plain = {r.doc_id: r for r in completion.complete_knowledge(df).collect()}
+    other = {r.doc_id: r for r in completion.complete_knowledge(df, facts=moved).collect()}
+    assert any("意大利" in c for r in other.values() for c in r.corrections)
+    assert not any("法国" in c for r in other.values() for c in r.corrections)
+
+    def model(texts):
+        if any(t is None or "巴黎" in t for t in texts):
+            raise ValueError
+        return [t + "！" for t in texts]
+
+    asked = df.withColumn("ask", F.when(F.col("doc_id") == 0, None).otherwise(F.col("doc_id") > 1))
+    done = {r.doc_id: r for r in completion.complete_knowledge(asked, completer=model, only="ask").collect()}
+    for i, r in plain.items():
+        gets = i > 1 and "巴黎" not in r.enhanced_data
+        assert done[i].enhanced_data == r.enhanced_data + ("！" if gets else "")
+        assert (done[i].corrections, done[i].completions) == (r.corrections, r.completions)
