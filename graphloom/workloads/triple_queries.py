@@ -527,13 +527,18 @@ _REPAIRED = f"""WITH {q.completed(q.DOCS, R.LATIN)}, done AS (SELECT doc_id, CAS
   FROM completed WHERE {q.not_blank('text')})"""
 
 
+def _document_stream(spark, d):
+    # a pattern, since a stream takes a plain path for a folder: the table may be a file or a folder of files
+    return spark.readStream.schema(schemas.DOCUMENTS).parquet(f"{d}/documents.parque[t]")
+
+
 @query(
     "str_1_incremental_graph",
     f"{_REPAIRED} SELECT head, relation, tail, round(max(confidence), 6) AS confidence FROM ({q.rule_triples('SELECT * FROM done', R.LATIN)}) t GROUP BY ALL",
 )
 def str_1(spark, d):
     path = run_dir(spark, "stream")
-    docs = spark.readStream.schema(schemas.DOCUMENTS).option("pathGlobFilter", "documents.parquet").parquet(d)
+    docs = _document_stream(spark, d)
     found = incremental.stream_triples(docs, R.LATIN)
     incremental.append_stream(found, f"{path}/graph", f"{path}/progress", availableNow=True).awaitTermination()
     return incremental.current_graph(spark, f"{path}/graph").select("head", "relation", "tail", _r())
@@ -545,7 +550,7 @@ def str_1(spark, d):
 )
 def str_1_counts(spark, d):
     path = run_dir(spark, "counts")
-    docs = spark.readStream.schema(schemas.DOCUMENTS).option("pathGlobFilter", "documents.parquet").parquet(d)
+    docs = _document_stream(spark, d)
     counts = incremental.stream_relation_counts(incremental.stream_triples(docs, R.LATIN))
 
     def publish(table, _):
@@ -564,7 +569,7 @@ count(*) AS total_triples, round(avg(confidence), 6) AS average_confidence FROM
 )
 def str_1_statistics(spark, d):
     path = run_dir(spark, "follow")
-    docs = spark.readStream.schema(schemas.DOCUMENTS).option("pathGlobFilter", "documents.parquet").parquet(d)
+    docs = _document_stream(spark, d)
     found = incremental.stream_triples(docs, R.LATIN)
     # the second run brings every document once more
     for first in (0, 1_000_000):

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from graphloom import hooks
 from graphloom.operators import triples as tr
 from graphloom.operators.graph import collapse_undirected, undirected_degrees
@@ -218,3 +219,12 @@ def test_stream_statistics_of_repeated_documents(spark, tmp_path):
     table = GraphTable(spark, out)
     assert table.statistics().collect() == tr.graph_statistics(merged, spark.createDataFrame([], "name string")).collect()
     assert spark.table(table.triples).select("batch").distinct().count() == 1
+
+
+@pytest.mark.parametrize("name", ["str_1_incremental_graph", "str_1_running_relation_counts", "str_1_statistics_follow"])
+def test_streams_read_tables_that_are_folders(spark, tmp_path, name):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    run = entry.queries()[name]
+    got, want = (sorted(map(tuple, run(spark, d).collect())) for d in (str(tmp_path), "/root/testdata/sf0.001"))
+    assert got == want and any(got[0])
