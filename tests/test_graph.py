@@ -345,6 +345,19 @@ def test_missing_causal_profiles(spark, monkeypatch, rows_of_a_token):
     assert counts == Counter(a for a, _ in want)
 
 
+def test_causal_queries_do_not_list_the_pairs_of_one_shared_description(spark):
+    # unique names and one description: as many sets of tokens as entities, one class
+    n = 20_000
+    e = spark.range(n).selectExpr("id AS eid", "concat('n', id) AS name", "'t' AS type", "map('d', '甲乙丙丁') AS attributes")
+    edges = spark.range(n - 1).selectExpr("id AS rid", "'r' AS name", "concat('n', id) AS source", "concat('n', id + 1) AS target")
+    profiles, classes = causal._token_classes(causal._few_causal(e, R.CAUSAL_WORDS, causal.tx.tokens))
+    assert profiles.count() == n and classes.count() == 1
+    counts = causal.missing_causal_counts(e, edges).groupBy("missing").count().collect()
+    assert {tuple(r) for r in counts} == {(n - 2, n - 1), (n - 1, 1)}
+    assert causal.linked_causal_pairs(e, edges).count() == n - 1
+    assert causal.causal_members(e).filter("eid = profile").count() == n
+
+
 def test_triangles(spark):
     links = random_links(13, 10, 30)
     und = {frozenset(x) for x in links if x[0] != x[1]}
