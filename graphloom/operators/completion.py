@@ -8,7 +8,7 @@ from graphloom import rules as R
 from graphloom.functions import scores, text as tx
 from graphloom.hooks import Completer, KnowledgeBase, run_completer
 from graphloom.rules import RulePack
-from graphloom.session import compute_once
+from graphloom.session import compute_once, stored
 from graphloom.sources.facts import conflict_rules, default_facts
 
 
@@ -67,7 +67,6 @@ def match_rules(docs: DataFrame, verified: DataFrame, text: str = "text", key: s
     cannot match. Exact for subjects of any length: one-character subjects use
     the single characters.
     """
-    keyed = verified.withColumn("_gram", F.substring("subject", 1, 2))
     t = F.col(text)
     grams = F.array_distinct(
         F.concat(
@@ -75,10 +74,13 @@ def match_rules(docs: DataFrame, verified: DataFrame, text: str = "text", key: s
             F.regexp_extract_all(t, F.lit("(?s)(.)"), F.lit(1)),
         )
     )
-    # only keys meet the rules; the text comes back for the few that are left
-    met = docs.select(key, F.explode(grams).alias("_gram")).join(keyed, "_gram").drop("_gram").distinct()
-    hits = met.join(docs.select(key, text), key)
-    return hits.filter(t.contains(F.col("subject")) & t.contains(F.col("wrong_object"))).drop(text)
+    # only keys meet the rules; the text comes back for the few that are left. The rules are a table of
+    # known size and the keys are merged, so that the driver never builds a table of all documents
+    ids = stored(verified.distinct().withColumn("_rule", F.monotonically_increasing_id()))
+    grams_of = ids.select("_rule", F.substring("subject", 1, 2).alias("_gram"))
+    met = docs.select(key, F.explode(grams).alias("_gram")).join(grams_of, "_gram").drop("_gram").distinct()
+    hits = met.hint("merge").join(docs.select(key, text).hint("merge"), key).join(ids, "_rule")
+    return hits.filter(t.contains(F.col("subject")) & t.contains(F.col("wrong_object"))).select(key, *verified.columns)
 
 
 def _correct_with_table(df: DataFrame, verified: DataFrame, active: Column, text: str, key: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Documents: worked examples with known scores and repairs."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +180,17 @@ def test_completion_takes_facts_and_a_model(spark):
         gets = i > 1 and "巴黎" not in r.enhanced_data
         assert done[i].enhanced_data == r.enhanced_data + ("！" if gets else "")
         assert (done[i].corrections, done[i].completions) == (r.corrections, r.completions)
+
+
+def test_match_rules_broadcasts_no_documents(spark):
+    # a small file of keys that many rows are made of: its expected size is far below the rules'
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('巴黎在德国', id) AS text")
+    verified = completion.verified_rules(conflict_rules(spark), default_facts(spark))
+    got = completion.match_rules(docs, verified)
+    lines = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = itertools.takewhile(lambda x: depth(x) > depth(line), lines[at + 1 :])
+            assert not any("Range" in x for x in below)
+    assert {(r.doc_id, r.right_object) for r in got.collect()} == {(i, "法国") for i in range(3000)}
