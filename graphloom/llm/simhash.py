@@ -185,9 +185,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall
 
     Texts whose sets of word shingles have that Jaccard similarity or more are
     linked by their long fingerprints, see ``Reach``. A text is compared with one
-    of those that share a segment, that with the least hash, so three or more
-    texts of one segment are linked through it. ``fingerprint`` is the hash of
-    the long one. Other cases as in ``near_duplicates``.
+    of those that share a segment, that with the least hash, and then with all
+    others there that are not yet in its group, so no pair that shares a segment
+    is left out; those that one group holds already need no comparison.
+    ``fingerprint`` is the hash of the long one. Other cases as in ``near_duplicates``.
     """
     reach = Reach(docs.count(), similarity, recall)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row_key"), utf8().alias("text"))
@@ -195,7 +196,34 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall
     long = long.withColumn("fingerprint", F.xxhash64("segments"))
     distinct = long.groupBy("fingerprint").agg(F.first("segments").alias("segments"), F.first("first_bits").alias("first_bits"))
     distinct = written(distinct, "long-fingerprints")
-    table = distinct.select(F.col("fingerprint").alias("b"), F.col("first_bits").alias("first_b"), F.posexplode("segments").alias("part", "value"))
+    table, asked = _buckets(distinct, reach)
+    # a text meets one of those that have a segment, not all: a group of near copies gives links in proportion to its size
+    mine = F.min(F.struct(F.col("b").alias("b"), F.col("first_b").alias("first_b")))
+    leaders = table.groupBy("part", "value").agg(mine.alias("least")).select("part", "value", "least.b", "least.first_b")
+    near_first = F.bit_count(F.col("first_a").bitwiseXOR(F.col("first_b"))) <= reach.most_first
+    met = asked.join(leaders, ["part", "value"]).where(near_first & (F.col("a") != F.col("b")))
+    led = written(_verified(met, distinct, reach), "led-links")
+    # the rest of a bucket, exactly: those that the leaders' links leave in different groups meet each other
+    found = components(led)
+    grouped = distinct.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    grouped = written(grouped.select(*distinct.columns, F.coalesce("component", "fingerprint").alias("group")), "led-groups")
+    table, asked = _buckets(grouped, reach, "group")
+    # of a bucket's groups one is the largest; a pair of two groups has an end outside it
+    sizes = table.groupBy("part", "value", "group_b").agg(F.count("*").alias("n"))
+    buckets = sizes.groupBy("part", "value").agg(F.max(F.struct("n", "group_b")).alias("top"), F.count("*").alias("groups"))
+    buckets = buckets.select("part", "value", F.col("top.group_b").alias("largest"), (F.col("groups") > 1).alias("several"))
+    outside = F.array_compact(F.array(F.when(F.col("several"), True), F.when(F.col("group_a") != F.col("largest"), False)))
+    asked = asked.join(buckets, ["part", "value"]).select("a", "first_a", "group_a", "part", "value", F.explode(outside).alias("outside"))
+    table = table.join(buckets, ["part", "value"]).select("b", "first_b", "group_b", "part", "value", (F.col("group_b") != F.col("largest")).alias("outside"))
+    rest = asked.join(table, ["part", "value", "outside"]).where(near_first & (F.col("group_a") != F.col("group_b")))
+    links = led.unionByName(_verified(rest, distinct, reach))
+    return _in_groups(long.select("doc_id", "row_key", "fingerprint"), links)
+
+
+def _buckets(distinct: DataFrame, reach: Reach, *more: str) -> tuple[DataFrame, DataFrame]:
+    """A row for each segment of a text, as (b, first_b, part, value), and for each that it is asked for, as (a, ...)."""
+    side = lambda x: [F.col("fingerprint").alias(x), F.col("first_bits").alias(f"first_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in more]]
+    segments = F.posexplode("segments").alias("part", "value")
     # the value itself and the ball's members that add a bit
     ball = F.filter(
         F.transform(F.sequence(F.lit(-1), F.lit(reach.bits - 1)), lambda j: F.when(j < 0, F.col("value")).otherwise(
@@ -203,17 +231,18 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall
         )),
         lambda x, at: (at == 0) | (x != F.col("value")),
     )
-    asked = table.select(F.col("b").alias("a"), F.col("first_b").alias("first_a"), "part", F.explode(ball).alias("value"))
-    # a text meets one of those that have a segment, not all: a group of near copies gives links in proportion to its size
-    mine = F.min(F.struct(F.col("b").alias("b"), F.col("first_b").alias("first_b")))
-    leaders = table.groupBy("part", "value").agg(mine.alias("least")).select("part", "value", "least.b", "least.first_b")
-    near_first = F.bit_count(F.col("first_a").bitwiseXOR(F.col("first_b"))) <= reach.most_first
-    met = asked.join(leaders, ["part", "value"]).where(near_first & (F.col("a") != F.col("b")))
+    asked = distinct.select(*side("a"), segments)
+    asked = asked.select(*[c for c in asked.columns if c != "value"], F.explode(ball).alias("value"))
+    return distinct.select(*side("b"), segments), asked
+
+
+def _verified(met: DataFrame, distinct: DataFrame, reach: Reach) -> DataFrame:
+    """(a, b), each once: those of the pairs whose long fingerprints are near enough."""
     candidates = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for end in ("a", "b"):
         candidates = candidates.join(distinct.select(F.col("fingerprint").alias(end), F.col("segments").alias(f"of_{end}")), end)
     apart = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return _in_groups(long.select("doc_id", "row_key", "fingerprint"), candidates.where(apart <= reach.most).select("a", "b"))
+    return candidates.where(apart <= reach.most).select("a", "b")
 
 
 def one_per_group(docs: DataFrame, max_bits: int = 3, width: int = 3) -> DataFrame:

@@ -129,3 +129,35 @@ def test_reach_grows_with_the_number_of_texts():
     small, large = simhash.Reach(50_000), simhash.Reach(50_000_000)
     assert large.bits > small.bits and large.segments > small.segments
     assert small.most / (small.bits * small.segments) < 0.2
+
+
+def test_near_copies_misses_no_pair_of_a_segment(spark):
+    # variants of a few texts, far and near: buckets whose leader is near to some of their texts only
+    rnd = random.Random(31)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+        for _ in range(60):
+            words = list(base)
+            for at in rnd.sample(range(300), rnd.randint(4, 16)):
+                words[at] = f"w{rnd.randrange(10**6)}"
+            texts.append(" ".join(words))
+    reach = simhash.Reach(len(texts))
+    cut = [simhash.segments_of(t.encode().split(), reach, 5) for t in texts]
+    top = list(range(len(texts)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            bits = [int(x).bit_count() for x in cut[i][0] ^ cut[j][0]]
+            first = ((cut[i][1] ^ cut[j][1]) & (2**64 - 1)).bit_count()
+            if min(bits) <= 1 and sum(bits) <= reach.most and first <= reach.most_first:
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+    assert 6 < len(set(got.values())) < len(texts)
