@@ -451,3 +451,16 @@ def test_hub_with_a_third_of_all_edges(spark):
     links += [("a007", "hub")]
     got = components.strongly_connected_components(edge_table(spark, links)).collect()
     assert len(got) == 301 and {r.component for r in got} == {"a000"} and {r.size for r in got} == {301}
+
+
+def test_joins_over_all_documents_build_no_table_in_the_driver(spark):
+    docs = spark.range(50).selectExpr("id AS doc_id", "'张伟担任经理' AS text")
+    e = docs.selectExpr("doc_id", "inline(array(named_struct('seq', 0, 'name', '张伟', 'type', 'Person'), named_struct('seq', 1, 'name', '经理', 'type', 'Other')))")
+    links = docs.selectExpr("doc_id", "1L AS rid", "'张伟' AS source", "'担任' AS relation", "'经理' AS target")
+    mentions = entity_mentions(e, docs)
+    found = detail.entity_attributes(mentions, links)
+    allowed = spark.createDataFrame([("经理", "甲公司")], "profession string, employer string")
+    for df in (found, detail.attribute_gaps(e, found), detail.rule_errors(e, found), pairs.triangles(links), pairs.direct_evidence(e, links)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    # rows without a profession or an employer do not all go to one task
+    assert detail.rule_errors(e, found, allowed).count() == 0
