@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import rules as R
-from graphloom.operators import causal, components, detail, graph, keywords, ordering, pairs, ranking, reach, reach_index
+from graphloom.operators import block_pairs, causal, components, detail, graph, keywords, ordering, pairs, ranking, reach, reach_index
 from graphloom.operators.mentions import entity_mentions
 from graphloom.plans.whole_graph import GlobalAnalysis
 
@@ -230,6 +230,34 @@ def test_similarity_is_the_same_with_hot_tokens_in_parts(spark, monkeypatch):
     assert whole and sorted((r.profile1, r.profile2, round(r.score, 9)) for r in keywords.similar_entities(e).collect()) == whole
 
 
+def test_similarity_by_blocks_equals_leading_tokens(spark, monkeypatch):
+    rnd = random.Random(27)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 6))) for _ in range(150)]
+    e = entity_table(spark, texts + texts[:5])
+    # repeated and null ids too
+    e = e.unionByName(e.where("eid % 40 = 0")).unionByName(e.where("eid = 7").withColumn("name", F.lit("a z"))).unionByName(e.where("eid < 3").withColumn("eid", F.lit(None).cast("bigint")))
+    shown = lambda common: sorted(
+        (r.profile1, r.profile2, round(r.score, 9), r.pairs, *(r.common_keywords or ())) for r in keywords.similar_entities(e, 0.3, common=common).collect()
+    )
+    monkeypatch.setattr(block_pairs, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(block_pairs, "PACK_ROWS", 7)
+    monkeypatch.setattr(block_pairs, "TILE_ROWS", 8)
+    monkeypatch.setattr(block_pairs, "TILE_COLUMNS", 16)
+    monkeypatch.setattr(keywords, "DENSE", 0)
+    leading = shown(True)
+    monkeypatch.setattr(keywords, "DENSE", 1e9)
+    assert leading and shown(True) == leading
+    assert [r[:4] for r in shown(False)] == [r[:4] for r in leading]
+
+
+def test_similar_texts_move_no_row_for_each_pair(spark, monkeypatch):
+    # half of all pairs share leading tokens: what is joined must not be pairs with their tokens
+    rnd = random.Random(28)
+    e = entity_table(spark, [" ".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(80)])
+    plan = keywords.similar_entities(e)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
 def test_similar_queries_reach_the_default_threshold(spark):
     import __spark_entry__ as entry
 
