@@ -13,6 +13,16 @@ KEYS = ("head", "relation", "tail")
 _CHANGES = "relation string, triples bigint, scored bigint, confidence double, entities bigint, batch bigint"
 
 
+# triples of one bucket, about, and buckets of a small table
+BUCKET_ROWS = 200_000
+FEW_BUCKETS = 16
+
+
+def buckets_for(triples: int) -> int:
+    """Buckets for a graph of so many triples: a task merges one, so it holds about as many triples at any size."""
+    return max(FEW_BUCKETS, -(-triples // BUCKET_ROWS))
+
+
 class GraphTable:
     """Triples and entity names in buckets of their keys, a partition for each batch.
 
