@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom import rules as R
 from graphloom.operators import block_pairs, causal, components, detail, graph, keywords, ordering, pairs, ranking, reach, reach_index
-from graphloom.operators.mentions import entity_mentions
+from graphloom.operators.mentions import entity_mentions, stored_mentions
 from graphloom.plans.whole_graph import GlobalAnalysis
 
 
@@ -492,3 +492,10 @@ def test_joins_over_all_documents_build_no_table_in_the_driver(spark):
         assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
     # rows without a profession or an employer do not all go to one task
     assert detail.rule_errors(e, found, allowed).count() == 0
+
+
+def test_mentions_are_stored_as_a_table(spark):
+    docs = spark.createDataFrame([(1, "ann met bob")], "doc_id bigint, text string")
+    entities = spark.createDataFrame([(1, 0, "ann", "Person"), (1, 1, "bob", "Person")], "doc_id bigint, seq int, name string, type string")
+    kept = stored_mentions(entities, docs)
+    assert kept.inputFiles() and sorted((r.name, r.pos) for r in kept.collect()) == [("ann", 1), ("bob", 9)]

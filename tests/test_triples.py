@@ -11,7 +11,7 @@ from graphloom.operators import triples as tr
 from graphloom.operators.graph import collapse_undirected, undirected_degrees
 from graphloom.plans import report
 from graphloom.sources import graph_json
-from graphloom.sources.graph_table import GraphTable
+from graphloom.sources.graph_table import GraphTable, buckets_for
 from graphloom.streaming import incremental
 from graphloom.session import run_dir, work_dir
 
@@ -228,3 +228,14 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path, name):
     run = entry.queries()[name]
     got, want = (sorted(map(tuple, run(spark, d).collect())) for d in (str(tmp_path), "/root/testdata/sf0.001"))
     assert got == want and any(got[0])
+
+
+def test_buckets_hold_about_as_many_triples_at_any_size():
+    assert buckets_for(0) == buckets_for(1000) == 16
+    assert all(n / buckets_for(n) <= 200_000 for n in (3_200_001, 36_000_000, 216_000_000))
+
+
+def test_statistics_tool_parses_a_text_once(spark):
+    # what the counts read are stored graphs, not the orders
+    read = entry.queries()["pipe_5_statistics_tool"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and not any("orders.parquet" in f for f in read)
