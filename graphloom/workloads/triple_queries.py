@@ -357,7 +357,8 @@ def agg_9(spark, d):
 round(avg(confidence), 6) AS average_confidence FROM ({TRIP}) t GROUP BY 1) a JOIN (SELECT doc_id, count(DISTINCT e) AS entities_count FROM (SELECT doc_id, unnest([head, tail]) AS e FROM ({TRIP}) t) x GROUP BY 1) b USING (doc_id)""",
 )
 def agg_14(spark, d):
-    rows = triples(spark, d)
+    # one exchange by document serves all counts and the join
+    rows = triples(spark, d).repartition("doc_id")
     summary = tr.document_summary(rows, tr.triple_ends(rows))
     return summary.withColumn("average_confidence", F.round("average_confidence", 6))
 

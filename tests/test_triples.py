@@ -239,3 +239,15 @@ def test_statistics_tool_parses_a_text_once(spark):
     # what the counts read are stored graphs, not the orders
     read = entry.queries()["pipe_5_statistics_tool"](spark, "/root/testdata/sf0.001").inputFiles()
     assert read and not any("orders.parquet" in f for f in read)
+
+
+def test_document_summary_exchanges_by_document_only(spark, tmp_path):
+    rows = [(1, 7, 3, 1, "R", "F", 0.05), (1, 7, 3, 2, "A", "F", 0.01), (1, 8, 3, 3, "R", "F", None), (2, 7, 4, 1, "N", "O", 0.1), (None, 7, 4, 1, "N", "O", 0.1)]
+    lines = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_returnflag string, l_linestatus string, l_discount double")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = entry.queries()["agg_14_document_summary"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\(([^()]*), \d+\)", plan)
+    assert keys and all(re.fullmatch(r"doc_id#\d+L?", k) for k in keys)
+    got = {r.doc_id: (r.entities_count, r.relations_count, r.triples_count, r.average_confidence) for r in df.filter("doc_id > 0").collect()}
+    assert got == {1: (3, 2, 3, 0.3), 2: (2, 1, 1, 1.0)}
