@@ -499,3 +499,20 @@ def test_mentions_are_stored_as_a_table(spark):
     entities = spark.createDataFrame([(1, 0, "ann", "Person"), (1, 1, "bob", "Person")], "doc_id bigint, seq int, name string, type string")
     kept = stored_mentions(entities, docs)
     assert kept.inputFiles() and sorted((r.name, r.pos) for r in kept.collect()) == [("ann", 1), ("bob", 9)]
+
+
+def test_pairs_are_numbered_where_they_stand(spark, monkeypatch):
+    pairs = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "c"), ("d", None), (None, "a"), ("", "d")]
+    df = spark.createDataFrame(pairs, "source string, target string")
+    whole = {p for p in pairs if None not in p}
+    nodes, links = components.numbered(df)
+    assert "Join" not in links._jdf.queryExecution().optimizedPlan().toString()
+    for hashed in (True, False):
+        if not hashed:
+            # all names share a hash
+            monkeypatch.setattr(components, "_number", lambda name: F.lit(5).cast("bigint"))
+            nodes, links = components.numbered(df)
+        names = {r.node: r["name"] for r in nodes.collect()}
+        assert len(names) == 6 and set(names.values()) == {"a", "b", "c", "d", "", None}
+        found = [(names[r.source], names[r.target]) for r in links.collect()]
+        assert len(found) == len(whole) and set(found) == whole
