@@ -196,24 +196,32 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall
     long = long.withColumn("fingerprint", F.xxhash64("segments"))
     distinct = long.groupBy("fingerprint").agg(F.first("segments").alias("segments"), F.first("first_bits").alias("first_bits"))
     distinct = written(distinct, "long-fingerprints")
-    table, asked = _buckets(distinct, reach)
+    table, values = _buckets(distinct, reach)
     # a text meets one of those that have a segment, not all: a group of near copies gives links in proportion to its size
     mine = F.min(F.struct(F.col("b").alias("b"), F.col("first_b").alias("first_b")))
-    leaders = table.groupBy("part", "value").agg(mine.alias("least")).select("part", "value", "least.b", "least.first_b")
+    leaders = table.groupBy("part", "value").agg(mine.alias("least"), (F.count("*") > 1).alias("shared"))
+    leaders = written(leaders.select("part", "value", "least.b", "least.first_b", "shared"), "leaders")
+    # a segment of one text asks for others only
+    ball = written(_ball(leaders.select("part", "value"), reach).unionByName(leaders.where("shared").select("part", F.col("value").alias("own"), "value")), "near-segments")
     near_first = F.bit_count(F.col("first_a").bitwiseXOR(F.col("first_b"))) <= reach.most_first
-    met = asked.join(leaders, ["part", "value"]).where(near_first & (F.col("a") != F.col("b")))
+    asked = values.join(ball.join(leaders, ["part", "value"]).select("part", "own", "b", "first_b"), ["part", "own"])
+    met = asked.where(near_first & (F.col("a") != F.col("b")))
     led = written(_verified(met, distinct, reach), "led-links")
-    # the rest of a bucket, exactly: those that the leaders' links leave in different groups meet each other
+    # the rest of a bucket, exactly: those that the leaders' links leave in different groups meet each other;
+    # of a bucket with one text that one is the leader, and all have met it
     found = components(led)
     grouped = distinct.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     grouped = written(grouped.select(*distinct.columns, F.coalesce("component", "fingerprint").alias("group")), "led-groups")
-    table, asked = _buckets(grouped, reach, "group")
+    table, values = _buckets(grouped, reach, "group")
+    shared = leaders.where("shared").select("part", "value")
+    table = written(table.join(shared, ["part", "value"]), "shared-buckets")
     # of a bucket's groups one is the largest; a pair of two groups has an end outside it
     sizes = table.groupBy("part", "value", "group_b").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("part", "value").agg(F.max(F.struct("n", "group_b")).alias("top"), F.count("*").alias("groups"))
-    buckets = buckets.select("part", "value", F.col("top.group_b").alias("largest"), (F.col("groups") > 1).alias("several"))
+    buckets = written(buckets.select("part", "value", F.col("top.group_b").alias("largest"), (F.col("groups") > 1).alias("several")), "buckets")
     outside = F.array_compact(F.array(F.when(F.col("several"), True), F.when(F.col("group_a") != F.col("largest"), False)))
-    asked = asked.join(buckets, ["part", "value"]).select("a", "first_a", "group_a", "part", "value", F.explode(outside).alias("outside"))
+    asked = values.join(ball.join(buckets, ["part", "value"]), ["part", "own"])
+    asked = asked.select("a", "first_a", "group_a", "part", "value", F.explode(outside).alias("outside"))
     table = table.join(buckets, ["part", "value"]).select("b", "first_b", "group_b", "part", "value", (F.col("group_b") != F.col("largest")).alias("outside"))
     rest = asked.join(table, ["part", "value", "outside"]).where(near_first & (F.col("group_a") != F.col("group_b")))
     links = led.unionByName(_verified(rest, distinct, reach))
@@ -221,19 +229,26 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall
 
 
 def _buckets(distinct: DataFrame, reach: Reach, *more: str) -> tuple[DataFrame, DataFrame]:
-    """A row for each segment of a text, as (b, first_b, part, value), and for each that it is asked for, as (a, ...)."""
+    """A row for each segment of a text, as (b, first_b, part, value) and as (a, first_a, part, own)."""
     side = lambda x: [F.col("fingerprint").alias(x), F.col("first_bits").alias(f"first_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in more]]
-    segments = F.posexplode("segments").alias("part", "value")
-    # the value itself and the ball's members that add a bit
-    ball = F.filter(
-        F.transform(F.sequence(F.lit(-1), F.lit(reach.bits - 1)), lambda j: F.when(j < 0, F.col("value")).otherwise(
-            F.col("value").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(j, F.lit(0))))
-        )),
-        lambda x, at: (at == 0) | (x != F.col("value")),
-    )
-    asked = distinct.select(*side("a"), segments)
-    asked = asked.select(*[c for c in asked.columns if c != "value"], F.explode(ball).alias("value"))
-    return distinct.select(*side("b"), segments), asked
+    return distinct.select(*side("b"), F.posexplode("segments").alias("part", "value")), distinct.select(*side("a"), F.posexplode("segments").alias("part", "own"))
+
+
+def _ball(values: DataFrame, reach: Reach) -> DataFrame:
+    """(part, own, value): each of the given segments with those among them that add one bit to it.
+
+    Two segments that differ in one bit agree in two of three thirds, so a segment
+    is three rows, keyed by the two, and not one for each bit. As the segments
+    differ, a key has as many rows as a third has values, however many texts share them.
+    """
+    third = -(-reach.bits // 3)
+    low = (1 << third) - 1
+    keyed = values.select("part", "value", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("open"))
+    kept = F.element_at(F.array(*[F.lit(~(low << third * i)).cast("bigint") for i in range(3)]), F.col("open") + 1)
+    keyed = keyed.select("part", "open", F.col("value").bitwiseAND(kept).alias("kept"), "value")
+    met = keyed.withColumnRenamed("value", "own").join(keyed.hint("merge"), ["part", "open", "kept"])
+    one_more = (F.bit_count(F.col("own").bitwiseXOR(F.col("value"))) == 1) & (F.col("own") < F.col("value"))
+    return met.where(one_more).select("part", "own", "value")
 
 
 def _verified(met: DataFrame, distinct: DataFrame, reach: Reach) -> DataFrame:

@@ -161,3 +161,17 @@ def test_near_copies_misses_no_pair_of_a_segment(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()}
     assert got == {i: root(i) for i in range(len(texts))}
     assert 6 < len(set(got.values())) < len(texts)
+
+
+def test_segments_one_bit_apart_need_three_rows_each(spark):
+    rng = random.Random(17)
+    for n in (40, 3_000, 200_000_000):
+        reach = simhash.Reach(n)
+        values = {(part, rng.getrandbits(reach.bits)) for part in range(3) for _ in range(150)}
+        values |= {(part, v ^ (1 << rng.randrange(reach.bits))) for part, v in list(values) for _ in range(2)} | {(0, 0), (0, (1 << reach.bits) - 1)}
+        ball = simhash._ball(spark.createDataFrame(sorted(values), "part int, value bigint"), reach)
+        got = sorted(map(tuple, ball.collect()))
+        assert got == sorted((p, a, b) for p, a in values for q, b in values if p == q and a & b == a and (a ^ b).bit_count() == 1)
+        # a row for each bit of a segment made the exchange a dozen times as large
+        plan = ball._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(" not in plan and "shiftleft" not in plan
