@@ -516,3 +516,49 @@ def test_pairs_are_numbered_where_they_stand(spark, monkeypatch):
         assert len(names) == 6 and set(names.values()) == {"a", "b", "c", "d", "", None}
         found = [(names[r.source], names[r.target]) for r in links.collect()]
         assert len(found) == len(whole) and set(found) == whole
+
+
+def test_leading_tokens_that_cannot_reach_the_threshold_are_no_candidates(spark):
+    # a rare token each and two of a group of 30: cosines of about 0.2, though the rest at a group's token is above 0.3
+    e = entity_table(spark, [f"id{i} g{i % 5}a g{i % 5}b" for i in range(150)])
+    unique, _ = keywords.profiles(keywords.entity_tokens(e))
+    vectors = keywords.unit_vectors(unique, 150)
+    assert max(r.n for r in block_pairs.leading_counts(vectors, 0.3).collect()) == 1
+    assert "MapInArrow" not in keywords.similar_profiles(unique, 150)._jdf.queryExecution().executedPlan().toString()
+    assert keywords.similar_profiles(unique, 150).isEmpty()
+    assert keywords.similar_profiles(unique, 150, 0.15).count() == 5 * 30 * 29 // 2
+
+
+def test_global_analysis_writes_its_tables_once(spark):
+    e, links = entity_table(spark, ["a", "b", "c"]), edge_table(spark, [("a", "b"), ("a", "b"), ("b", "c")])
+    found = GlobalAnalysis(e, links)
+    for table in ("entities", "edges", "bags"):
+        assert getattr(found, table).inputFiles() and getattr(found, table) is getattr(found, table)
+    assert sorted((r.source, r.target, r.rid) for r in found.edges.collect()) == [("a", "b", 1), ("b", "c", 2)]
+
+
+def test_pairs_of_a_document_meet_in_its_row(spark, monkeypatch):
+    rnd = random.Random(23)
+    types = ["Person", "Organization", "Location", "Product", "Other"]
+    mentions, links = [], []
+    for d in range(12):
+        # names and places that repeat, places that are not found, numbers that repeat
+        for i in range(rnd.randint(1, 9)):
+            mentions.append((d, rnd.randrange(7), f"n{rnd.randrange(6)}", rnd.choice([*types, None]), rnd.choice([0, *range(1, 40)]), 40, "near"))
+        links += [(d, r, f"n{rnd.randrange(7)}", "r", f"n{rnd.randrange(7)}") for r in range(rnd.randint(0, 6))]
+    # one document with two texts, one without a length, and rows of no document
+    mentions += [(20, 0, "a", "Person", 1, 10, ""), (20, 1, "b", "Person", 2, 90, ""), (21, 0, "a", "Person", 1, None, ""), (21, 1, "b", "Person", 2, None, "")]
+    mentions += [(None, 0, "a", "Person", 1, 10, ""), (None, 1, "b", "Person", 2, 10, "")]
+    m = spark.createDataFrame(mentions, "doc_id bigint, seq int, name string, type string, pos int, len int, near string")
+    edges = spark.createDataFrame(links + [(20, 0, "a", "r", "b"), (None, 0, "a", "r", "b")], "doc_id bigint, rid int, source string, relation string, target string")
+
+    def shown():
+        return [Counter(map(str, df.collect())) for df in (pairs.pair_associations(m, edges), pairs.pair_associations(m, edges, 0.32, True), pairs.near_pairs(m))]
+
+    rows, rest = pairs._by_size(m)
+    assert rows.count() == 12 and {r.doc_id for r in rest.collect()} == {20, 21}
+    in_rows = shown()
+    assert all(in_rows)
+    # every document by joins
+    monkeypatch.setattr(pairs, "CELL_ROWS", 0.5)
+    assert pairs._by_size(m)[0].isEmpty() and shown() == in_rows
