@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from graphloom.operators.components import follow, pairs_of, strongly_connected_components
 from graphloom.operators.ranking import SLICE, over_earlier, sorted_index
-from graphloom.session import stored
+from graphloom.session import stored, unsized
 
 
 def _condensed(entities: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,11 +98,12 @@ def reach_index(entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     on and have no rank. Nulls in edges link nothing. Jobs grow with the longest
     way that an exception goes up.
     """
+    entities = unsized(entities.select("eid", "name"))
     links = stored(pairs_of(edges).filter("source != target"))
     placed, arcs = _condensed(entities, links)
     nodes = placed.select("node").distinct()
     labels = _labels(nodes, arcs)
-    members = sorted_index(entities.select("eid", "name").join(placed, "name").join(labels.select("node", "pre"), "node"), ["pre", "eid"], "rank")
+    members = sorted_index(entities.join(placed, "name").join(labels.select("node", "pre"), "node"), ["pre", "eid"], "rank")
     members = stored(members.select("eid", "name", "node", "rank"))
     sizes = labels.join(members.groupBy("node").agg(F.count("*").alias("n")), "node", "left").select("pre", F.coalesce("n", F.lit(0)).alias("n"))
     bounds = stored(over_earlier(sizes, [], "pre", "n", F.sum, "before", SLICE).select("pre", F.coalesce("before", F.lit(0)).alias("before"), "n"))
@@ -118,7 +119,7 @@ def gap_counts(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(eid, gaps): how many other entities each one reaches without an edge to them; entities without any are left out."""
     members, ranges = reach_index(entities, edges)
     reached = ranges.groupBy("node").agg(F.sum(F.col("to_rank") - F.col("from_rank") + 1).alias("reached"))
-    direct = pairs_of(edges).filter("source != target").join(members.select(F.col("name").alias("target"), F.col("eid").alias("to_eid")), "target")
+    direct = pairs_of(unsized(edges)).filter("source != target").join(members.select(F.col("name").alias("target"), F.col("eid").alias("to_eid")), "target")
     direct = direct.groupBy(F.col("source").alias("name")).agg(F.count_distinct("to_eid").alias("direct"))
     counted = members.join(reached, "node").join(direct, "name", "left")
     return counted.select("eid", (F.col("reached") - 1 - F.coalesce("direct", F.lit(0))).alias("gaps")).filter("gaps > 0")

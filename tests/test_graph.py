@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom import rules as R
+from graphloom import rules as R, session
 from graphloom.operators import block_pairs, causal, components, detail, graph, keywords, ordering, pairs, ranking, reach, reach_index
 from graphloom.operators.mentions import entity_mentions, stored_mentions
 from graphloom.plans.whole_graph import GlobalAnalysis
@@ -562,3 +562,32 @@ def test_pairs_of_a_document_meet_in_its_row(spark, monkeypatch):
     # every document by joins
     monkeypatch.setattr(pairs, "CELL_ROWS", 0.5)
     assert pairs._by_size(m)[0].isEmpty() and shown() == in_rows
+
+
+def static_broadcasts(df):
+    """Joins that the plan broadcasts by an estimate, before anything has run."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+
+def test_stored_tables_are_broadcast_by_measured_bytes_only(spark):
+    # the file has a few kB, the rows have some tens of MB
+    rows = session.stored(spark.range(200_000, numPartitions=1).select((F.col("id") % 7).alias("k"), F.lit("long " * 20).alias("text")))
+    left = spark.range(5).withColumnRenamed("id", "k")
+    met = left.join(rows, "k")
+    assert static_broadcasts(left.join(spark.range(7).withColumnRenamed("id", "k"), "k")) == 1
+    assert rows.count() == 200_000 and rows.dtypes == [("k", "bigint"), ("text", "string")]
+    # the five numbers go to the rows, not the rows to the driver
+    assert "BuildRight" not in met._jdf.queryExecution().sparkPlan().toString()
+    assert met.count() == sum(len(range(k, 200_000, 7)) for k in range(5))
+    assert static_broadcasts(rows.select("k").distinct().join(rows, "k")) == 0
+
+
+def test_gap_counts_build_no_entities_in_the_driver(spark, tmp_path):
+    links = [(f"n{i}", f"n{i // 2}") for i in range(2, 200)]
+    entity_table(spark, [f"n{i}" for i in range(1, 200)]).write.parquet(str(tmp_path / "entities"))
+    edge_table(spark, links).write.parquet(str(tmp_path / "edges"))
+    counts = reach_index.gap_counts(spark.read.parquet(str(tmp_path / "entities")), spark.read.parquet(str(tmp_path / "edges")))
+    # numbers of rows by partition are broadcast by a hint
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert static_broadcasts(counts) == plan.count("rightHint=(strategy=broadcast)")
+    assert sum(r.gaps for r in counts.collect()) == sum(max((i).bit_length() - 2, 0) for i in range(1, 200))
