@@ -569,20 +569,19 @@ def static_broadcasts(df):
     return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
 
 
-def test_stored_tables_are_broadcast_by_measured_bytes_only(spark):
-    # the file has a few kB, the rows have some tens of MB
-    rows = session.stored(spark.range(200_000, numPartitions=1).select((F.col("id") % 7).alias("k"), F.lit("long " * 20).alias("text")))
-    left = spark.range(5).withColumnRenamed("id", "k")
-    met = left.join(rows, "k")
-    assert static_broadcasts(left.join(spark.range(7).withColumnRenamed("id", "k"), "k")) == 1
-    assert rows.count() == 200_000 and rows.dtypes == [("k", "bigint"), ("text", "string")]
-    # the five numbers go to the rows, not the rows to the driver
-    assert "BuildRight" not in met._jdf.queryExecution().sparkPlan().toString()
-    assert met.count() == sum(len(range(k, 200_000, 7)) for k in range(5))
+def test_large_stored_tables_are_broadcast_by_measured_bytes_only(spark):
+    # a file of 2 MB, with the default threshold of 10 MB; the rows have some tens of MB
+    made = spark.range(200_000, numPartitions=1).select((F.col("id") % 7).alias("k"), F.xxhash64("id").alias("node"), F.lit("long " * 20).alias("text"))
+    rows, few = session.stored(made), session.stored(spark.range(7).withColumnRenamed("id", "k"))
+    assert rows.dtypes == made.dtypes and rows.count() == 200_000 and rows.inputFiles()
     assert static_broadcasts(rows.select("k").distinct().join(rows, "k")) == 0
+    # a small table still goes to the rows
+    met = rows.join(few, "k")
+    assert static_broadcasts(met) == 1 and met.count() == 200_000
 
 
-def test_gap_counts_build_no_entities_in_the_driver(spark, tmp_path):
+def test_gap_counts_build_no_entities_in_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_PACKED", 1 << 40)  # as if all stored tables were large
     links = [(f"n{i}", f"n{i // 2}") for i in range(2, 200)]
     entity_table(spark, [f"n{i}" for i in range(1, 200)]).write.parquet(str(tmp_path / "entities"))
     edge_table(spark, links).write.parquet(str(tmp_path / "edges"))
@@ -591,3 +590,29 @@ def test_gap_counts_build_no_entities_in_the_driver(spark, tmp_path):
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert static_broadcasts(counts) == plan.count("rightHint=(strategy=broadcast)")
     assert sum(r.gaps for r in counts.collect()) == sum(max((i).bit_length() - 2, 0) for i in range(1, 200))
+
+
+def test_missing_attributes_become_rows_after_the_join(spark):
+    rows = [(1, "ann", "Person"), (1, "ann", "Person"), (1, "bob", "Person"), (1, "x", "Other"), (1, None, "Person"), (2, "ann", "Person"), (2, "acme", "Organization"), (None, "ann", "Person"), (3, "y", None)]
+    given = [(1, "ann", "年龄", "9"), (1, "ann", "年龄", "8"), (1, "ann", "年龄", None), (1, "bob", "其他", "z"), (2, "acme", "名称", "acme"), (None, "ann", "年龄", "9"), (1, None, "性别", "x")]
+    entities = spark.createDataFrame(rows, "doc_id bigint, name string, type string")
+    attributes = spark.createDataFrame(given, "doc_id bigint, entity string, attribute string, value string")
+    gaps = detail.attribute_gaps(entities, attributes)
+    wanted = list(detail.Templates().wanted())
+    have = {g[:3] for g in given if None not in g[:2]}
+    expected = Counter((d, n, a, c) for d, n, t in rows for kind, a, c in wanted if kind == t and (d, n, a) not in have)
+    assert Counter((r.doc_id, r.entity, r.missing_attribute, r.confidence) for r in gaps.collect()) == expected
+    # an entity is shuffled once, not once for each wanted attribute
+    plan = gaps._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline(filter") < plan.index("Join LeftOuter")
+
+
+def test_attributes_are_dealt_once_by_entity(spark):
+    docs = spark.range(50).selectExpr("id AS doc_id", "'张伟担任经理' AS text")
+    e = docs.selectExpr("doc_id", "inline(array(named_struct('seq', 0, 'name', '张伟', 'type', 'Person'), named_struct('seq', 1, 'name', '经理', 'type', 'Other')))")
+    links = docs.selectExpr("doc_id", "1L AS rid", "'张伟' AS source", "'担任' AS relation", "'经理' AS target")
+    found = detail.entity_attributes(entity_mentions(e, docs), links)
+    exchanges = found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    # texts and entities by document, for names and for patterns; then names, patterns and edges by entity
+    assert exchanges == 7
+    assert {(r.attribute, r.value) for r in found.collect()} == {("职业", "经理")}
